@@ -33,7 +33,8 @@ def heavy_hitters(rows: DataFrame, key: str = "__digest") -> DataFrame:
     """Candidate keys of the Misra-Gries summary, CANDIDATES rows at most."""
     sketch = F.expr(f"approx_top_k_accumulate(hex({key}), {TRACKED})")
     level0 = rows.groupBy((F.spark_partition_id() % MERGE).alias("__g")).agg(sketch.alias("__s"))
-    level1 = level0.groupBy().agg(F.expr(f"approx_top_k_combine(__s, {TRACKED})").alias("__s"))
+    # A key, though one: without it, empty partitions would send empty sketches, which the merge refuses.
+    level1 = level0.groupBy(F.floor(F.col("__g") / MERGE).alias("__g")).agg(F.expr(f"approx_top_k_combine(__s, {TRACKED})").alias("__s"))
     top = level1.select(F.explode(F.expr(f"approx_top_k_estimate(__s, {CANDIDATES})")).alias("__t"))
     return top.where("__t.count > 1").select(F.unhex("__t.item").alias(key))
 
