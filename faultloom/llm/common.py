@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.session import BROADCAST_ROWS, materialize, shared_path, sized
 
-__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "read_table", "shared_path", "sized", "text_or_empty", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "without_ids"]
+
+T = TypeVar("T")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,3 +50,11 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose id_col is not in ids (one column); null ids match null ids."""
     gone = sized(ids.toDF("__gone"))
     return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """make(), once in the life of a Python worker: for tables that are slow to build and that every task needs."""
+    held = sys.__dict__.setdefault("_faultloom_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

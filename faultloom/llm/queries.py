@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
-from .common import read_table
+from . import exact_dedup, mixing, packing, quality
+from .common import held_out, read_table
+
+
+def tokenizer_file() -> str:
+    """The public vocabulary; FAULTLOOM_TOKENIZER names another file of the same format."""
+    if "FAULTLOOM_TOKENIZER" in os.environ:
+        return os.environ["FAULTLOOM_TOKENIZER"]
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(read_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op4_quality, op7_exact_dedup, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
