@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, mixing, packing, quality
+from . import exact_dedup, jaccard, mixing, packing, quality, warc
 from .common import held_out, read_table
 
 
@@ -24,6 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
@@ -43,8 +47,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_quality, op7_exact_dedup, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_warc, op4_quality, op7_exact_dedup, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_jaccard_join": jaccard.ORACLE, "op3_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
