@@ -36,7 +36,7 @@ ORDERS = (101, 202, 303)
 FREQUENT, RARE = 1 << 18, 16
 
 #: Shingles that are counted together in a task, and entries of the index that make a bucket.
-CHUNK, BUCKET = 4_000_000, 400_000
+CHUNK, BUCKET = 1_500_000, 400_000
 
 #: Lists up to this length propose all their pairs at once.
 SMALL = 8
@@ -56,16 +56,18 @@ class Order:
 
     def __init__(self, seed: int, tokens: np.ndarray, counts: np.ndarray) -> None:
         self.seed, self.tokens, self.counts = seed, tokens, counts
+        self.maybe = np.zeros(1 << 22, bool)  # by the leading bits: most shingles need no search
+        self.maybe[tokens >> np.uint64(42)] = True
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         out = scramble(shingles, self.seed) >> np.uint64(1)
-        if len(self.tokens):
-            at = np.searchsorted(self.tokens, shingles)
-            at[at == len(self.tokens)] = 0
-            often = self.tokens[at] == shingles
-            if often.any():
-                count = np.minimum(self.counts[at[often]], (1 << 30) - 1).astype(np.uint64)
-                out[often] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(33)) | (out[often] >> np.uint64(30))
+        some = np.flatnonzero(self.maybe[shingles >> np.uint64(42)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.tokens, shingles[some]), len(self.tokens) - 1)
+            found = self.tokens[at] == shingles[some]
+            often, at = some[found], at[found]
+            count = np.minimum(self.counts[at], (1 << 30) - 1).astype(np.uint64)
+            out[often] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(33)) | (out[often] >> np.uint64(30))
         return out
 
     def first(self, shingles: np.ndarray, size: int) -> np.ndarray:
@@ -333,36 +335,51 @@ def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, th
     return stored.select("bucket", *columns).groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(of_bucket, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, common: tuple, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are similar: they pass the other orders' filters, then are intersected exactly."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, common: tuple, threshold: tuple[int, int]) -> DataFrame:
+    """(node, shingles, heads) of each row of docs: the sorted shingles, and the halves of its first ones in each further order."""
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, orders = Words(), [Order(seed, *common) for seed in ORDERS[1:]]
+        for b in batches:
+            found = [s for s in (shingle_set(t.as_py(), known) for t in b.column("text")) if len(s)]
+            heads = [np.concatenate([o.first(s, prefix_size(len(s), threshold)).astype(np.uint32) for o in orders]).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(heads, pa.binary())], names=["node", "shingles", "heads"])
+
+    return _source(docs, id_col, text_col).mapInArrow(of_rows, "node long, shingles binary, heads binary")
+
+
+def meets(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two arrays without order share a value."""
+    y = np.sort(y)
+    return bool((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any())
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that are similar: they pass the other orders' filters, then are intersected exactly.
+
+    Only the sets of nodes in pairs are moved.
+    """
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [Order(seed, *common) for seed in ORDERS[1:]]
         for batch in batches:
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
+            for k, (x, y, p, q) in enumerate(zip(*(batch.column(c) for c in ("left", "right", "left_heads", "right_heads")), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 least = need(len(x), len(y), threshold)
-                if least > min(len(x), len(y)) or not all(len(np.intersect1d(o.first(x, len(x) - least + 1), o.first(y, len(y) - least + 1), assume_unique=True)) for o in orders):
+                if least > min(len(x), len(y)):
+                    continue
+                p, q = (np.frombuffer(h.as_buffer(), np.uint32).reshape(len(ORDERS) - 1, -1) for h in (p, q))
+                if not all(meets(i[: len(x) - least + 1], j[: len(y) - least + 1]) for i, j in zip(p, q, strict=True)):
                     continue
-                if len(np.intersect1d(x, y, assume_unique=True)) >= least:
+                if np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y) >= least:
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(similar, "a long, b long")
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of each row of docs; shingles are sorted 64-bit numbers."""
-
-    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in batches:
-            found = [s for s in (shingle_set(t.as_py(), known) for t in b.column("text")) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "shingles"])
-
-    return _source(docs, id_col, text_col).mapInArrow(of_rows, "node long, shingles binary")
+    of = lambda end: sets.join(sized(pairs.select(F.col(end).alias("node")).distinct()), "node", "left_semi")
+    left = of("a").select(F.col("node").alias("a"), F.col("shingles").alias("left"), F.col("heads").alias("left_heads"))
+    right = of("b").select(F.col("node").alias("b"), F.col("shingles").alias("right"), F.col("heads").alias("right_heads"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "left_heads", "right_heads")
+    return joined.mapInArrow(similar, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -394,12 +411,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = stored.select("nodes").mapInArrow(_explode_nodes, "node long")
         nodes = nodes.unionByName(inside)
     wanted = materialize(nodes.distinct().join(classes, "node").select("least").distinct(), "wanted")
-    sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col), "sets")
-    links = materialize(verify(pairs, sets, common, threshold).distinct(), "links-0")
+    sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col, common, threshold), "sets")
+    links = materialize(verify(pairs, sets, threshold), "links-0")
     labels = components(links)
     for k in range(rounds):
         more = materialize(propose_between(stored, labels, k if k < ROUNDS else None, threshold).join(pairs, ["a", "b"], "left_anti"), f"pairs-{k + 1}")
-        fresh = materialize(verify(more, sets, common, threshold).distinct(), f"links-{k + 1}")
+        fresh = materialize(verify(more, sets, threshold), f"links-{k + 1}")
         pairs, links = pairs.unionByName(more), links.unionByName(fresh)
         labels = components(labels.toDF("a", "b").unionByName(fresh))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))

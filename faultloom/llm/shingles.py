@@ -29,7 +29,7 @@ class Words(dict):
     """Hash of a word, kept for the next time; cleared when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
