@@ -4,9 +4,9 @@ Multiple-global-order prefix filtering. Under any total order of all shingles, t
 at least need = ceil(t (n + m) / (1 + t)) of them share one whose rank r in the one and s in the other obey
 need <= min(n - r, m - s). So each set lists its first n - ceil(t n) + 1 shingles under a first order with their ranks;
 shingles that meet again in a bucket of the index propose pairs, by that condition. Before a proposed pair is verified
-by exact intersection, it must also share a shingle among the first n - need + 1 and m - need + 1 under further orders.
-Common shingles come last in every order (a bounded list of the most frequent ones is counted first), rare ones by a hash
-that differs from order to order.
+by exact intersection, its parities must allow it, and it must also share a shingle among the first n - need + 1 and m - need + 1 under further orders.
+Orders are by a hash that differs from order to order; in the first, common shingles come last (a bounded list of the most
+frequent ones is counted before).
 
 Equal sets are one class and take part once. Lists of more than SMALL classes (large groups of near copies) don't propose all their pairs: chains and
 stars through them are verified first, the links' components are found, and only pairs that are still in different
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, sized, without_ids
 from .components import components
-from .shingles import Words, scramble, set_key, shingle_set
+from .shingles import Powers, distinct, scramble, set_key, shingle_set
 
 #: Similarity threshold as a fraction.
 THRESHOLD = (3, 4)
@@ -36,7 +36,7 @@ ORDERS = (101, 202, 303)
 FREQUENT, RARE = 1 << 18, 16
 
 #: Shingles that are counted together in a task, and entries of the index that make a bucket.
-CHUNK, BUCKET = 1_500_000, 400_000
+CHUNK, BUCKET = 4_000_000, 400_000
 
 #: Lists up to this length propose all their pairs at once.
 SMALL = 8
@@ -98,15 +98,18 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chunk, seen, held = Words(), [], set(), 0
+        known, chunk, seen, held = Powers(), [], set(), 0
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow_id = to_arrow_type(kind)
         names = ["id", "n", "node", "key", "token", "count"]
 
         def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
+            every = np.concatenate(chunk) if chunk else np.zeros(0, np.uint64)
+            every.sort()
+            repeats = every[1:][every[1:] == every[:-1]]
+            tokens, counts = np.unique(repeats, return_counts=True)
+            counts = counts + 1
             none = lambda t: pa.nulls(len(tokens), t)
             return pa.RecordBatch.from_arrays([none(arrow_id), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
 
@@ -144,7 +147,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
     """One row per chunk and bucket: the chunk's classes with prefix entries there, packed in arrays."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, order = Words(), Order(ORDERS[0], *common)
+        known, order = Powers(), Order(ORDERS[0], *common)
         nodes, sizes, tokens, held = [], [], [], 0
 
         def packed() -> pa.RecordBatch:
@@ -171,7 +174,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
                 sizes.append(len(s))
                 tokens.append(order.first(s, prefix_size(len(s), threshold)))
                 held += len(tokens[-1])
-                if held >= CHUNK // 2 or len(nodes) >= 60_000:
+                if held >= CHUNK // 4 or len(nodes) >= 60_000:
                     yield packed()
                     nodes, sizes, tokens, held = [], [], [], 0
         if nodes:
@@ -335,51 +338,80 @@ def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, th
     return stored.select("bucket", *columns).groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(of_bucket, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, common: tuple, threshold: tuple[int, int]) -> DataFrame:
-    """(node, shingles, heads) of each row of docs: the sorted shingles, and the halves of its first ones in each further order."""
+def parity(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 2^k >= 2 n slots: sets that differ in d shingles differ in d bits at most."""
+    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two parities differ; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, n, parity, shingles) of each row of docs; 48 bits of each shingle, in order: all low 32 bits, then all high 16."""
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, orders = Words(), [Order(seed, *common) for seed in ORDERS[1:]]
+        known = Powers()
         for b in batches:
             found = [s for s in (shingle_set(t.as_py(), known) for t in b.column("text")) if len(s)]
-            heads = [np.concatenate([o.first(s, prefix_size(len(s), threshold)).astype(np.uint32) for o in orders]).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(heads, pa.binary())], names=["node", "shingles", "heads"])
+            packed = [s.astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array(packed, pa.binary())], names=["node", "n", "parity", "shingles"])
 
-    return _source(docs, id_col, text_col).mapInArrow(of_rows, "node long, shingles binary, heads binary")
+    return _source(docs, id_col, text_col).mapInArrow(of_rows, "node long, n long, parity binary, shingles binary")
 
 
-def meets(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two arrays without order share a value."""
-    y = np.sort(y)
+def _unpacked(x: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = x.as_buffer()
+    return np.sort(np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
+def meets(x: np.ndarray, y: np.ndarray, seed: int, i: int, j: int) -> bool:
+    """Whether the first i of x and the first j of y under the order of a seed share a shingle."""
+    x, y = scramble(x, seed), scramble(y, seed)
+    x, y = (np.partition(x, i - 1)[:i] if i < len(x) else x), np.sort(np.partition(y, j - 1)[:j] if j < len(y) else y)
     return bool((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are similar: they pass the other orders' filters, then are intersected exactly.
+def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], label: str) -> DataFrame:
+    """The pairs (a, b) that are similar, materialised.
 
-    Only the sets of nodes in pairs are moved.
+    Parities (a quarter byte a shingle) rule most others out before any set is moved. The remaining pairs must pass the
+    other orders' filters, and are then intersected exactly (on 48 bits a shingle: a chance of n m / 2^48 a pair to count one
+    too many). Only the sets of nodes in such pairs are moved.
     """
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y, n, m) in enumerate(zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)):
+                most = n + m - 2 * int(need(n, m, threshold))
+                if most >= 0 and differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for k, (x, y, p, q) in enumerate(zip(*(batch.column(c) for c in ("left", "right", "left_heads", "right_heads")), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least = need(len(x), len(y), threshold)
-                if least > min(len(x), len(y)):
-                    continue
-                p, q = (np.frombuffer(h.as_buffer(), np.uint32).reshape(len(ORDERS) - 1, -1) for h in (p, q))
-                if not all(meets(i[: len(x) - least + 1], j[: len(y) - least + 1]) for i, j in zip(p, q, strict=True)):
-                    continue
-                if np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y) >= least:
+            for k, (x, y, n, m) in enumerate(zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)):
+                x, y, least = _unpacked(x, n), _unpacked(y, m), int(need(n, m, threshold))
+                if all(meets(x, y, seed, n - least + 1, m - least + 1) for seed in ORDERS[1:]) and np.count_nonzero(x[np.minimum(np.searchsorted(x, y), n - 1)] == y) >= least:
                     keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
+
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("node").alias("a"), "n", F.col(column).alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
+        right = right.join(sized(pairs.select("b").distinct()), "b", "left_semi")
+        return left.join(sized(pairs), "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
 
-    of = lambda end: sets.join(sized(pairs.select(F.col(end).alias("node")).distinct()), "node", "left_semi")
-    left = of("a").select(F.col("node").alias("a"), F.col("shingles").alias("left"), F.col("heads").alias("left_heads"))
-    right = of("b").select(F.col("node").alias("b"), F.col("shingles").alias("right"), F.col("heads").alias("right_heads"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right", "left_heads", "right_heads")
-    return joined.mapInArrow(similar, "a long, b long").distinct()
+    near = materialize(joined(pairs, "parity").mapInArrow(close, "a long, b long").distinct(), f"close-{label}")
+    return materialize(joined(near, "shingles").mapInArrow(similar, "a long, b long").distinct(), f"links-{label}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -411,12 +443,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = stored.select("nodes").mapInArrow(_explode_nodes, "node long")
         nodes = nodes.unionByName(inside)
     wanted = materialize(nodes.distinct().join(classes, "node").select("least").distinct(), "wanted")
-    sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col, common, threshold), "sets")
-    links = materialize(verify(pairs, sets, threshold), "links-0")
+    sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col), "sets")
+    links = verify(pairs, sets, threshold, "0")
     labels = components(links)
     for k in range(rounds):
         more = materialize(propose_between(stored, labels, k if k < ROUNDS else None, threshold).join(pairs, ["a", "b"], "left_anti"), f"pairs-{k + 1}")
-        fresh = materialize(verify(more, sets, threshold), f"links-{k + 1}")
+        fresh = verify(more, sets, threshold, str(k + 1))
         pairs, links = pairs.unionByName(more), links.unionByName(fresh)
         labels = components(labels.toDF("a", "b").unionByName(fresh))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
