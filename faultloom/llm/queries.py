@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grulm, jaccard, mixing, packing, quality, warc
+from . import exact_dedup, grulm, jaccard, mixing, packing, pii, quality, warc
 from .common import held_out, read_table
 
 
@@ -38,6 +38,10 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grulm.scores(read_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(read_table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_warc, op4_quality, op5_lm_scores, op7_exact_dedup, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_warc, op4_quality, op5_lm_scores, op6_pii, op7_exact_dedup, op8_packing, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
