@@ -322,9 +322,7 @@ def train(labelled: DataFrame) -> Field:
     stretches, labels = [], []
     for _ in range(COPIES):
         for line in lines:
-            text, spans = unmark(line)
-            address = {n for a, b, k in spans if k == 1 for n in range(a, b)}
-            text = redrawn(text, address, rng)
+            text, spans = unmark(redrawn(line, rng))
             tokens = tokens_of(text)
             own = [0] * len(tokens)
             for a, b, kind in spans:
@@ -347,16 +345,11 @@ def unmark(line: str) -> tuple[str, list[tuple[int, int, int]]]:
     return text + line[at:], spans
 
 
-def redrawn(text: str, address: set[int], rng: np.random.Generator) -> str:
-    """text with other digits, as many; numbers at places in address are 255 at most."""
-
-    def draw(m: re.Match) -> str:
-        size = len(m[0])
-        if m.start() in address and size <= 3:
-            return str(rng.integers(10 ** (size - 1), min(255, 10**size - 1) + 1))
-        return "".join(map(str, rng.integers(0, 10, size)))
-
-    return re.sub(r"[0-9]+", draw, text)
+def redrawn(line: str, rng: np.random.Generator) -> str:
+    """A marked line with other digits: numbers of an address are 255 at most, others keep their number of digits."""
+    address = lambda m: str(rng.integers(0, 256))
+    other = lambda m: "".join(map(str, rng.integers(0, 10, len(m[0]))))
+    return "".join(re.sub(r"[0-9]+", address if part.startswith("<ip>") else other, part) for part in re.split(r"(<ip>.*?</ip>)", line))
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, grulm, jaccard, mixing, packing, pii, quality, warc
+from . import exact_dedup, grulm, jaccard, licenses, mixing, packing, pii, quality, warc
 from .common import held_out, read_table
 
 
@@ -50,12 +50,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(read_table(spark, sf_dir, "documents"), licenses.train(licenses.templates_table(spark)))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_warc, op4_quality, op5_lm_scores, op6_pii, op7_exact_dedup, op8_packing, op10_mixing)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_warc, op4_quality, op5_lm_scores, op6_pii, op7_exact_dedup, op8_packing, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

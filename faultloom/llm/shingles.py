@@ -52,35 +52,41 @@ class Powers:
             self.up, self.down = (np.cumprod(x) for x in ones)
 
 
-def _segment_hashes(data: np.ndarray, powers: Powers) -> np.ndarray:
+def _segment_hashes(data: np.ndarray, powers: Powers, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     powers.grow(len(data) + 1)
-    edge = np.diff(np.concatenate([[False], ~_BLANK[data], [False]]).view(np.int8))
+    edge = np.diff(np.concatenate([[False], ~blank[data], [False]]).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * powers.up[: len(data)], out=sums[1:])
-    return scramble((sums[ends] - sums[starts]) * powers.down[starts], 7) + (ends - starts).astype(np.uint64)
+    return scramble((sums[ends] - sums[starts]) * powers.down[starts], 7) + (ends - starts).astype(np.uint64), starts
 
 
-def hashes(text: bytes | None, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each word of a UTF-8 text, A-Z lower-cased; words are cut at the six ASCII blanks only.
+def located(text: bytes | None, powers: Powers, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a UTF-8 text, A-Z lower-cased, and the byte where it starts.
 
-    A word's hash is the sum of its bytes' values times powers of the base; differences of running sums give it for all
-    words at once.
+    Words are cut at the bytes that blank marks. A word's hash is the sum of its bytes' values times powers of the base;
+    differences of running sums give it for all words at once.
     """
     if not text:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = np.frombuffer(text, np.uint8)
     if len(data) <= 2 * SEGMENT:
-        return _segment_hashes(data, powers)
+        return _segment_hashes(data, powers, blank)
     parts, at = [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
-        while end < len(data) and not _BLANK[data[end]]:
-            more = np.flatnonzero(_BLANK[data[end : end + 4096]])
+        while end < len(data) and not blank[data[end]]:
+            more = np.flatnonzero(blank[data[end : end + 4096]])
             end = end + int(more[0]) if len(more) else min(end + 4096, len(data))
-        parts.append(_segment_hashes(data[at:end], powers))
+        found, starts = _segment_hashes(data[at:end], powers, blank)
+        parts.append((found, starts + at))
         at = end
-    return np.concatenate(parts)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
+def hashes(text: bytes | None, powers: Powers) -> np.ndarray:
+    """The hashes of a text's words, cut at the six ASCII blanks only."""
+    return located(text, powers)[0]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
