@@ -390,8 +390,8 @@ def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
         blob = bytes(warm[0].weights)
     if groups > 1:
         parts = materialize(picked.groupBy("group").applyInArrow(learner(blob, RATE / 3, 1), schema), "weights")
-        halves = parts.groupBy((F.col("group") % 64).alias("group")).applyInArrow(average, schema)
-        ends = halves.groupBy(F.floor(F.col("group") / 64).alias("group")).applyInArrow(average, schema).collect()
+        halves = parts.withColumn("group", F.col("group") % 64).groupBy("group").applyInArrow(average, schema)
+        ends = halves.withColumn("group", F.floor(F.col("group") / 64)).groupBy("group").applyInArrow(average, schema).collect()
         if ends:
             blob = bytes(ends[0].weights)
     return Network(vocabulary, _unpack(blob, base.w))
