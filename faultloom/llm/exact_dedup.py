@@ -75,7 +75,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shared = materialize(by_id.where("__any and __n > 1").select("__i"), "shared-ids")
     if shared.isEmpty():
         return out
-    keep = said.where("kept").join(shared, F.col("__i").eqNullSafe(shared["__i"]), "left_semi").select("__i", "__d")
+    keep = said.where("kept").join(shared.toDF("__s"), F.col("__i").eqNullSafe(F.col("__s")), "left_semi").select("__i", "__d")
     digest = F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256))
     rows = df.withColumn("__digest", digest).join(keep, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d")))
     once = rows.groupBy("__i", "__d").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__one"))
