@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultloom.session import BROADCAST_ROWS, materialize, shared_path, sized
 
-__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "without_ids"]
 
 T = TypeVar("T")
 
@@ -58,3 +58,22 @@ def per_worker(key: tuple, make: Callable[[], T]) -> T:
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list:
+    """Rows (key, count) of the most frequent keys, at most most of them, most frequent first.
+
+    A histogram of the counts (16 bins an octave) gives the bin from which on they are few enough, so that only those
+    rows move, however many tasks there are.
+    """
+    place = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    bins = sorted(counts.groupBy(place.alias("bin")).count().collect(), key=lambda r: -r[0])
+    least, total = None, 0
+    for bin_, size in bins:
+        total += size
+        if total > most:
+            break
+        least = bin_
+    if least is None:
+        return []
+    return sorted(counts.where(place >= least).select(key, count).collect(), key=lambda r: (-r[1], r[0]))

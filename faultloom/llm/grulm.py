@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, materialize
+from .common import arrow_batches, held_out, materialize, most_frequent
 from .shingles import scramble
 
 HEAD, WIDTH, KINDS, UNITS, EMBED = 1024, 32, 16, 16, 16
@@ -130,7 +130,7 @@ class Vocabulary:
     """What every task knows of the counts: the LOOKUP most frequent tokens (12 bytes each), and sums."""
 
     def __init__(self, counted: DataFrame) -> None:
-        top = counted.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).select("t.top", "t.top_counts").orderBy(F.desc("top_counts"), "top").limit(LOOKUP).collect()
+        top = most_frequent(counted.select(F.explode(F.arrays_zip("top", "top_counts")).alias("t")).select("t.top", "t.top_counts"), "top", "top_counts", LOOKUP)
         sums = counted.select(F.posexplode(F.arrays_zip("mass", "types")).alias("kind", "s")).groupBy("kind").agg(F.sum("s.mass"), F.sum("s.types")).collect()
         self.mass, self.types = np.zeros(KINDS), np.zeros(KINDS)
         for kind, mass, types in sums:
