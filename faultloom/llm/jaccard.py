@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, sized, without_ids
+from .common import arrow_batches, materialize, most_frequent, sized, without_ids
 from .components import components
 from .shingles import Powers, distinct, scramble, set_key, shingle_set
 
@@ -137,7 +137,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, sorted by shingle: FREQUENT of them at most."""
-    top = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(f"count >= {RARE}").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    sums = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(f"count >= {RARE}")
+    top = most_frequent(materialize(sums, "token-counts"), "token", "count", FREQUENT)
     tokens, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     at = np.argsort(tokens)
     return tokens[at], counts[at]
