@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import sys
 from collections.abc import Callable
 from typing import TypeVar
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultloom.session import BROADCAST_ROWS, materialize, shared_path, sized
 
-__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "tidy", "without_ids"]
 
 T = TypeVar("T")
 
@@ -77,3 +80,37 @@ def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list:
     if least is None:
         return []
     return sorted(counts.where(place >= least).select(key, count).collect(), key=lambda r: (-r[1], r[0]))
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(f: Callable) -> Callable:
+    """f (a function of mapInArrow or applyInArrow), followed by release()."""
+
+    def batches(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    def group(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    if inspect.isgeneratorfunction(f):
+        return batches
+    if len(inspect.signature(f).parameters) == 3:
+        return lambda key, left, right: group(key, left, right)
+    return lambda first, second: group(first, second)

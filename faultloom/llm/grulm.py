@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, materialize, most_frequent
+from .common import arrow_batches, held_out, materialize, most_frequent, tidy
 from .shingles import scramble
 
 HEAD, WIDTH, KINDS, UNITS, EMBED = 1024, 32, 16, 16, 16
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
         )
 
     schema = "bucket long, ids binary, counts binary, top array<long>, top_counts array<long>, mass array<long>, types array<long>"
-    return materialize(docs.mapInArrow(chunks, "bucket long, ids binary, counts binary").groupBy("bucket").applyInArrow(merge, schema), "token-counts")
+    return materialize(docs.mapInArrow(tidy(chunks), "bucket long, ids binary, counts binary").groupBy("bucket").applyInArrow(tidy(merge), schema), "token-counts")
 
 
 class Vocabulary:
@@ -468,7 +468,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
             yield from scored()
 
     schema = f"chunk long, place long, id {id_type}, held boolean, n_tokens long, n_known long, base double, score double, bucket long, ids binary, places binary"
-    first = materialize(rows.mapInArrow(chunks, schema), "scored-chunks")
+    first = materialize(rows.mapInArrow(tidy(chunks), schema), "scored-chunks")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10(c + 0.5) and numbers of known tokens by chunk and place, for a bucket's open occurrences."""
@@ -490,7 +490,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in ("places", "sums", "known")}})
 
     asked = first.where("bucket is not null").select("bucket", "chunk", "ids", "places")
-    answered = asked.groupBy("bucket").cogroup(counted.select("bucket", "ids", "counts").groupBy("bucket")).applyInArrow(answer, "chunk long, places binary, sums binary, known binary")
+    answered = asked.groupBy("bucket").cogroup(counted.select("bucket", "ids", "counts").groupBy("bucket")).applyInArrow(tidy(answer), "chunk long, places binary, sums binary, known binary")
 
     def complete(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -507,5 +507,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         return out.append_column("base", pa.array(left["base"].to_numpy() + more)).append_column("score", pa.array(left["score"].to_numpy() + more))
 
     texts = first.where("place is not null").select("chunk", "place", "id", "held", "n_tokens", "n_known", "base", "score")
-    out = texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(complete, f"id {id_type}, held boolean, n_tokens long, n_known long, base double, score double")
+    out = texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(tidy(complete), f"id {id_type}, held boolean, n_tokens long, n_known long, base double, score double")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, most_frequent, sized, without_ids
+from .common import arrow_batches, materialize, most_frequent, sized, tidy, without_ids
 from .components import components
 from .shingles import Powers, distinct, scramble, set_key, shingle_set
 
@@ -132,7 +132,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), none, none], names=names)
         yield counted()
 
-    return materialize(_source(docs, id_col, text_col).mapInArrow(measure, f"id {id_type}, n long, node long, key binary, token long, count long"), "profile")
+    return materialize(_source(docs, id_col, text_col).mapInArrow(tidy(measure), f"id {id_type}, n long, node long, key binary, token long, count long"), "profile")
 
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
         if nodes:
             yield packed()
 
-    return _source(docs, id_col, text_col).mapInArrow(entries, "bucket long, nodes binary, sizes binary, tokens binary, own binary, ranks binary")
+    return _source(docs, id_col, text_col).mapInArrow(tidy(entries), "bucket long, nodes binary, sizes binary, tokens binary, own binary, ranks binary")
 
 
 class Lists:
@@ -308,7 +308,7 @@ def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         long = lists.long_only()
         return _batch(pairs, key[0].as_py(), long if len(long.member) else None)
 
-    return materialize(entries.groupBy("bucket").applyInArrow(of_bucket, _PROPOSALS), "proposals")
+    return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), _PROPOSALS), "proposals")
 
 
 def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, threshold: tuple[int, int]) -> DataFrame:
@@ -336,7 +336,7 @@ def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, th
         places = lists.across(component) if round_ is None else (p for seed in (31 + 2 * round_, 32 + 2 * round_) for p in lists.chains(seed, component))
         return _batch(lists.nodes[lists.proposed(places)]).select(["a", "b"])
 
-    return stored.select("bucket", *columns).groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(of_bucket, "a long, b long").distinct()
+    return stored.select("bucket", *columns).groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(tidy(of_bucket), "a long, b long").distinct()
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -364,7 +364,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             packed = [s.astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array(packed, pa.binary())], names=["node", "n", "parity", "shingles"])
 
-    return _source(docs, id_col, text_col).mapInArrow(of_rows, "node long, n long, parity binary, shingles binary")
+    return _source(docs, id_col, text_col).mapInArrow(tidy(of_rows), "node long, n long, parity binary, shingles binary")
 
 
 def _unpacked(x: pa.BinaryScalar, n: int) -> np.ndarray:
@@ -411,8 +411,8 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], label:
         right = right.join(sized(pairs.select("b").distinct()), "b", "left_semi")
         return left.join(sized(pairs), "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
 
-    near = materialize(joined(pairs, "parity").mapInArrow(close, "a long, b long").distinct(), f"close-{label}")
-    return materialize(joined(near, "shingles").mapInArrow(similar, "a long, b long").distinct(), f"links-{label}")
+    near = materialize(joined(pairs, "parity").mapInArrow(tidy(close), "a long, b long").distinct(), f"close-{label}")
+    return materialize(joined(near, "shingles").mapInArrow(tidy(similar), "a long, b long").distinct(), f"links-{label}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, tidy
 from .shingles import Powers, located, scramble
 
 DIMS, CERTAIN, LIKE, LEAST_PAIRS = 1 << 16, 0.8, 0.6, 2
@@ -233,4 +233,4 @@ def find(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
                 names=["id", "n_paragraphs", "n_licensed", "families", "found"],
             )
 
-    return source.mapInArrow(scan, f"id {id_type}, n_paragraphs long, n_licensed long, families string, found string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(scan), f"id {id_type}, n_paragraphs long, n_licensed long, families string, found string").withColumnRenamed("id", id_col)

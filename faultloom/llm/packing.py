@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, per_worker
+from .common import arrow_batches, materialize, per_worker, tidy
 
 WIDTH, LEAST, END_ID = 1024, 64, 0
 HASH_DIMS, AXES, BITS = 256, 3, 10
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys[own]), b.column("id").take(pa.array(own)), *(pa.array(x) for x in (start, length, crc, total))], names=names)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(cut, f"kind long, key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(tidy(cut), f"kind long, key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fill(kinds: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -196,5 +196,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         table = table.append_column("sequence_id", pa.array(where[:, 0] + first)).append_column("offset", pa.array(where[:, 1])).drop_columns(["kind"])
         yield from table.to_batches(max_chunksize=50_000)
 
-    placed = ranged.mapInArrow(place, f"key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranged.mapInArrow(tidy(place), f"key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("key").alias("hilbert_key"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -397,5 +397,5 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 names=["id", *(f"n_{k}" for k in KINDS), "n_added", "base_sha256", "spans"],
             )
 
-    out = source.mapInArrow(search, f"id {id_type}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
+    out = source.mapInArrow(tidy(search), f"id {id_type}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)

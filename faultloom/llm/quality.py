@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out
+from .common import arrow_batches, held_out, tidy
 
 TRAIN_ROWS = 8000
 WORD_DIMS, RANK, BINS = 1 << 14, 8, 10
@@ -66,7 +66,7 @@ class Encoder:
         words = text.lower().split()
         counts = Counter(words)
         slots = self.slots
-        if len(slots) > 500_000:
+        if len(slots) > 100_000:
             slots.clear()
         index = np.empty(len(counts), np.int64)
         for i, w in enumerate(counts):
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 names=["id", "label", "slots", "weights", "stats"],
             )
 
-    got = sorted(source.mapInArrow(encode, schema).collect(), key=lambda r: (r.id, r.label, r.slots))[: 2 * rows]
+    got = sorted(source.mapInArrow(tidy(encode), schema).collect(), key=lambda r: (r.id, r.label, r.slots))[: 2 * rows]
     stats = np.array([r.stats for r in got]).reshape(-1, STATS)
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(got) else np.zeros((STATS, BINS - 1))
     model = Model(edges)
@@ -197,5 +197,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 scores[at : at + 64] = model.score(rows)
             yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(kept))), pa.array(scores)], names=[*(f"k{i}" for i in range(len(kept))), "score"])
 
-    out = source.mapInArrow(apply, schema)
+    out = source.mapInArrow(tidy(apply), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, tidy
 
 SHARD, DEGREE, BEAM, QUERY_BEAM, WIDE, SLACK, BATCH = 4096, 32, 64, 96, 4, 1.2, 512
 
@@ -216,7 +216,7 @@ def build_index(vectors: DataFrame, k: int) -> DataFrame:
         return pa.table({"shard": [key[0].as_py()], "n": [len(names)], "entry": [graph.entry], "exact": binary(exact), "edges": binary(graph.edges), "ids": binary(np.concatenate(lists)), "counts": binary(np.array([len(x) for x in lists], np.int64))})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)))
-    return materialize(dealt.groupBy("shard").applyInArrow(build, "shard long, n long, entry long, exact binary, edges binary, ids binary, counts binary"), "graphs")
+    return materialize(dealt.groupBy("shard").applyInArrow(tidy(build), "shard long, n long, entry long, exact binary, edges binary, ids binary, counts binary"), "graphs")
 
 
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -255,6 +255,6 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
-    hits = spread.groupBy("shard", "part").cogroup(packed.groupBy("shard", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    hits = spread.groupBy("shard", "part").cogroup(packed.groupBy("shard", "part")).applyInArrow(tidy(search), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
