@@ -156,15 +156,16 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
             lengths = np.array([len(t) for t in tokens])
             own = np.repeat(np.arange(len(tokens), dtype=np.uint16), lengths)
             rank = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
+            before = np.where(rank > 0, np.r_[np.uint64(0), token[:-1]] | np.uint64(1), np.uint64(0)).astype(np.uint32)
             bucket = (scramble(token, 9) % np.uint64(buckets)).astype(np.int64)
             at = np.argsort(bucket, kind="stable")
-            bucket, token, own, rank = bucket[at], token[at], own[at], rank[at]
+            bucket, token, own, rank, before = bucket[at], token[at], own[at], rank[at], before[at]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             all_nodes, all_sizes, rows = np.array(nodes, np.int64), np.array(sizes, np.uint32), []
             for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True):
                 used, inverse = np.unique(own[a:z], return_inverse=True)
-                rows.append((int(bucket[a]), all_nodes[used].tobytes(), all_sizes[used].tobytes(), token[a:z].tobytes(), inverse.astype(np.uint16).tobytes(), rank[a:z].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names=["bucket", "nodes", "sizes", "tokens", "own", "ranks"])
+                rows.append((int(bucket[a]), all_nodes[used].tobytes(), all_sizes[used].tobytes(), token[a:z].tobytes(), inverse.astype(np.uint16).tobytes(), rank[a:z].tobytes(), before[a:z].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=["bucket", "nodes", "sizes", "tokens", "own", "ranks", "before"])
 
         for b in batches:
             for text in b.column("text"):
@@ -181,43 +182,47 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
         if nodes:
             yield packed()
 
-    return _source(docs, id_col, text_col).mapInArrow(tidy(entries), "bucket long, nodes binary, sizes binary, tokens binary, own binary, ranks binary")
+    return _source(docs, id_col, text_col).mapInArrow(tidy(entries), "bucket long, nodes binary, sizes binary, tokens binary, own binary, ranks binary, before binary")
 
 
 class Lists:
     """The classes that share a shingle of a bucket, list by list: local class numbers, and the ranks there."""
 
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, member: np.ndarray, rank: np.ndarray, threshold: tuple[int, int]) -> None:
-        self.nodes, self.sizes, self.starts, self.member, self.rank, self.threshold = nodes, sizes, starts, member, rank, threshold
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, member: np.ndarray, rank: np.ndarray, before: np.ndarray, threshold: tuple[int, int]) -> None:
+        self.nodes, self.sizes, self.starts, self.member, self.rank, self.before, self.threshold = nodes, sizes, starts, member, rank, before, threshold
 
     @staticmethod
     def gather(table: pa.Table, threshold: tuple[int, int]) -> Lists:
-        part = {c: [x.as_py() for x in table[c]] for c in ("nodes", "sizes", "tokens", "own", "ranks")}
+        part = {c: [x.as_py() for x in table[c]] for c in ("nodes", "sizes", "tokens", "own", "ranks", "before")}
         chunk_nodes = [np.frombuffer(x, np.int64) for x in part["nodes"]]
         base = np.cumsum([0, *map(len, chunk_nodes)])
         every, sizes = np.concatenate(chunk_nodes), np.concatenate([np.frombuffer(x, np.uint32) for x in part["sizes"]]).astype(np.int64)
         token = np.concatenate([np.frombuffer(x, np.uint64) for x in part["tokens"]])
         own = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + base[k] for k, x in enumerate(part["own"])])
-        rank = np.concatenate([np.frombuffer(x, np.uint32) for x in part["ranks"]]).astype(np.int64)
+        rank, before = (np.concatenate([np.frombuffer(x, np.uint32) for x in part[k]]).astype(np.int64) for k in ("ranks", "before"))
         nodes, first, inverse = np.unique(every, return_index=True, return_inverse=True)
         sizes, own = sizes[first], inverse[own]
         at = np.lexsort((own, token))
-        token, own, rank = token[at], own[at], rank[at]
+        token, own, rank, before = token[at], own[at], rank[at], before[at]
         fresh = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]
-        token, own, rank = token[fresh], own[fresh], rank[fresh]
+        token, own, rank, before = token[fresh], own[fresh], rank[fresh], before[fresh]
         new = np.r_[True, token[1:] != token[:-1]]
         length = np.diff(np.r_[np.flatnonzero(new), len(token)])
         several = np.repeat(length, length) > 1
         length = length[length > 1]
-        return Lists(nodes, sizes, np.cumsum(np.r_[0, length]), own[several], rank[several], threshold)
+        return Lists(nodes, sizes, np.cumsum(np.r_[0, length]), own[several], rank[several], before[several], threshold)
 
     def lengths(self) -> np.ndarray:
         return np.diff(self.starts)
 
     def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the entries x and y (places in member) of one list may belong to similar sets."""
+        """Whether the entries x and y (places in member) of one list may be the first that two similar sets share.
+
+        If the shingles just before them are equal too, another list has the first one, and proposes the pair.
+        """
         n, m = self.sizes[self.member[x]], self.sizes[self.member[y]]
-        return need(n, m, self.threshold) <= np.minimum(n - self.rank[x], m - self.rank[y])
+        again = (self.before[x] == self.before[y]) & (self.before[x] != 0)
+        return ~again & (need(n, m, self.threshold) <= np.minimum(n - self.rank[x], m - self.rank[y]))
 
     def short_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All places (x, y) in lists up to SMALL."""
@@ -276,11 +281,11 @@ class Lists:
         lengths = self.lengths()
         keep = np.repeat(lengths, lengths) > SMALL
         used, inverse = np.unique(self.member[keep], return_inverse=True)
-        return Lists(self.nodes[used], self.sizes[used], np.cumsum(np.r_[0, lengths[lengths > SMALL]]), inverse, self.rank[keep], self.threshold)
+        return Lists(self.nodes[used], self.sizes[used], np.cumsum(np.r_[0, lengths[lengths > SMALL]]), inverse, self.rank[keep], self.before[keep], self.threshold)
 
 
 #: Names and numpy types of the arrays of Lists, as they are stored.
-_STORED = {"nodes": np.int64, "sizes": np.int64, "starts": np.int64, "member": np.int64, "rank": np.int64}
+_STORED = {"nodes": np.int64, "sizes": np.int64, "starts": np.int64, "member": np.int64, "rank": np.int64, "before": np.int64}
 _PROPOSALS = "a long, b long, bucket long, " + ", ".join(f"{k} binary" for k in _STORED)
 
 
