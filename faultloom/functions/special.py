@@ -6,12 +6,10 @@ import math
 
 import numpy as np
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-
-
 def normal_sf(z):
     """P(Z > z) of the standard normal."""
-    return 0.5 * _erfc(np.asarray(z, float) / math.sqrt(2))
+    x = np.asarray(z, float) / math.sqrt(2)
+    return 0.5 * np.array([math.erfc(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def two_sided(z):
