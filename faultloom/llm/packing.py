@@ -150,29 +150,36 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return source.mapInArrow(tidy(cut), f"kind long, key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def fill(kinds: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(sequence, offset) of each piece of one partition, in order; sequences count from 0."""
-    n, at, sequence, offset = len(kinds), 0, 0, 0
-    while at < n:
-        size = kinds[at]
-        if size >= LEAST:
-            end = at
-            while end < n and kinds[end] == size:
-                end += 1
-            per = WIDTH // size
-            while at < end:
-                while per > end - at:
+class Filler:
+    """Places pieces, which come ordered by size, into sequences; sequences count from 0."""
+
+    def __init__(self) -> None:
+        self.sequence, self.offset = 0, 0
+
+    def place(self, kinds: np.ndarray, lengths: np.ndarray, last: bool) -> list[tuple[int, int]]:
+        """(sequence, offset) of the first pieces; those of an unfinished sequence at the end wait, unless it is the last call."""
+        out: list[tuple[int, int]] = []
+        bounds = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1], True]) if len(kinds) else np.zeros(1, np.int64)
+        for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            size, closed = int(kinds[at]), last or end < len(kinds)
+            if size < LEAST:
+                for length in lengths[at:end].tolist():
+                    if self.offset + length > WIDTH:
+                        self.sequence, self.offset = self.sequence + 1, 0
+                    out.append((self.sequence, self.offset))
+                    self.offset += length
+                continue
+            if self.offset:  # tails came before: their last sequence is closed
+                self.sequence, self.offset = self.sequence + 1, 0
+            per, left = WIDTH // size, end - at
+            while left:
+                while closed and per > left:
                     per //= 2
-                for k in range(per):
-                    yield sequence, k * size
-                at, sequence = at + per, sequence + 1
-        else:
-            offset = 0
-            while at < n:
-                if offset + lengths[at] > WIDTH:
-                    sequence, offset = sequence + 1, 0
-                yield sequence, offset
-                offset, at = offset + lengths[at], at + 1
+                if per > left:
+                    break
+                out += [(self.sequence, k * size) for k in range(per)]
+                self.sequence, left = self.sequence + 1, left - per
+        return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,14 +194,19 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     id_type = dict(docs.dtypes)[id_col]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        where = np.fromiter((x for pair in fill(table["kind"].to_numpy(), table["length"].to_numpy()) for x in pair), np.int64, 2 * len(table)).reshape(-1, 2)
-        first = TaskContext.get().partitionId() << 36
-        table = table.append_column("sequence_id", pa.array(where[:, 0] + first)).append_column("offset", pa.array(where[:, 1])).drop_columns(["kind"])
-        yield from table.to_batches(max_chunksize=50_000)
+        filler, first, held = Filler(), TaskContext.get().partitionId() << 36, None
+
+        def placed_of(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+            where = np.array(filler.place(table["kind"].to_numpy(), table["length"].to_numpy(), last), np.int64).reshape(-1, 2)
+            out = table.slice(0, len(where)).append_column("sequence_id", pa.array(where[:, 0] + first)).append_column("offset", pa.array(where[:, 1])).drop_columns(["kind"])
+            return out, table.slice(len(where))
+
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            out, held = placed_of(now if held is None else pa.concat_tables([held, now]).combine_chunks(), False)
+            yield from out.combine_chunks().to_batches()
+        if held is not None:
+            yield from placed_of(held, True)[0].combine_chunks().to_batches()
 
     placed = ranged.mapInArrow(tidy(place), f"key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("key").alias("hilbert_key"))

@@ -126,7 +126,11 @@ def test_hilbert_steps_to_neighbours():
 def test_cuts_and_fill():
     for n in range(1, 3000, 7):
         assert sum(x for _, x in packing.cuts(n)) == n
-    kinds = np.array([1024, 512, 512, 512, 256, 256, 256, 63, 63, 63])
-    lengths = np.array([1024, 512, 512, 512, 256, 256, 256, 60, 3, 10])
-    where = list(packing.fill(kinds, lengths))
-    assert where == [(0, 0), (1, 0), (1, 512), (2, 0), (3, 0), (3, 256), (4, 0), (5, 0), (5, 60), (5, 63)]
+    kinds = np.array([63, 63, 63, 256, 256, 256, 512, 512, 512, 1024])
+    lengths = np.array([60, 1000, 10, 256, 256, 256, 512, 512, 512, 1024])
+    want = [(0, 0), (1, 0), (1, 1000), (2, 0), (2, 256), (3, 0), (4, 0), (4, 512), (5, 0), (6, 0)]
+    assert packing.Filler().place(kinds, lengths, True) == want
+    for cut in range(len(kinds) + 1):  # any split of the input gives the same places
+        f = packing.Filler()
+        done = f.place(kinds[:cut], lengths[:cut], False)
+        assert done + f.place(kinds[len(done) :], lengths[len(done) :], True) == want
