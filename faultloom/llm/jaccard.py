@@ -41,6 +41,9 @@ CHUNK, BUCKET = 4_000_000, 400_000
 #: Lists up to this length propose all their pairs at once.
 SMALL = 8
 
+#: Slots of the parities by which pairs of long lists are ruled out where they are proposed.
+COARSE = 1024
+
 #: Rounds of chains between components, before all remaining pairs are taken.
 ROUNDS = 3
 
@@ -188,8 +191,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tup
 class Lists:
     """The classes that share a shingle of a bucket, list by list: local class numbers, and the ranks there."""
 
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, member: np.ndarray, rank: np.ndarray, before: np.ndarray, threshold: tuple[int, int]) -> None:
-        self.nodes, self.sizes, self.starts, self.member, self.rank, self.before, self.threshold = nodes, sizes, starts, member, rank, before, threshold
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, member: np.ndarray, rank: np.ndarray, before: np.ndarray, threshold: tuple[int, int], coarse: np.ndarray | None = None) -> None:
+        self.nodes, self.sizes, self.starts, self.member, self.rank, self.before, self.threshold, self.coarse = nodes, sizes, starts, member, rank, before, threshold, coarse
 
     @staticmethod
     def gather(table: pa.Table, threshold: tuple[int, int]) -> Lists:
@@ -218,11 +221,17 @@ class Lists:
     def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the entries x and y (places in member) of one list may be the first that two similar sets share.
 
-        If the shingles just before them are equal too, another list has the first one, and proposes the pair.
+        If the shingles just before them are equal too, another list has the first one, and proposes the pair. Where
+        the sets' coarse parities are known, they must allow it as well.
         """
-        n, m = self.sizes[self.member[x]], self.sizes[self.member[y]]
-        again = (self.before[x] == self.before[y]) & (self.before[x] != 0)
-        return ~again & (need(n, m, self.threshold) <= np.minimum(n - self.rank[x], m - self.rank[y]))
+        a, b = self.member[x], self.member[y]
+        n, m = self.sizes[a], self.sizes[b]
+        least = need(n, m, self.threshold)
+        out = (least <= np.minimum(n - self.rank[x], m - self.rank[y])) & ~((self.before[x] == self.before[y]) & (self.before[x] != 0))
+        if self.coarse is not None:
+            at = np.flatnonzero(out)
+            out[at] = np.bitwise_count(self.coarse[a[at]] ^ self.coarse[b[at]]).sum(1) <= (n + m - 2 * least)[at]
+        return out
 
     def short_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All places (x, y) in lists up to SMALL."""
@@ -316,20 +325,43 @@ def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), _PROPOSALS), "proposals")
 
 
-def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of long lists whose classes are in different components: chains in round round_, all if it is None."""
-    columns = list(_STORED)
-
-    def unpack(table: pa.Table) -> Lists:
-        return Lists(*(np.frombuffer(table[k][0].as_py(), t) for k, t in _STORED.items()), threshold)
+def members(stored: DataFrame) -> DataFrame:
+    """(bucket, node) of the classes in stored lists."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, nodes in zip(b.column("bucket").to_pylist(), b.column("nodes"), strict=True):
                 own = np.frombuffer(nodes.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket)), pa.array(own)], names=["bucket", "node"])
 
-    inside = stored.select("bucket", "nodes").mapInArrow(members, "bucket long, node long").join(labels, "node").select("bucket", "node", "component")
+    return stored.select("bucket", "nodes").mapInArrow(explode, "bucket long, node long")
+
+
+def with_parities(stored: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored lists with the coarse parities of their classes, in the order of nodes."""
+
+    def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = np.frombuffer(left["nodes"][0].as_py(), np.int64) if len(left) else np.zeros(0, np.int64)
+        coarse = np.zeros((len(nodes), COARSE // 8), np.uint8)
+        if len(right):
+            coarse[np.searchsorted(nodes, right["node"].to_numpy())] = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in right["coarse"]])
+        return left.append_column("coarse", pa.array([coarse.tobytes()] * len(left), pa.binary()))
+
+    known = members(stored).join(sets.select("node", "coarse"), "node").select("bucket", "node", "coarse")
+    names = ", ".join(f"{k} binary" for k in _STORED)
+    lists = stored.select("bucket", *_STORED)
+    return materialize(lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), f"bucket long, {names}, coarse binary"), "lists")
+
+
+def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of long lists whose classes are in different components: chains in round round_, all if it is None."""
+
+
+    def unpack(table: pa.Table) -> Lists:
+        coarse = np.frombuffer(table["coarse"][0].as_py(), np.uint64).reshape(-1, COARSE // 64)
+        return Lists(*(np.frombuffer(table[k][0].as_py(), t) for k, t in _STORED.items()), threshold, coarse)
+
+    inside = members(stored).join(labels, "node").select("bucket", "node", "component")
 
     def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -341,12 +373,12 @@ def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, th
         places = lists.across(component) if round_ is None else (p for seed in (31 + 2 * round_, 32 + 2 * round_) for p in lists.chains(seed, component))
         return _batch(lists.nodes[lists.proposed(places)]).select(["a", "b"])
 
-    return stored.select("bucket", *columns).groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(tidy(of_bucket), "a long, b long").distinct()
+    return stored.groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(tidy(of_bucket), "a long, b long").distinct()
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of 2^k >= 2 n slots: sets that differ in d shingles differ in d bits at most."""
-    size = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+def parity(shingles: np.ndarray, size: int | None = None) -> bytes:
+    """Parity of the number of shingles in each of size slots (2^k >= 2 n): sets that differ in d shingles differ in d bits at most."""
+    size = size or max(64, 1 << int(2 * len(shingles) - 1).bit_length())
     return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
@@ -360,16 +392,16 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, parity, shingles) of each row of docs; 48 bits of each shingle, in order: all low 32 bits, then all high 16."""
+    """(node, n, parity, coarse, shingles) of each row of docs; coarse is a parity of COARSE slots; 48 bits of each shingle, in order: all low 32 bits, then all high 16."""
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Powers()
         for b in batches:
             found = [s for s in (shingle_set(t.as_py(), known) for t in b.column("text")) if len(s)]
             packed = [s.astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array(packed, pa.binary())], names=["node", "n", "parity", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array([parity(s, COARSE) for s in found], pa.binary()), pa.array(packed, pa.binary())], names=["node", "n", "parity", "coarse", "shingles"])
 
-    return _source(docs, id_col, text_col).mapInArrow(tidy(of_rows), "node long, n long, parity binary, shingles binary")
+    return _source(docs, id_col, text_col).mapInArrow(tidy(of_rows), "node long, n long, parity binary, coarse binary, shingles binary")
 
 
 def _unpacked(x: pa.BinaryScalar, n: int) -> np.ndarray:
@@ -446,11 +478,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     rounds = 0 if stored.isEmpty() else ROUNDS + 1
     if rounds:
-        inside = stored.select("nodes").mapInArrow(_explode_nodes, "node long")
-        nodes = nodes.unionByName(inside)
+        nodes = nodes.unionByName(members(stored).select("node"))
     wanted = materialize(nodes.distinct().join(classes, "node").select("least").distinct(), "wanted")
     sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col), "sets")
     links = verify(pairs, sets, threshold, "0")
+    stored = with_parities(stored, sets) if rounds else stored
     labels = components(links)
     for k in range(rounds):
         more = materialize(propose_between(stored, labels, k if k < ROUNDS else None, threshold).join(pairs, ["a", "b"], "left_anti"), f"pairs-{k + 1}")
@@ -472,12 +504,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _explode_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for nodes in b.column("nodes"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes.as_py(), np.int64))], names=["node"])
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one row of each component: that of the least id. Rows without id, and empty texts, all stay."""
     said = materialize(near_duplicates(docs, id_col, text_col, threshold).select(F.col(id_col).alias("__i"), "component_id"), "components")
