@@ -268,3 +268,13 @@ def triples(near: np.ndarray) -> dict[str, list[tuple[int, ...]]]:
     return out
 
 
+
+
+def distance(true: np.ndarray, other: np.ndarray) -> int:
+    """Structural Hamming distance: pairs that are joined in one graph only, or whose directions differ."""
+    return sum(int((true[i, j], true[j, i]) != (other[i, j], other[j, i])) for i, j in combinations(range(len(true)), 2))
+
+
+def class_distance(true: np.ndarray, other: np.ndarray) -> int:
+    """The distance of the patterns of two directed acyclic graphs."""
+    return distance(*(np.asarray(d) | np.asarray(u) for d, u in (cpdag(true), cpdag(other))))

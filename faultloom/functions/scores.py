@@ -193,3 +193,35 @@ def discretisation_scores(counts: np.ndarray) -> dict[str, float]:
         expected = counts.sum(1, keepdims=True) * columns / n
         chi = np.nansum(np.where(expected > 0, (counts - expected) ** 2 / expected, 0))
     return {"caim": float(caim), "laim": float(laim), "ameva": float(chi / (bins * max(len(counts) - 1, 1))), "mlameva": float(chi / (bins * (len(counts) - 1 if len(counts) > 1 else 1) * max(n, 1)))}
+
+
+def parents_of(a: np.ndarray) -> dict[int, tuple[int, ...]]:
+    return {j: tuple(map(int, np.flatnonzero(np.asarray(a)[:, j]))) for j in range(len(a))}
+
+
+def score_ratio(score: Score, estimated: np.ndarray, true: np.ndarray) -> float:
+    """Total score of the estimated graph by that of the true one."""
+    return graph_score(score, parents_of(estimated)) / graph_score(score, parents_of(true))
+
+
+def caim_cuts(column: np.ndarray, classes: np.ndarray, most: int = 50) -> np.ndarray:
+    """Cut points by greedy growth of the CAIM score, at least one fewer than there are classes."""
+    values = np.unique(column)
+    middle = (values[1:] + values[:-1]) / 2
+    if len(middle) > most:
+        middle = np.quantile(middle, np.linspace(0, 1, most))
+    kinds, own = np.unique(classes, return_inverse=True)
+    cuts: list[float] = []
+    best = -math.inf
+
+    def value(c: list[float]) -> float:
+        table = np.zeros((len(kinds), len(c) + 1))
+        np.add.at(table, (own, np.searchsorted(np.sort(c), column, side="right")), 1)
+        return discretisation_scores(table)["caim"]
+
+    while len(cuts) < len(middle):
+        top, cut = max((value([*cuts, m]), -m) for m in middle if m not in cuts)
+        if top <= best and len(cuts) >= len(kinds) - 1:
+            break
+        cuts, best = [*cuts, -cut], max(best, top)
+    return np.sort(cuts)

@@ -111,8 +111,8 @@ def second_order(p: DataFrame, beta: float = 0.5) -> DataFrame:
 
 def expected_visits(p: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     """Expected share of a walk's steps on each node, from start (case_id, node)."""
+    p, total = _cut(p), None
     now = start.select("case_id", F.col("node").alias("src"), F.lit(1.0).alias("__m"))
-    total = None
     for k in range(steps):
         now = now.join(p, ["case_id", "src"]).groupBy("case_id", F.col("dst").alias("src")).agg(F.sum(F.col("__m") * F.col("p")).alias("__m"))
         total = now if total is None else total.unionByName(now)

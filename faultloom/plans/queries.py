@@ -360,6 +360,32 @@ def p17_one_hot(spark, sf):
     return hot.groupBy("node").agg(F.sum("value").cast("long").alias("ones"), F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT case_id, node FROM (SELECT case_id, replace(node, '_sum', '_lat_50') AS node FROM usr) WHERE NOT ends_with(node, '_lat_50')")
+def p12_suffixes(spark, sf):
+    return nodes_out(clean.suffix_filter(tables.user(spark, sf).withColumn("node", F.replace("node", F.lit("_sum"), F.lit("_lat_50")))))
+
+
+@query("SELECT case_id, node FROM (SELECT case_id, replace(replace(node, '_sum', '_mem'), '_cnt', '_lat50') AS node, value FROM usr) GROUP BY 1, 2 HAVING (node LIKE '%\\_mem' ESCAPE '\\' AND stddev_samp(value) > 1) OR (node LIKE '%lat50' AND stddev_samp(value) * 1000 > 10)")
+def p9_useful(spark, sf):
+    return nodes_out(clean.select_useful(tables.user(spark, sf).withColumn("node", F.replace(F.replace("node", F.lit("_sum"), F.lit("_mem")), F.lit("_cnt"), F.lit("_lat50")))))
+
+
+@query("SELECT case_id, t, node, round(CASE WHEN node LIKE '%mem' THEN value / 1000000 ELSE value END, 10) AS value FROM (SELECT case_id, t, replace(node, '_sum', '_mem') AS node, value, min(value) OVER (PARTITION BY case_id, node) AS lo, max(value) OVER (PARTITION BY case_id, node) AS hi FROM usr) WHERE lo <> hi")
+def p11_preprocess(spark, sf):
+    out = clean.preprocess(tables.user(spark, sf).withColumn("node", F.replace("node", F.lit("_sum"), F.lit("_mem"))), "sock-shop-2")
+    return out.select("case_id", "t", "node", F.round("value", 10).alias("value"))
+
+
+@query("SELECT case_id, node FROM (SELECT case_id, node, value, arg_min(value, t) OVER (PARTITION BY case_id, node) AS f FROM (SELECT case_id, replace(node, '_sum', '_lat_99') AS node, t, value FROM usr)) WHERE NOT ends_with(node, 'lat_99') GROUP BY 1, 2 HAVING min(value) <> max(value) AND avg(CASE WHEN value = f THEN 0 ELSE 1 END) > 0.1")
+def p6_sock_shop(spark, sf):
+    return nodes_out(clean.sock_shop(tables.user(spark, sf).withColumn("node", F.replace("node", F.lit("_sum"), F.lit("_lat_99")))))
+
+
+@query(f"SELECT DISTINCT case_id, node FROM ord WHERE t BETWEEN {OLD - 120} AND {OLD + 300} GROUP BY 1, 2 HAVING count(DISTINCT value) > 1")
+def n6_look_back(spark, sf):
+    return nodes_out(clean.look_back(tables.ord_(spark, sf), OLD, 120, OLD + 300))
+
+
 # Statistics
 
 CORR = "SELECT x.case_id, x.node AS a, y.node AS b, coalesce(CASE WHEN isnan(corr(x.value, y.value)) THEN 0 ELSE corr(x.value, y.value) END, 0) AS r, count(*) AS n FROM {f} x JOIN {f} y ON x.case_id = y.case_id AND x.t = y.t AND x.node < y.node GROUP BY 1, 2, 3"
@@ -587,6 +613,23 @@ def d11_forbidden(spark, sf):
     return graph.forbid(halves(spark, sf)[0], rules)
 
 
+_VISITS = ", ".join(["v0 AS (SELECT (SELECT min(node) FROM g_nodes) AS node, CAST(1 AS DOUBLE) AS m)"] + [f"v{k} AS MATERIALIZED (SELECT p.dst AS node, sum(m * p.p) AS m FROM v{k - 1} JOIN p ON p.src = node WHERE p.w > 0 GROUP BY 1)" for k in range(1, 7)])
+
+
+@query(f"{_T9}, {_VISITS} SELECT '0' AS case_id, node, {r('sum(m) / 6')} AS score FROM ({' UNION ALL '.join(f'SELECT * FROM v{k}' for k in range(1, 7))}) GROUP BY 2")
+def g10_expected_visits(spark, sf):
+    true, _, nodes = halves(spark, sf)
+    p = graph.transitions(true, tables.li(spark, sf).groupBy("case_id", "node").agg(F.avg("value").alias("score")))
+    return rounded(graph.expected_visits(p, nodes.groupBy("case_id").agg(F.min("node").alias("node")), 6), "score")
+
+
+def g18_sample(spark, sf):
+    return graph.sample_nodes(tables.user(spark, sf).select("case_id", "node").distinct(), 3, seed=1)
+
+
+QUERIES["g18_sample"] = g18_sample
+
+
 # Evaluation
 
 GRAPH_SQL["rank_usr"] = scored_sql("usr", USER, False)
@@ -670,6 +713,15 @@ def e12_false_discovery(spark, sf):
     return evaluate.false_discovery(true, turned(estimated))
 
 
+@query(
+    f"{_TE}, st AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), se AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT (SELECT f1 FROM ({f1_sql('t', 'e')})) AS f1, (SELECT f1 FROM ({f1_sql('st', 'se')})) AS f1_skeleton, "
+    f"(SELECT CAST(sum(CASE WHEN ab + ba = 0 OR eab + eba = 0 THEN 1 WHEN ab + ba = 2 AND eab + eba = 1 THEN 1 WHEN ab + ba = 1 AND (ab < eab OR ba < eba) THEN 1 ELSE 0 END) AS BIGINT) FROM {_PAIRS} p) AS shd, CAST(1 AS BIGINT) AS cases"
+)
+def e14_report(spark, sf):
+    true, estimated, _ = halves(spark, sf)
+    return rounded(evaluate.discovery_report(true, turned(estimated)), "f1", "f1_skeleton")
+
+
 @query(f"SELECT case_id, setting, {r('loss')} AS loss FROM (SELECT case_id, arg_min(setting, (loss, setting)) AS setting, min(loss) AS loss FROM (SELECT case_id, CAST(s AS INTEGER) AS setting, avg(abs(value - s)) AS loss FROM usr CROSS JOIN (SELECT unnest([1, 20, 50]) AS s) GROUP BY 1, 2) GROUP BY 1)")
 def e15_best_setting(spark, sf):
     grid_ = tables.user(spark, sf).withColumn("setting", F.explode(F.array(F.lit(1), F.lit(20), F.lit(50))))

@@ -227,3 +227,14 @@ def test_simulated_graphs_are_acyclic():
     for kind, n in (("er", 8), ("ba", 9), ("full", 5)):
         par = discover.random_dag(n, 0.4, kind, 1)
         assert graphs.is_acyclic(truth(par, n)) and (kind != "full" or truth(par, n).sum() == len(list(combinations(range(n), 2))))
+
+
+def test_class_distance_score_ratio_and_cuts():
+    chain, collider = truth(CHAIN, 4), truth(COLLIDER, 4)
+    assert graphs.class_distance(chain, chain.T) == 0 and graphs.distance(chain, chain.T) == 3 and graphs.class_distance(chain, collider) > 0
+    x = discover.forward_sample(CHAIN, 4, 1000, 1)
+    s = SCORES["bic_gauss"](x)
+    assert scores.score_ratio(s, chain, chain) == 1 and scores.score_ratio(s, np.zeros((4, 4)), chain) > 1  # scores are negative
+    column = np.r_[np.linspace(0, 1, 30), np.linspace(3, 4, 30), np.linspace(6, 7, 30)]
+    cuts = scores.caim_cuts(column, np.repeat([0, 1, 2], 30))
+    assert len(cuts) == 2 and 1 < cuts[0] < 3 and 4 < cuts[1] < 6
