@@ -54,9 +54,9 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, steps:
     own = Window.partitionBy("case_id")
     jump = F.col(weight) / F.sum(weight).over(own) if weight else 1 / F.count("*").over(own)
     rank = nodes.select("case_id", "node", jump.alias("__j")).withColumn("score", F.col("__j"))
-    shares = _shares(edges).select(F.col("case_id").alias("__k"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), "__w")
-    sources = edges.select("case_id", F.col("src").alias("node")).distinct().withColumn("__out", F.lit(True))
-    rank = rank.join(sources, ["case_id", "node"], "left")
+    shares = _cut(_shares(edges).select(F.col("case_id").alias("__k"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), "__w"))
+    sources = shares.select(F.col("__k").alias("case_id"), F.col("__src").alias("node")).distinct().withColumn("__out", F.lit(True))
+    rank = _cut(rank.join(sources, ["case_id", "node"], "left"))
     for k in range(steps):
         sent = rank.join(shares, (F.col("case_id") == F.col("__k")) & (F.col("node") == F.col("__src"))).groupBy(F.col("__k").alias("case_id"), F.col("__dst").alias("node")).agg(F.sum(F.col("score") * F.col("__w")).alias("__in"))
         loose = F.coalesce(F.sum(F.when(F.col("__out").isNull(), F.col("score"))).over(own), F.lit(0.0))
