@@ -35,28 +35,27 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(stars, "a long, b long")
 
 
-def _mass(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def settled(links: DataFrame) -> bool:
+    """Whether distinct links (a > b) are stars around their least nodes: one link a node, and none that ends in a node with one."""
+    if not links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return links.select(F.col("b").alias("a")).distinct().join(links.select("a"), "a", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b), two longs; component is the least node reachable.
 
     Both stars are a grouped minimum and a join, so a node with very many links is split like any skewed key. The loop
-    ends when a round changes nothing.
+    ends when only stars are left.
     """
     larger = lambda x: x.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(larger(contract(links)), "links")
-    mass = _mass(edges)
-    while mass[0]:
+    while not settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = larger(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = larger(large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))))
         edges = materialize(small, "stars")
-        if (now := _mass(edges)) == mass:
-            break
-        mass = now
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

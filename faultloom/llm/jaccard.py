@@ -486,8 +486,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     for k in range(rounds):
         more = materialize(propose_between(stored, labels, k if k < ROUNDS else None, threshold).join(pairs, ["a", "b"], "left_anti"), f"pairs-{k + 1}")
+        if more.isEmpty():
+            continue
         fresh = verify(more, sets, threshold, str(k + 1))
-        pairs, links = pairs.unionByName(more), links.unionByName(fresh)
+        pairs = pairs.unionByName(more)
+        if fresh.isEmpty():
+            continue
+        links = links.unionByName(fresh)
         labels = components(labels.toDF("a", "b").unionByName(fresh))
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
     named = labels.join(classes.select("node", "least"), "node")

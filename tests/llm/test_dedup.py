@@ -117,3 +117,19 @@ def test_prefix_orders_never_lose_a_similar_pair():
         assert any(least <= min(len(x) - a.index(t), len(y) - b.index(t)) for t in a if t in b)
         assert all(jaccard.meets(x, y, seed, len(x) - least + 1, len(y) - least + 1) for seed in jaccard.ORDERS)
         assert jaccard.differing(*(np.frombuffer(jaccard.parity(s), np.uint8) for s in (x, y))) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_components_match_union_find(spark):
+    import random
+
+    from faultloom.llm.components import components
+    from faultloom.llm.shingles import unions
+
+    rng = random.Random(2)
+    for links in ([(k, k + 1) for k in range(300)], [(0, k) for k in range(1, 400)], [(rng.randrange(500), rng.randrange(500)) for _ in range(300)], []):
+        rng.shuffle(links)
+        df = spark.createDataFrame(links, "a long, b long").repartition(7)
+        got = {r.node: r.component for r in components(df).collect()}
+        want = {x: r for x, r in unions(links).items()}
+        joined = {x for a, b in links if a != b for x in (a, b)}
+        assert got == {x: want[x] for x in joined}
