@@ -9,12 +9,13 @@ import sys
 from collections.abc import Callable
 from typing import TypeVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.session import BROADCAST_ROWS, materialize, shared_path, sized
 
-__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "shared_path", "sized", "text_or_empty", "tidy", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "release", "shared_path", "sized", "text_or_empty", "tidy", "without_ids"]
 
 T = TypeVar("T")
 
@@ -63,8 +64,8 @@ def per_worker(key: tuple, make: Callable[[], T]) -> T:
     return held[key]
 
 
-def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list:
-    """Rows (key, count) of the most frequent keys, at most most of them, most frequent first.
+def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> tuple:
+    """Keys (longs) and counts of the most frequent keys as arrays, at most most of them, most frequent first.
 
     A histogram of the counts (16 bins an octave) gives the bin from which on they are few enough, so that only those
     rows move, however many tasks there are.
@@ -78,8 +79,11 @@ def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> list:
             break
         least = bin_
     if least is None:
-        return []
-    return sorted(counts.where(place >= least).select(key, count).collect(), key=lambda r: (-r[1], r[0]))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = counts.where(place >= least).select(key, count).toArrow()
+    keys, sizes = table[0].to_numpy(), table[1].to_numpy()
+    order = np.lexsort((keys, -sizes))
+    return keys[order], sizes[order]
 
 
 def release() -> None:

@@ -136,15 +136,13 @@ class Vocabulary:
         for kind, mass, types in sums:
             self.mass[kind], self.types[kind] = mass, types
         self.total, self.distinct = int(self.mass.sum()), int(self.types.sum())
-        ids, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+        ids, counts = top[0].view(np.uint64), top[1]
         head = ids[:HEAD]
         if len(ids) and END not in head:
             head = np.append(head[: HEAD - 1], np.uint64(END))
-        known = dict(zip(ids.tolist(), counts.tolist(), strict=True))
-        self.head_counts = np.array([known.get(int(x), 0) for x in head], float)
-        self.head = head
         at = np.argsort(ids)
-        self.ids, self.counts = ids[at], counts[at]
+        self.ids, self.counts, self.head = ids[at], counts[at], head
+        self.head_counts = np.maximum(self.known(head), 0).astype(float)
         own = (head & np.uint64(15)).astype(np.int64)
         self.tail = np.maximum(self.mass - np.bincount(own, self.head_counts, KINDS), 0) + 0.5 * np.maximum(self.types - np.bincount(own, minlength=KINDS), 0) + 0.5
 

@@ -141,8 +141,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, sorted by shingle: FREQUENT of them at most."""
     sums = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(f"count >= {RARE}")
-    top = most_frequent(materialize(sums, "token-counts"), "token", "count", FREQUENT)
-    tokens, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
+    tokens, counts = most_frequent(materialize(sums, "token-counts"), "token", "count", FREQUENT)
+    tokens = tokens.view(np.uint64)
     at = np.argsort(tokens)
     return tokens[at], counts[at]
 

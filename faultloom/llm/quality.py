@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, held_out, tidy
+from .common import arrow_batches, held_out, release, tidy
 
 TRAIN_ROWS = 8000
 WORD_DIMS, RANK, BINS = 1 << 14, 8, 10
@@ -89,10 +89,10 @@ class Model:
         self.w = np.zeros(DIMS)
         self.v = rng.normal(0, 0.02, (DIMS, RANK))
 
-    def bins(self, stats: list[float]) -> np.ndarray:
+    def bins(self, stats: list[float] | np.ndarray) -> np.ndarray:
         return WORD_DIMS + np.arange(STATS) * BINS + np.array([np.searchsorted(e, x, side="right") for e, x in zip(self.edges, stats, strict=True)])
 
-    def inputs(self, index: np.ndarray, value: np.ndarray, stats: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, index: np.ndarray, value: np.ndarray, stats: list[float] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([index, self.bins(stats)]), np.concatenate([value, np.full(STATS, 0.5)])
 
     def margins(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 names=["id", "label", "slots", "weights", "stats"],
             )
 
-    got = sorted(source.mapInArrow(tidy(encode), schema).collect(), key=lambda r: (r.id, r.label, r.slots))[: 2 * rows]
-    stats = np.array([r.stats for r in got]).reshape(-1, STATS)
-    edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(got) else np.zeros((STATS, BINS - 1))
-    model = Model(edges)
-    encoded = [model.inputs(np.frombuffer(r.slots, "<u2").astype(np.int64), np.frombuffer(r.weights, "<f4").astype(np.float64), r.stats) for r in got]
-    return model.fit(encoded, np.array([float(r.label > 0) for r in got])) if got else model
+    table = source.mapInArrow(tidy(encode), schema).toArrow()
+    got = table.sort_by([("id", "ascending"), ("label", "ascending"), ("slots", "ascending")]).slice(0, 2 * rows).combine_chunks()
+    stats = got["stats"].combine_chunks().flatten().to_numpy().reshape(-1, STATS)
+    model = Model(np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(got) else np.zeros((STATS, BINS - 1)))
+    encoded = [model.inputs(np.frombuffer(i.as_buffer(), "<u2").astype(np.int64), np.frombuffer(x.as_buffer(), "<f4").astype(np.float64), s) for i, x, s in zip(got["slots"], got["weights"], stats, strict=True)]
+    if encoded:
+        model.fit(encoded, (got["label"].to_numpy() > 0).astype(float))
+    del table, got, encoded
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars", threshold: float = 0.7) -> DataFrame:
