@@ -200,8 +200,11 @@ def collapsed(rows: DataFrame, k: int) -> DataFrame:
     return materialize(rows.mapInArrow(merge, "vector binary, ids array<long>"), "distinct-vectors")
 
 
-def build_index(vectors: DataFrame, k: int) -> DataFrame:
-    """One row per shard: its distinct vectors, their ids, the graph's edges and entry point; materialised."""
+def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """One row per shard (its distinct vectors, their ids, the graph's edges and entry point; materialised), and their number.
+
+    A shard without vectors has no row.
+    """
     shards = max(1, round(vectors.count() / SHARD))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -216,7 +219,7 @@ def build_index(vectors: DataFrame, k: int) -> DataFrame:
         return pa.table({"shard": [key[0].as_py()], "n": [len(names)], "entry": [graph.entry], "exact": binary(exact), "edges": binary(graph.edges), "ids": binary(np.concatenate(lists)), "counts": binary(np.array([len(x) for x in lists], np.int64))})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)))
-    return materialize(dealt.groupBy("shard").applyInArrow(tidy(build), "shard long, n long, entry long, exact binary, edges binary, ids binary, counts binary"), "graphs")
+    return materialize(dealt.groupBy("shard").applyInArrow(tidy(build), "shard long, n long, entry long, exact binary, edges binary, ids binary, counts binary"), "graphs"), shards
 
 
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -227,9 +230,8 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     that repeats an id counts once for equal vectors; an empty df or empty queries give no rows. Other columns are ignored.
     """
     arrow_batches(df.sparkSession, 1000)
-    index = build_index(collapsed(usable(df, id_col, vector_col), k), k)
+    index, shards = build_index(collapsed(usable(df, id_col, vector_col), k), k)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
-    shards = [r.shard for r in index.select("shard").collect()]
     total = asked.count()
     blocks = max(1, -(-total // BLOCK))
     parts = -(-blocks // TOGETHER)
@@ -239,7 +241,7 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         return pa.table({"block": [key[0].as_py()], "query_ids": pa.array([table["id"].to_numpy().astype(np.int64).tobytes()], pa.binary()), "queries": pa.array([v.tobytes()], pa.binary())})
 
     packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, query_ids binary, queries binary")
-    packed = materialize(packed, "query-blocks").withColumn("part", F.floor(F.col("block") / TOGETHER)).withColumn("shard", F.explode(F.lit(shards or [0]).cast("array<long>")))
+    packed = materialize(packed, "query-blocks").withColumn("part", F.floor(F.col("block") / TOGETHER)).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     spread = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
