@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, most_frequent, sized, tidy, without_ids
 from .components import components
-from .shingles import Powers, distinct, scramble, set_key, shingle_set
+from .shingles import Powers, scramble, set_key, shingle_set
 
 #: Similarity threshold as a fraction.
 THRESHOLD = (3, 4)
