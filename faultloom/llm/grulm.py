@@ -7,9 +7,9 @@ state (UNITS gated units) is carried from window to window, so a text is scored
 
 Counts: each chunk's counts go to buckets by token hash; a bucket adds them up. The LOOKUP most frequent tokens
 travel to every task; occurrences of all others are sent to their bucket, which returns sums by document. Weights: truncated
-backpropagation (WINDOW steps) warms up on one group of documents, then every group goes on from there by itself and
-the weights are averaged. Groups hold some GROUP_TOKENS tokens; together they are the SHARE of the training documents
-with the least hashes (LEAST_TOKENS tokens at least, if there are so many), so they grow with the corpus.
+backpropagation (WINDOW steps) warms up on one group of documents, then every other group goes on from there by itself and
+the weights are averaged. Groups hold some GROUP_TOKENS tokens; every training document is in one of them and is passed
+once, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .shingles import scramble
 
 HEAD, WIDTH, KINDS, UNITS, EMBED = 1024, 32, 16, 16, 16
 LOOKUP = 1 << 18
-SHARE, LEAST_TOKENS, GROUP_TOKENS = 1 / 24, 2_000_000, 1_000_000
-LANES, WINDOW, LEAST_UPDATES = 64, 32, 300
+GROUP_TOKENS = 1_000_000
+LANES, WINDOW = 64, 32
 CHUNK, BUCKET_BYTES = 2_500_000, 64 << 20
 RATE, SEED = 0.006, 5
 
@@ -356,26 +356,38 @@ def _unpack(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
-    """Weights from a share of the training documents (columns id, text), as the module says."""
+    """Weights from one pass over all training documents (columns id, text), as the module says."""
     base = Network(vocabulary)
-    share = min(1.0, max(SHARE, LEAST_TOKENS / max(vocabulary.total, 1)))
-    groups = max(1, round(share * vocabulary.total / GROUP_TOKENS))
-    epochs = max(1, -(-LEAST_UPDATES * LANES * WINDOW // max(1, round(share * vocabulary.total / groups))))
-    epochs = min(epochs, 8)
-    draw = lambda seed: F.xxhash64(F.col("id"), F.lit(seed))
-    picked = train.where(F.pmod(draw(1), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).withColumn("group", F.pmod(draw(2), F.lit(groups)))
+    groups = max(1, round(vocabulary.total / GROUP_TOKENS))
+    grouped = train.select(F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(groups)).alias("group"), "text")
     blob = _pack(base.w)
 
-    def learner(blob: bytes, rate: float, epochs: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, texts, group, held = Local(), [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            items = vocabulary.items(np.array(local.ids, np.uint64)).astype(np.uint16)
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([items[x].tobytes() for x in texts], pa.binary())], names=["group", "items"])
+
+        for b in batches:
+            for g, text in zip(b.column("group").to_pylist(), b.column("text"), strict=True):
+                texts.append(local.tokens(text.as_py()))
+                group.append(g)
+                held += len(texts[-1])
+                if held >= CHUNK:
+                    yield packed()
+                    local, texts, group, held = Local(), [], [], 0
+        if texts:
+            yield packed()
+
+    def learner(blob: bytes, rate: float):
         def learn(key: tuple, table: pa.Table) -> pa.Table:
-            local = Local()
-            numbers = [local.tokens(t.as_py()) for t in table["text"]]
-            items = vocabulary.items(np.array(local.ids, np.uint64))
+            texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in table["items"]]
             network = Network(vocabulary, _unpack(blob, base.w))
-            network.fit([items[x] for x in numbers], epochs, rate)
-            return pa.table({"group": [key[0].as_py()], "tokens": pa.array([float(sum(map(len, numbers)))]), "weights": pa.array([_pack(network.w)], pa.binary())})
+            network.fit(texts, 1, rate)
+            return pa.table({"group": [key[0].as_py()], "tokens": pa.array([float(sum(map(len, texts)))]), "weights": pa.array([_pack(network.w)], pa.binary())})
 
-        return learn
+        return tidy(learn)
 
     def average(key: tuple, table: pa.Table) -> pa.Table:
         tokens = table["tokens"].to_numpy()
@@ -383,11 +395,12 @@ def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
         return pa.table({"group": [key[0].as_py()], "tokens": [float(tokens.sum())], "weights": pa.array([mean.tobytes()], pa.binary())})
 
     schema = "group long, tokens double, weights binary"
-    warm = picked.where("group = 0").groupBy("group").applyInArrow(learner(blob, RATE, epochs), schema).collect()
+    learned = lambda docs, rate: docs.mapInArrow(tidy(encode), "group long, items binary").groupBy("group").applyInArrow(learner(blob, rate), schema)
+    warm = learned(grouped.where("group = 0"), RATE).collect()
     if warm:
         blob = bytes(warm[0].weights)
     if groups > 1:
-        parts = materialize(picked.groupBy("group").applyInArrow(learner(blob, RATE / 3, 1), schema), "weights")
+        parts = materialize(learned(grouped.where("group > 0"), RATE / 3), "weights")
         halves = parts.withColumn("group", F.col("group") % 64).groupBy("group").applyInArrow(average, schema)
         ends = halves.withColumn("group", F.floor(F.col("group") / 64)).groupBy("group").applyInArrow(average, schema).collect()
         if ends:

@@ -66,6 +66,21 @@ def test_language_model_lookups_by_bucket(docs, monkeypatch):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
 
 
+def test_network_is_fitted_on_every_training_document(spark, docs, monkeypatch):
+    monkeypatch.setattr(grulm, "GROUP_TOKENS", 1000)
+    read = spark.sparkContext.accumulator(0)
+    fit = grulm.Network.fit
+
+    def counted(self, texts, epochs, rate):
+        assert epochs == 1
+        read.add(sum(map(len, texts)))
+        fit(self, texts, epochs, rate)
+
+    monkeypatch.setattr(grulm.Network, "fit", counted)
+    got = grulm.scores(docs.where("doc_id < 340")).collect()
+    assert read.value == got[0].train_tokens
+
+
 class Counts:
     """A vocabulary made by hand."""
 
