@@ -47,6 +47,9 @@ COARSE = 1024
 #: Rounds of chains between components, before all remaining pairs are taken.
 ROUNDS = 3
 
+#: Classes of a component that are compared with as many others in a task, and cells of a table of their shingles.
+BLOCK, CELLS = 2048, 8_000_000
+
 
 def need(n, m, threshold: tuple[int, int]):
     """Least intersection of sets of n and m shingles that are similar."""
@@ -452,11 +455,79 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], label:
     return materialize(joined(near, "shingles").mapInArrow(tidy(similar), "a long, b long").distinct(), f"links-{label}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def similar_counts(sets: list[np.ndarray], own: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """How many others each set is similar to: all of them, or those of the other side where own has two sides."""
+    lengths = np.array([len(s) for s in sets])
+    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    shared = counts > 1
+    place = np.cumsum(shared) - 1
+    row, column = row[shared[inverse]], place[inverse[shared[inverse]]]
+    at = np.argsort(column, kind="stable")
+    row, column = row[at], column[at]
+    left = np.flatnonzero(own == own.min())
+    right = np.flatnonzero(own == own.max())
+    both, width = np.zeros((len(left), len(right)), np.float32), max(64, CELLS // len(sets))
+    for start in range(0, int(shared.sum()), width):
+        a, z = np.searchsorted(column, (start, start + width))
+        x = np.zeros((len(sets), min(width, int(shared.sum()) - start)), np.float32)
+        x[row[a:z], column[a:z] - start] = 1
+        both += x[left] @ x[right].T
+    similar = both >= need(lengths[left][:, None], lengths[right][None], threshold)
+    out = np.zeros(len(sets), np.int64)
+    if own.min() == own.max():
+        np.fill_diagonal(similar, False)
+    else:
+        out[right] = similar.sum(0)
+    out[left] = similar.sum(1)
+    return out
+
+
+def link_counts(labels: DataFrame, links: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(node, n_links): the number of all classes that each class of a component is similar to, materialised.
+
+    Links never leave a component. Where the verified links (a, b) are all pairs of a component they are its links; all
+    pairs of the other components are intersected, in blocks of some BLOCK classes against each other.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("classes"))
+    found = links.join(labels, links["a"] == labels["node"]).groupBy("component").agg(F.count("*").alias("found"))
+    sizes = materialize(sizes.join(found, "component"), "component-sizes")
+    full = F.col("found") * 2 >= F.col("classes") * (F.col("classes") - 1)
+    known = labels.join(sized(sizes.where(full)), "component").select("node", (F.col("classes") - 1).alias("n_links"))
+    blocks = F.ceil(F.col("classes") / BLOCK).cast("long")
+    open_ = labels.join(sized(sizes.where(~full).withColumn("blocks", blocks)), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = materialize(dealt.join(sets.groupBy("node").agg(F.first("n").alias("n")), "node"), "blocks")
+    total = dealt.agg(F.sum("n")).first()[0]
+    if not total:
+        return materialize(known, "link-counts")
+    groups = -(-total // CHUNK)
+
+    def of_group(key: tuple, table: pa.Table) -> pa.Table:
+        node, own, n = (table[c].to_numpy() for c in ("node", "own", "n"))
+        names = np.stack([table[c].to_numpy() for c in ("component", "i", "j")], 1)
+        at = np.lexsort((node, *names.T))
+        fresh = np.r_[True, (names[at][1:] != names[at][:-1]).any(1) | (node[at][1:] != node[at][:-1])]
+        at = at[fresh]  # repeated rows of docs have their set once
+        ends = np.flatnonzero(np.r_[True, (names[at][1:] != names[at][:-1]).any(1), True])
+        packed, counts = table["shingles"].combine_chunks(), np.zeros(len(at), np.int64)
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            some = at[a:z]
+            if names[some[0], 1] == names[some[0], 2] or len(np.unique(own[some])) == 2:
+                counts[a:z] = similar_counts([_unpacked(packed[int(k)], int(n[k])) for k in some], own[some], threshold)
+        return pa.table({"node": node[at], "n_links": counts})
+
+    joined = dealt.drop("n").join(sets.select("node", "n", "shingles"), "node").withColumn("group", F.pmod(F.xxhash64("component", "i", "j"), F.lit(groups)))
+    counted = joined.groupBy("group").applyInArrow(tidy(of_group), "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return materialize(known.unionByName(counted), "link-counts")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, all_links: bool = False) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (least id with an equal set), component_id, n_verified.
 
     n_verified is the number of verified links of the row's class with other classes (those that were needed to join the
-    component, not all that there are). A text of fewer than five words is one shingle; empty and null texts have none
+    component, not all that there are). With all_links, n_links is the exact number of all of them. A text of fewer than five words is one shingle; empty and null texts have none
     and are linked with nothing. Rows without an id take no part in links and have component_id null; rows that repeat
     an id are told apart by their texts. Other columns are ignored; an empty docs gives no rows.
     """
@@ -499,6 +570,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("component").agg(F.min("least").alias("lowest"))
     known = materialize(named.join(lowest, "component").join(counts, "node", "left").select("node", "lowest", "n_verified"), "named")
     by_class = classes.select("node", "least").join(sized(known), "node", "left")
+    if all_links:
+        by_class = by_class.join(sized(link_counts(labels, links, sets, threshold)), "node", "left")
     out = rows.join(by_class, (rows["node"] == by_class["node"]) & (rows["n"] > 0) & rows["id"].isNotNull(), "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -506,6 +579,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("least", "id").alias("class_id"),
         F.coalesce("lowest", "least", "id").alias("component_id"),
         F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
+        *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if all_links else []),
     )
 
 

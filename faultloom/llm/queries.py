@@ -29,6 +29,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_jaccard_join with the exact number of links of each row's class with other classes."""
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), all_links=True).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_graph_neighbours, op2_jaccard_join, op3_warc, op4_quality, op5_lm_scores, op6_pii, op7_exact_dedup, op8_packing, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_graph_neighbours, op2_jaccard_join, op2_jaccard_links, op3_warc, op4_quality, op5_lm_scores, op6_pii, op7_exact_dedup, op8_packing, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

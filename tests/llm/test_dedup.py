@@ -80,11 +80,34 @@ def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, small):
     assert kept == {c for _, _, c in want}
 
 
+@pytest.mark.parametrize(("block", "cells"), [(2048, 8_000_000), (3, 100)])
+def test_every_link_is_counted(spark, docs, corpus, monkeypatch, block, cells):
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(60)]
+    many = [(1000 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(40)}" for w in base)) for i in range(40)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string"))
+    sets = {}
+    for i, t in [(i, t) for i, t, *_ in corpus] + many:
+        w = tokens(t)
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+    classes = {s for s in sets.values() if s}
+    want = {i: sum(s != o and 4 * len(s & o) >= 3 * len(s | o) for o in classes) if s else 0 for i, s in sets.items()}
+    got = jaccard.near_duplicates(both, all_links=True)
+    assert {r.doc_id: r.n_links for r in got.collect()} == want
+    assert max(want.values()) > jaccard.SMALL
+
+
 def test_near_odd_rows(odd, none):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == odd.count()
     assert all(r.component_id == r.doc_id for r in got)
     assert jaccard.near_duplicates(none).count() == 0
+    assert jaccard.near_duplicates(none, all_links=True).count() == 0
+    assert {r.n_links for r in jaccard.near_duplicates(odd, all_links=True).collect()} == {0}
     assert jaccard.drop_near_copies(none).columns == none.columns
 
 
