@@ -45,7 +45,7 @@ def statistics(text: bytes, words: list[bytes], counts: Counter, n_chars: float
     return [
         np.log1p(n), np.log1p(size), size / max(n, 1), len(counts) / max(n, 1), most / max(n, 1),
         share[1] / max(share[1] + share[2], 1e-9), share[3], share[5], share[6], share[7], share[8],
-        len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(w[-1] not in _PLAIN_END for w in words[:: max(1, n // 256)]) / max(1, len(words[:: max(1, n // 256)])),
+        len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(c for w, c in counts.items() if w[-1] not in _PLAIN_END) / max(1, n),
         -1.0 if n_chars is None else np.log1p(max(n_chars, 0.0)),
         -1.0 if n_chars is None else min(abs(n_chars - length), 1e6) / max(length, 1),
     ]

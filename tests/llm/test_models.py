@@ -32,6 +32,13 @@ def test_factorisation_identity():
     assert model.margins([(index, value)])[0][0] == pytest.approx(model.w[index] @ value + pairs)
 
 
+def test_statistics_read_every_word():
+    for text in (b"plain odd{ " * 5000, b"plain " * 20_000 + b"odd{ " * 7):
+        words = text.split()
+        got = quality.statistics(text, words, Counter(words), None)[13]
+        assert got == pytest.approx(sum(w == b"odd{" for w in words) / len(words))
+
+
 def test_quality_odd_rows(spark, docs, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (1, 1)], "doc_id long, quality int")
     model = quality.train(docs, labels)
