@@ -224,11 +224,11 @@ def cause_weights(a: np.ndarray, corr: np.ndarray, sli: int, rho: float = 0.2) -
 
 
 @register_method("microcause")
-def micro_cause(case: Case, tau: int = 3, alpha: float = 0.05, steps: int = 1000, walks: int = 100, weight: float = 0.5) -> np.ndarray:
+def micro_cause(case: Case, tau: int = 10, alpha: float = 0.001, pc_alpha: float = 0.1, steps: int = 1000, walks: int = 1000, weight: float = 0.5) -> np.ndarray:
     """Walks over the lagged graph, and how far each node leaves its extreme-value threshold."""
     from ..streaming.spot import abnormality
 
-    q = cause_weights(discover.pcmci_graph(case.values, tau, alpha), correlation(case.values), case.sli)
+    q = cause_weights(discover.pcmci_graph(case.values, tau, alpha, pc_alpha), correlation(case.values), case.sli)
     visits = graphs.sampled_visits(q, case.sli, steps, walks, case.seed)
     degree = np.array([abnormality(case.normal[:, k], case.anomalous[:, k]) for k in range(len(visits))])
     return weight * visits / max(visits.max(initial=0), 1e-12) + (1 - weight) * degree / max(degree.max(initial=0), 1e-12)

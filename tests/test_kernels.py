@@ -190,6 +190,17 @@ def test_methods_score_every_node_and_repeat(name):
     assert one.shape == (6,) and np.isfinite(one).all() and (one == two).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_microcause_follows_a_long_delay(seed, monkeypatch):
+    found, walked, graph, visits = [], [], discover.pcmci_graph, graphs.sampled_visits
+    monkeypatch.setattr(discover, "pcmci_graph", lambda *a: found.append(graph(*a)) or found[0])
+    monkeypatch.setattr(graphs, "sampled_visits", lambda *a: walked.append(a[2:4]) or visits(*a))
+    x = np.random.default_rng(seed).normal(size=(500, 3))
+    x[6:, 1] += 2 * x[:-6, 0]
+    methods.METHODS["microcause"](methods.Case(x, ["a", "b", "c"], 400, 1))
+    assert found[0][0, 1] == 1 and walked == [(1000, 1000)]
+
+
 def test_regression_on_true_parents_finds_the_cause():
     par = truth({1: {0: 1}, 2: {1: 1}, 3: {0: 1}, 4: {2: 1, 3: 1}}, 6)
     z = methods.residual_z(planted(), par)
