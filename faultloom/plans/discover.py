@@ -107,7 +107,7 @@ def fci(data: np.ndarray, test: str = "fisherz", alpha: float = 0.05) -> np.ndar
         if near[i, j]:
             for around in (possible_d_sep(m, i), possible_d_sep(m, j)):
                 pool = sorted(around - {i, j})
-                found = next((s for size in range(min(len(pool), 4) + 1) for s in combinations(pool, size) if ci.p(i, j, s) > alpha), None)
+                found = next((s for size in range(len(pool) + 1) for s in combinations(pool, size) if ci.p(i, j, s) > alpha), None)
                 if found is not None:
                     near[i, j] = near[j, i] = False
                     separated[i, j] = separated[j, i] = found
@@ -163,11 +163,11 @@ def _discriminate(m: np.ndarray, near: np.ndarray, separated: dict) -> None:
                             stack.append((d, path | {d}))
 
 
-def mmpc(data: np.ndarray, test: str = "fisherz", alpha: float = 0.05, most: int = 3) -> np.ndarray:
+def mmpc(data: np.ndarray, test: str = "fisherz", alpha: float = 0.05, most: int | None = None) -> np.ndarray:
     """Symmetric neighbours by max-min association forward, pruning backward, and the AND rule."""
     n, ci = data.shape[1], CI_TESTS[test](data)
     around = np.zeros((n, n), bool)
-    weakest = lambda x, t, pool: max(ci.p(x, t, s) for size in range(min(len(pool), most) + 1) for s in combinations(pool, size))
+    weakest = lambda x, t, pool: max(ci.p(x, t, s) for size in range(len(pool if most is None else pool[:most]) + 1) for s in combinations(pool, size))
     for t in range(n):
         kept: list[int] = []
         while True:
@@ -213,14 +213,14 @@ def hpc(data: np.ndarray, test: str = "fisherz", alpha: float = 0.05) -> np.ndar
                 blanket.remove(x)
         for x in blanket:
             others = [k for k in blanket if k != x]
-            out[t, x] = x in candidates and all(ci.p(t, x, s) <= alpha for size in range(min(3, len(others)) + 1) for s in combinations(others, size))
+            out[t, x] = x in candidates and all(ci.p(t, x, s) <= alpha for size in range(len(others) + 1) for s in combinations(others, size))
     return (out | out.T).astype(int)
 
 
 # Score-based
 
 
-def ges(data: np.ndarray, score: str | Score = "bic_gauss", penalty: float | None = None, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def ges(data: np.ndarray, score: str | Score = "bic_gauss", penalty: float | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Greedy equivalence search, forward then backward: directed and undirected edges of the pattern."""
     made = score if callable(score) else SCORES[score](data, penalty) if penalty is not None else SCORES[score](data)
     n = data.shape[1]
@@ -242,7 +242,7 @@ def ges(data: np.ndarray, score: str | Score = "bic_gauss", penalty: float | Non
                     stack.append(j)
         return True
 
-    subsets = lambda pool: (set(t) for size in range(min(len(pool), most) + 1) for t in combinations(sorted(pool), size))
+    subsets = lambda pool: (set(t) for size in range((len(pool) if most is None else min(len(pool), most)) + 1) for t in combinations(sorted(pool), size))
     for forward in (True, False):
         while True:
             best = (1e-9, None)
@@ -599,21 +599,20 @@ def kmeans_bins(column: np.ndarray, bins: int = 5) -> np.ndarray:
     return np.searchsorted((centres[1:] + centres[:-1]) / 2, column, side="right")
 
 
-def target_children(coded: np.ndarray, flag: np.ndarray, alphas: list[float], stop: int | None, depth: int = 3) -> list[int]:
+def target_children(coded: np.ndarray, flag: np.ndarray, alphas: list[float], stop: int | None, depth: int | None = None) -> list[int]:
     """Variables that stay dependent on the flag as alpha grows, ordered by alpha, then p-value; stop after stop of them."""
     test = CI_TESTS["chisq"](np.c_[coded, flag])
     n, out = coded.shape[1], []
     for alpha in alphas:
-        left, p_of = list(range(n)), {}
-        for size in range(depth + 1):
+        left, p_of, size = list(range(n)), {}, 0
+        while size < len(left) and (depth is None or size <= depth):
             for y in list(left):
-                others = [k for k in left if k != y]
-                worst = max((test.p(y, n, s) for s in combinations(others, size)), default=None)
-                if worst is None:
-                    continue
-                p_of[y] = max(p_of.get(y, 0.0), worst)
-                if worst > alpha:
-                    left.remove(y)
+                for s in combinations([k for k in left if k != y], size):
+                    p_of[y] = max(p_of.get(y, 0.0), test.p(y, n, s))
+                    if p_of[y] > alpha:
+                        left.remove(y)
+                        break
+            size += 1
         out += sorted((y for y in left if y not in out), key=lambda y: (p_of.get(y, 1.0), y))
         if stop is not None and len(out) >= stop:
             break

@@ -201,6 +201,19 @@ def test_microcause_follows_a_long_delay(seed, monkeypatch):
     assert found[0][0, 1] == 1 and walked == [(1000, 1000)]
 
 
+def test_large_separating_sets_are_tried():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 5))
+    both = np.c_[x, x.sum(1) + rng.normal(size=4000), x.sum(1) + rng.normal(size=4000)]
+    assert discover.mmpc(both, alpha=0.001)[5, 6] == 0 and discover.mmpc(both, alpha=0.001, most=3)[5, 6] == 1
+    assert discover.hpc(both, alpha=0.001)[5, 6] == 0
+    flag = rng.integers(0, 2, 20_000)
+    part = (flag[:, None] ^ (rng.random((20_000, 4)) < 0.3)).astype(int)
+    coded = np.c_[part, (part.sum(1) + (rng.random(20_000) < 0.3)) > 2].astype(int)
+    assert sorted(discover.target_children(coded, flag, [0.001], None)) == [0, 1, 2, 3]
+    assert 4 in discover.target_children(coded, flag, [0.001], None, depth=3)
+
+
 def test_regression_on_true_parents_finds_the_cause():
     par = truth({1: {0: 1}, 2: {1: 1}, 3: {0: 1}, 4: {2: 1, 3: 1}}, 6)
     z = methods.residual_z(planted(), par)
