@@ -1,36 +1,40 @@
 """Near duplicates: documents whose shingle sets have a Jaccard similarity of THRESHOLD or more, and their components.
 
-Multiple-global-order prefix filtering. Under any total order of all shingles, two sets of n and m shingles that share
-at least need = ceil(t (n + m) / (1 + t)) of them share one whose rank r in the one and s in the other obey
-need <= min(n - r, m - s). So each set lists its first n - ceil(t n) + 1 shingles under a first order with their ranks;
-shingles that meet again in a bucket of the index propose pairs, by that condition. Before a proposed pair is verified
-by exact intersection, its parities must allow it, and it must also share a shingle among the first n - need + 1 and m - need + 1 under further orders.
-Orders are by a hash that differs from order to order; in the first, common shingles come last (a bounded list of the most
-frequent ones is counted before).
-
-Equal sets are one class and take part once. Lists of more than SMALL classes (large groups of near copies) don't propose all their pairs: chains and
-stars through them are verified first, the links' components are found, and only pairs that are still in different
-components are proposed after that, so that no link between components is lost and pairs inside them aren't counted out.
+Multiple-global-order prefix filtering (the kernels are in prefixes.py). A pair is a candidate when it shares enough
+prefix shingles under every one of several global orders; only candidates have their sets moved and intersected.
+
+1. Every text is shingled: size, 128-bit key, least shingles under HUBS orders, fingerprints of the prefixes under the
+   further orders, and counts of the shingles that a task sees twice. Equal sets are one class and take part once.
+2. Hubs: all classes with the same least shingle are paired with one of them, round by round with another one. That
+   joins most classes of large groups of near copies into components by as many pairs as there are classes.
+3. Index: each class lists its prefix under the first order, in which frequent shingles come last, with its component.
+   Lists that lie in one component propose nothing; others propose the pairs of different components whose sizes and
+   ranks allow the threshold. A pair has its first common shingle in one list only.
+4. Proposed pairs must share prefix shingles under the further orders too, and are then intersected exactly.
+
+No link between components is lost, and pairs within a component aren't counted out unless all links are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, materialize, most_frequent, sized, tidy, without_ids
 from .components import components
+from .prefixes import ORDERS, STORED, Chunk, Lists, Order, agree, common, differing, fingerprints, need, parity, prefix_size
 from .shingles import Powers, scramble, set_key, shingle_set
 
 #: Similarity threshold as a fraction.
 THRESHOLD = (3, 4)
 
-#: Seeds of the orders: the first builds the index, the others must agree.
-ORDERS = (101, 202, 303)
+#: Seeds of the orders whose least shingles bring groups together, and rounds of pairs with one of each group.
+HUBS, ROUNDS = (11, 12, 13, 14), 3
 
 #: At most FREQUENT shingles are known as frequent (12 bytes each, broadcast); those in fewer than RARE sets aren't.
 FREQUENT, RARE = 1 << 18, 16
@@ -38,95 +42,58 @@ FREQUENT, RARE = 1 << 18, 16
 #: Shingles that are counted together in a task, and entries of the index that make a bucket.
 CHUNK, BUCKET = 4_000_000, 400_000
 
-#: Lists up to this length propose all their pairs at once.
-SMALL = 8
-
-#: Slots of the parities by which pairs of long lists are ruled out where they are proposed.
-COARSE = 1024
-
-#: Rounds of chains between components, before all remaining pairs are taken.
-ROUNDS = 3
+#: Entries of one shingle that stay in one bucket; a shingle with more is dealt to blocks of a part against a part.
+HOT = 500_000
 
 #: Classes of a component that are compared with as many others in a task, and cells of a table of their shingles.
 BLOCK, CELLS = 2048, 8_000_000
 
-
-def need(n, m, threshold: tuple[int, int]):
-    """Least intersection of sets of n and m shingles that are similar."""
-    a, b = threshold
-    return -(-a * (n + m) // (a + b))
-
-
-class Order:
-    """Ranks shingles: rare ones by a hash of the seed, then frequent ones by count."""
-
-    def __init__(self, seed: int, tokens: np.ndarray, counts: np.ndarray) -> None:
-        self.seed, self.tokens, self.counts = seed, tokens, counts
-        self.maybe = np.zeros(1 << 22, bool)  # by the leading bits: most shingles need no search
-        self.maybe[tokens >> np.uint64(42)] = True
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        out = scramble(shingles, self.seed) >> np.uint64(1)
-        some = np.flatnonzero(self.maybe[shingles >> np.uint64(42)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.tokens, shingles[some]), len(self.tokens) - 1)
-            found = self.tokens[at] == shingles[some]
-            often, at = some[found], at[found]
-            count = np.minimum(self.counts[at], (1 << 30) - 1).astype(np.uint64)
-            out[often] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(33)) | (out[often] >> np.uint64(30))
-        return out
-
-    def first(self, shingles: np.ndarray, size: int) -> np.ndarray:
-        """The first size shingles, in order."""
-        keys = self.keys(shingles)
-        if size < len(keys):
-            part = np.argpartition(keys, size - 1)[:size]
-            return shingles[part[np.argsort(keys[part], kind="stable")]]
-        return shingles[np.argsort(keys, kind="stable")]
-
-
-def prefix_size(n: int, threshold: tuple[int, int]) -> int:
-    return n - -(-threshold[0] * n // threshold[1]) + 1
+#: Copies of a component's least id, among which its classes are dealt.
+SALTS = 16
 
 
-def node_of(key: bytes) -> int:
-    """Name of a class: half of its 16-byte key as a long; distinct() in classes() proves the names distinct."""
-    return int.from_bytes(key[:8], "little", signed=True)
+def halves(key: bytes) -> tuple[int, int]:
+    """A class's 16-byte key as two longs; the first names the class where no other has it (see renamed)."""
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    """(id, sig, text): sig tells rows that repeat an id apart by their texts."""
+    text = F.col(text_col).cast("string").cast("binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("sig"), text.alias("text"))
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of two kinds: (id, n, node, key) of every row of docs, and (token, count) of shingles seen twice in a chunk."""
-    id_type = dict(docs.dtypes)[id_col]
+def profile(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> DataFrame:
+    """Rows of two kinds, in one pass over the texts.
+
+    (id, sig, n, node, check, hub0 ..., prefixes, parity) of every row of docs, and (token, count) of shingles that a chunk of
+    distinct sets holds twice.
+    """
+    hubs = [f"hub{k}" for k in range(len(HUBS))]
+    types = {"n": pa.int64(), "node": pa.int64(), "check": pa.int64(), **{h: pa.int64() for h in hubs}, "prefixes": pa.binary(), "parity": pa.binary(), "token": pa.int64(), "count": pa.int64()}
     kind = docs.schema[id_col].dataType
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chunk, seen, held = Powers(), [], set(), 0
-        from pyspark.sql.pandas.types import to_arrow_type
+        every = {"id": to_arrow_type(kind), "sig": pa.int64(), **types}
 
-        arrow_id = to_arrow_type(kind)
-        names = ["id", "n", "node", "key", "token", "count"]
+        def batch(rows: int, columns: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, t)) for k, t in every.items()], names=list(every))
 
         def counted() -> pa.RecordBatch:
-            every = np.concatenate(chunk) if chunk else np.zeros(0, np.uint64)
-            every.sort()
-            repeats = every[1:][every[1:] == every[:-1]]
-            tokens, counts = np.unique(repeats, return_counts=True)
-            counts = counts + 1
-            none = lambda t: pa.nulls(len(tokens), t)
-            return pa.RecordBatch.from_arrays([none(arrow_id), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(tokens.view(np.int64)), pa.array(counts)], names=names)
+            tokens = np.concatenate(chunk) if chunk else np.zeros(0, np.uint64)
+            tokens.sort()
+            tokens, counts = np.unique(tokens[1:][tokens[1:] == tokens[:-1]], return_counts=True)
+            return batch(len(tokens), {"token": pa.array(tokens.view(np.int64)), "count": pa.array(counts + 1)})
 
         for b in batches:
-            sizes, nodes, keys = [], [], []
+            rows: dict[str, list] = {k: [] for k in types if k not in ("token", "count")}
             for text in b.column("text"):
                 s = shingle_set(text.as_py(), known)
                 key = set_key(s)
-                sizes.append(len(s))
-                nodes.append(node_of(key))
-                keys.append(key)
+                values = [len(s), *halves(key), *(int(scramble(s, h).min().view(np.int64)) if len(s) else None for h in HUBS), fingerprints(s, threshold) if len(s) else None, parity(s) if len(s) else None]
+                for column, value in zip(rows.values(), values, strict=True):
+                    column.append(value)
                 if len(s) and key not in seen:
                     seen.add(key)
                     chunk.append(s)
@@ -134,11 +101,24 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if held >= CHUNK:
                         yield counted()
                         chunk, seen, held = [], set(), 0
-            none = pa.nulls(len(b), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary()), none, none], names=names)
+            yield batch(len(b), {"id": b.column("id"), "sig": b.column("sig"), **{k: pa.array(v, types[k]) for k, v in rows.items()}})
         yield counted()
 
-    return materialize(_source(docs, id_col, text_col).mapInArrow(tidy(measure), f"id {id_type}, n long, node long, key binary, token long, count long"), "profile")
+    names = {pa.int64(): "long", pa.binary(): "binary"}
+    schema = f"id {dict(docs.dtypes)[id_col]}, sig long, " + ", ".join(f"`{k}` {names[t]}" for k, t in types.items())
+    return materialize(_source(docs, id_col, text_col).mapInArrow(tidy(measure), schema), "profile")
+
+
+def renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """New names of classes whose first half-key another class has too: some n^2 / 2^65 of n classes."""
+    sizes = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clash = sizes.where("low <> high").select("node")
+    out: dict[tuple[int, int], int] = {}
+    for node, check in rows.where("n > 0").join(F.broadcast(clash), "node", "left_semi").select("node", "check").distinct().toLocalIterator():
+        out[node, check] = int(scramble(np.array([check], np.int64).view(np.uint64), 23).view(np.int64)[0])
+    if out and not rows.join(F.broadcast(rows.sparkSession.createDataFrame([(v,) for v in out.values()], "node long")), "node", "left_semi").isEmpty():
+        raise ValueError("a new name of a class is taken; change the seed of set_key")
+    return out
 
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -150,309 +130,117 @@ def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[at], counts[at]
 
 
-def index(docs: DataFrame, id_col: str, text_col: str, buckets: int, common: tuple, threshold: tuple[int, int]) -> DataFrame:
-    """One row per chunk and bucket: the chunk's classes with prefix entries there, packed in arrays."""
+def index(source: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray], names: dict, threshold: tuple[int, int]) -> DataFrame:
+    """One row per chunk and bucket from (text, component): what the chunk's classes list there, packed in arrays."""
+    hot = {int(t): int(-(-c // HOT)) for t, c in zip(*often, strict=True) if c > HOT}
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, order = Powers(), Order(ORDERS[0], *common)
-        nodes, sizes, tokens, held = [], [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            token = np.concatenate(tokens)
-            lengths = np.array([len(t) for t in tokens])
-            own = np.repeat(np.arange(len(tokens), dtype=np.uint16), lengths)
-            rank = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
-            before = np.where(rank > 0, np.r_[np.uint64(0), token[:-1]] | np.uint64(1), np.uint64(0)).astype(np.uint32)
-            bucket = (scramble(token, 9) % np.uint64(buckets)).astype(np.int64)
-            at = np.argsort(bucket, kind="stable")
-            bucket, token, own, rank, before = bucket[at], token[at], own[at], rank[at], before[at]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            all_nodes, all_sizes, rows = np.array(nodes, np.int64), np.array(sizes, np.uint32), []
-            for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                used, inverse = np.unique(own[a:z], return_inverse=True)
-                rows.append((int(bucket[a]), all_nodes[used].tobytes(), all_sizes[used].tobytes(), token[a:z].tobytes(), inverse.astype(np.uint16).tobytes(), rank[a:z].tobytes(), before[a:z].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=["bucket", "nodes", "sizes", "tokens", "own", "ranks", "before"])
-
+        known, order, chunk = Powers(), Order(ORDERS[0], *often), Chunk(buckets, hot)
         for b in batches:
-            for text in b.column("text"):
+            for text, component in zip(b.column("text"), b.column("component").to_pylist(), strict=True):
                 s = shingle_set(text.as_py(), known)
                 if not len(s):
                     continue
-                nodes.append(node_of(set_key(s)))
-                sizes.append(len(s))
-                tokens.append(order.first(s, prefix_size(len(s), threshold)))
-                held += len(tokens[-1])
-                if held >= CHUNK // 4 or len(nodes) >= 60_000:
-                    yield packed()
-                    nodes, sizes, tokens, held = [], [], [], 0
-        if nodes:
-            yield packed()
-
-    return _source(docs, id_col, text_col).mapInArrow(tidy(entries), "bucket long, nodes binary, sizes binary, tokens binary, own binary, ranks binary, before binary")
-
-
-class Lists:
-    """The classes that share a shingle of a bucket, list by list: local class numbers, and the ranks there."""
-
-    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, member: np.ndarray, rank: np.ndarray, before: np.ndarray, threshold: tuple[int, int], coarse: np.ndarray | None = None) -> None:
-        self.nodes, self.sizes, self.starts, self.member, self.rank, self.before, self.threshold, self.coarse = nodes, sizes, starts, member, rank, before, threshold, coarse
-
-    @staticmethod
-    def gather(table: pa.Table, threshold: tuple[int, int]) -> Lists:
-        part = {c: [x.as_py() for x in table[c]] for c in ("nodes", "sizes", "tokens", "own", "ranks", "before")}
-        chunk_nodes = [np.frombuffer(x, np.int64) for x in part["nodes"]]
-        base = np.cumsum([0, *map(len, chunk_nodes)])
-        every, sizes = np.concatenate(chunk_nodes), np.concatenate([np.frombuffer(x, np.uint32) for x in part["sizes"]]).astype(np.int64)
-        token = np.concatenate([np.frombuffer(x, np.uint64) for x in part["tokens"]])
-        own = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + base[k] for k, x in enumerate(part["own"])])
-        rank, before = (np.concatenate([np.frombuffer(x, np.uint32) for x in part[k]]).astype(np.int64) for k in ("ranks", "before"))
-        nodes, first, inverse = np.unique(every, return_index=True, return_inverse=True)
-        sizes, own = sizes[first], inverse[own]
-        at = np.lexsort((own, token))
-        token, own, rank, before = token[at], own[at], rank[at], before[at]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]
-        token, own, rank, before = token[fresh], own[fresh], rank[fresh], before[fresh]
-        new = np.r_[True, token[1:] != token[:-1]]
-        length = np.diff(np.r_[np.flatnonzero(new), len(token)])
-        several = np.repeat(length, length) > 1
-        length = length[length > 1]
-        return Lists(nodes, sizes, np.cumsum(np.r_[0, length]), own[several], rank[several], before[several], threshold)
-
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.starts)
-
-    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the entries x and y (places in member) of one list may be the first that two similar sets share.
-
-        If the shingles just before them are equal too, another list has the first one, and proposes the pair. Where
-        the sets' coarse parities are known, they must allow it as well.
-        """
-        a, b = self.member[x], self.member[y]
-        n, m = self.sizes[a], self.sizes[b]
-        least = need(n, m, self.threshold)
-        out = (least <= np.minimum(n - self.rank[x], m - self.rank[y])) & ~((self.before[x] == self.before[y]) & (self.before[x] != 0))
-        if self.coarse is not None:
-            at = np.flatnonzero(out)
-            out[at] = np.bitwise_count(self.coarse[a[at]] ^ self.coarse[b[at]]).sum(1) <= (n + m - 2 * least)[at]
-        return out
+                key = halves(set_key(s))
+                chunk.add(names.get(key, key[0]), component, len(s), order.first(s, prefix_size(len(s), threshold)))
+                if chunk.held >= CHUNK // 4 or len(chunk.nodes) >= 60_000:
+                    yield chunk.packed()
+        if chunk.nodes:
+            yield chunk.packed()
 
-    def short_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All places (x, y) in lists up to SMALL."""
-        lengths = self.lengths()
-        for size in range(2, SMALL + 1):
-            at = self.starts[:-1][lengths == size]
-            if len(at):
-                for i in range(size - 1):
-                    for j in range(i + 1, size):
-                        yield at + i, at + j
-
-    def chains(self, seed: int, component: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of neighbours and of pairs with the list's first class in lists over SMALL, in an order by seed; only between components, if given."""
-        lengths = self.lengths()
-        long = np.flatnonzero(lengths > SMALL)
-        if not len(long):
-            return
-        place = np.concatenate([np.arange(self.starts[k], self.starts[k + 1]) for k in long])
-        which = np.repeat(np.arange(len(long)), lengths[long])
-        key = scramble(self.nodes.view(np.uint64), seed)[self.member[place]] if seed else (self.sizes[self.member[place]].astype(np.uint64) << np.uint64(32)) | (scramble(self.nodes.view(np.uint64), 1)[self.member[place]] >> np.uint64(32))
-        place, which = (x[np.lexsort((key, which))] for x in (place, which))
-        head = place[np.r_[0, np.flatnonzero(which[1:] != which[:-1]) + 1]][which]
-        for x, y in ((place[:-1], place[1:]), (head, place)):
-            same = which[:-1] == which[1:] if len(x) < len(place) else x != y
-            if component is not None:
-                same = same & (component[self.member[x]] != component[self.member[y]])
-            yield x[same], y[same]
-
-    def across(self, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All places in lists over SMALL whose classes are in different components, a row of the list at a time."""
-        lengths = self.lengths()
-        for k in np.flatnonzero(lengths > SMALL):
-            place = np.arange(self.starts[k], self.starts[k + 1])
-            own = component[self.member[place]]
-            if (own == own[0]).all():
-                continue
-            for i in range(len(place) - 1):
-                other = place[i + 1 :][own[i + 1 :] != own[i]]
-                yield np.full(len(other), place[i]), other
-
-    def proposed(self, places: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Distinct pairs of local classes (as columns a < b) at those places that are possible."""
-        size, out, held = len(self.nodes), [], 0
-        for x, y in places:
-            ok = self.possible(x, y)
-            a, b = self.member[x[ok]], self.member[y[ok]]
-            out.append(np.minimum(a, b) * size + np.maximum(a, b))
-            held += len(a)
-            if held > 2_000_000:
-                out = [np.unique(np.concatenate(out))]
-                held = len(out[0]) // 2
-        every = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        return np.stack([every // max(size, 1), every % max(size, 1)], 1)
-
-    def long_only(self) -> Lists:
-        lengths = self.lengths()
-        keep = np.repeat(lengths, lengths) > SMALL
-        used, inverse = np.unique(self.member[keep], return_inverse=True)
-        return Lists(self.nodes[used], self.sizes[used], np.cumsum(np.r_[0, lengths[lengths > SMALL]]), inverse, self.rank[keep], self.before[keep], self.threshold)
-
-
-#: Names and numpy types of the arrays of Lists, as they are stored.
-_STORED = {"nodes": np.int64, "sizes": np.int64, "starts": np.int64, "member": np.int64, "rank": np.int64, "before": np.int64}
-_PROPOSALS = "a long, b long, bucket long, " + ", ".join(f"{k} binary" for k in _STORED)
-
-
-def _batch(pairs: np.ndarray, bucket: int | None = None, lists: Lists | None = None) -> pa.Table:
-    """Pairs of nodes (a < b) and, if given, one row with the lists."""
-    a, b = np.minimum(pairs[:, 0], pairs[:, 1]), np.maximum(pairs[:, 0], pairs[:, 1])
-    n, more = len(pairs), int(lists is not None)
-    held = lambda x: pa.array([None] * n + ([x] if more else []), pa.binary())
-    columns = {"a": pa.array([*a.tolist(), *[None] * more], pa.int64()), "b": pa.array([*b.tolist(), *[None] * more], pa.int64()), "bucket": pa.array([None] * n + ([bucket] if more else []), pa.int64())}
-    return pa.table(columns | {k: held(np.ascontiguousarray(getattr(lists, k), t).tobytes() if more else None) for k, t in _STORED.items()})
+    return source.select("text", "component").mapInArrow(tidy(entries), "bucket long, " + ", ".join(f"{k} binary" for k in STORED))
 
 
 def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """First pairs (a, b) of each bucket, and its long lists for later rounds."""
-
-    def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
-        lists = Lists.gather(table, threshold)
-
-        def places() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            yield from lists.short_pairs()
-            for seed in (0, 11, 12):
-                yield from lists.chains(seed)
+    """Distinct pairs (a < b) of classes of different components that the first order allows."""
 
-        pairs = lists.nodes[lists.proposed(places())] if len(lists.member) else np.zeros((0, 2), np.int64)
-        long = lists.long_only()
-        return _batch(pairs, key[0].as_py(), long if len(long.member) else None)
+    def of_bucket(table: pa.Table) -> pa.Table:
+        pairs = Lists(table, threshold).proposed()
+        return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
 
-    return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), _PROPOSALS), "proposals")
+    group = lambda key, table: of_bucket(table)
+    return materialize(entries.groupBy("bucket").applyInArrow(tidy(group), "a long, b long").distinct(), "pairs")
 
 
-def members(stored: DataFrame) -> DataFrame:
-    """(bucket, node) of the classes in stored lists."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, nodes in zip(b.column("bucket").to_pylist(), b.column("nodes"), strict=True):
-                own = np.frombuffer(nodes.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket)), pa.array(own)], names=["bucket", "node"])
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    return stored.select("bucket", "nodes").mapInArrow(explode, "bucket long, node long")
 
+def joined(pairs: DataFrame, values: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Pairs (a, b) with the sizes n, m of both classes and columns of both, renamed, those of b with the ending _b."""
+    left = values.select(F.col("node").alias("a"), "n", *(F.col(c).alias(k) for c, k in columns.items()))
+    right = values.select(F.col("node").alias("b"), F.col("n").alias("m"), *(F.col(c).alias(f"{k}_b") for c, k in columns.items()))
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
 
-def with_parities(stored: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored lists with the coarse parities of their classes, in the order of nodes."""
 
-    def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
-        nodes = np.frombuffer(left["nodes"][0].as_py(), np.int64) if len(left) else np.zeros(0, np.int64)
-        coarse = np.zeros((len(nodes), COARSE // 8), np.uint8)
-        if len(right):
-            coarse[np.searchsorted(nodes, right["node"].to_numpy())] = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in right["coarse"]])
-        return left.append_column("coarse", pa.array([coarse.tobytes()] * len(left), pa.binary()))
+def _chosen(batches: Iterator[pa.RecordBatch], columns: dict[str, type], passes: Callable) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows for which passes(n, m, and the arrays of both classes, column by column)."""
+    for batch in batches:
+        sizes = zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)
+        arrays = [([x.as_buffer() for x in batch.column(c)], t) for k, t in columns.items() for c in (k, f"{k}_b")]
+        keep = [i for i, (n, m) in enumerate(sizes) if passes(n, m, *(np.frombuffer(x[i], t) for x, t in arrays))]
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    known = members(stored).join(sets.select("node", "coarse"), "node").select("bucket", "node", "coarse")
-    names = ", ".join(f"{k} binary" for k in _STORED)
-    lists = stored.select("bucket", *_STORED)
-    return materialize(lists.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), f"bucket long, {names}, coarse binary"), "lists")
 
+def candidates(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], label: str) -> DataFrame:
+    """The pairs (a, b) that share enough prefix shingles under the further orders too, and whose parities allow the threshold."""
 
-def propose_between(stored: DataFrame, labels: DataFrame, round_: int | None, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of long lists whose classes are in different components: chains in round round_, all if it is None."""
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16, bool)
 
+        def passes(n: int, m: int, x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> bool:
+            return agree(x, y, n, m, threshold, seen) and differing(p, q) <= n + m - 2 * int(need(n, m, threshold))
 
-    def unpack(table: pa.Table) -> Lists:
-        coarse = np.frombuffer(table["coarse"][0].as_py(), np.uint64).reshape(-1, COARSE // 64)
-        return Lists(*(np.frombuffer(table[k][0].as_py(), t) for k, t in _STORED.items()), threshold, coarse)
+        yield from _chosen(batches, {"x": np.uint16, "p": np.uint8}, passes)
 
-    inside = members(stored).join(labels, "node").select("bucket", "node", "component")
+    known = rows.join(sized(ends(pairs)), "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("parity").alias("parity"))
+    return materialize(joined(pairs, known, {"prefixes": "x", "parity": "p"}).mapInArrow(tidy(passing), "a long, b long"), f"candidates-{label}")
 
-    def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return _batch(np.zeros((0, 2), np.int64)).select(["a", "b"])
-        lists = unpack(left)
-        component = lists.nodes.copy()
-        at = np.searchsorted(lists.nodes, right["node"].to_numpy())
-        component[at] = right["component"].to_numpy()
-        places = lists.across(component) if round_ is None else (p for seed in (31 + 2 * round_, 32 + 2 * round_) for p in lists.chains(seed, component))
-        return _batch(lists.nodes[lists.proposed(places)]).select(["a", "b"])
 
-    return stored.groupBy("bucket").cogroup(inside.groupBy("bucket")).applyInArrow(tidy(of_bucket), "a long, b long").distinct()
-
-
-def parity(shingles: np.ndarray, size: int | None = None) -> bytes:
-    """Parity of the number of shingles in each of size slots (2^k >= 2 n): sets that differ in d shingles differ in d bits at most."""
-    size = size or max(64, 1 << int(2 * len(shingles) - 1).bit_length())
-    return np.packbits((np.bincount((shingles >> np.uint64(8) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
-
-
-def differing(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two parities differ; the longer one is folded."""
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0)
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, parity, coarse, shingles) of each row of docs; coarse is a parity of COARSE slots; 48 bits of each shingle, in order: all low 32 bits, then all high 16."""
+def shingle_sets(source: DataFrame, wanted: DataFrame, names: dict, label: str) -> DataFrame:
+    """(node, n, shingles) of the wanted rows (id, sig) of (id, sig, text); shingles are 8 bytes each, in order."""
 
     def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Powers()
         for b in batches:
             found = [s for s in (shingle_set(t.as_py(), known) for t in b.column("text")) if len(s)]
-            packed = [s.astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint16).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(set_key(s)) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([parity(s) for s in found], pa.binary()), pa.array([parity(s, COARSE) for s in found], pa.binary()), pa.array(packed, pa.binary())], names=["node", "n", "parity", "coarse", "shingles"])
+            keys = [halves(set_key(s)) for s in found]
+            columns = [pa.array([names.get(k, k[0]) for k in keys], pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "shingles"])
 
-    return _source(docs, id_col, text_col).mapInArrow(tidy(of_rows), "node long, n long, parity binary, coarse binary, shingles binary")
+    once = source.join(sized(wanted), ["id", "sig"], "left_semi").select("text")
+    return materialize(once.mapInArrow(tidy(of_rows), "node long, n long, shingles binary").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), label)
 
 
-def _unpacked(x: pa.BinaryScalar, n: int) -> np.ndarray:
-    raw = x.as_buffer()
-    return np.sort(np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+def intersect(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], label: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, materialised."""
 
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _chosen(batches, {"x": np.uint64}, lambda n, m, x, y: common(x, y) >= need(n, m, threshold))
 
-def meets(x: np.ndarray, y: np.ndarray, seed: int, i: int, j: int) -> bool:
-    """Whether the first i of x and the first j of y under the order of a seed share a shingle."""
-    x, y = scramble(x, seed), scramble(y, seed)
-    x, y = (np.partition(x, i - 1)[:i] if i < len(x) else x), np.sort(np.partition(y, j - 1)[:j] if j < len(y) else y)
-    return bool((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).any())
+    return materialize(joined(pairs, sets, {"shingles": "x"}).mapInArrow(tidy(similar), "a long, b long"), f"links-{label}")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], label: str) -> DataFrame:
-    """The pairs (a, b) that are similar, materialised.
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, low, high) of classes that are in different components low < high."""
+    side = lambda c: sized(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"{c}_in": F.coalesce(f"{c}_in", c) for c in "ab"})
+    return both.where("a_in <> b_in").select("a", "b", F.least("a_in", "b_in").alias("low"), F.greatest("a_in", "b_in").alias("high"))
 
-    Parities (a quarter byte a shingle) rule most others out before any set is moved. The remaining pairs must pass the
-    other orders' filters, and are then intersected exactly (on 48 bits a shingle: a chance of n m / 2^48 a pair to count one
-    too many). Only the sets of nodes in such pairs are moved.
-    """
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y, n, m) in enumerate(zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)):
-                most = n + m - 2 * int(need(n, m, threshold))
-                if most >= 0 and differing(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= most:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k, (x, y, n, m) in enumerate(zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)):
-                x, y, least = _unpacked(x, n), _unpacked(y, m), int(need(n, m, threshold))
-                if all(meets(x, y, seed, n - least + 1, m - least + 1) for seed in ORDERS[1:]) and np.count_nonzero(x[np.minimum(np.searchsorted(x, y), n - 1)] == y) >= least:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
-
-    def joined(pairs: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), "n", F.col(column).alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col(column).alias("y"))
-        right = right.join(sized(pairs.select("b").distinct()), "b", "left_semi")
-        return left.join(sized(pairs), "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
-
-    near = materialize(joined(pairs, "parity").mapInArrow(tidy(close), "a long, b long").distinct(), f"close-{label}")
-    return materialize(joined(near, "shingles").mapInArrow(tidy(similar), "a long, b long").distinct(), f"links-{label}")
+def hub_pairs(lists: DataFrame, labels: DataFrame | None, round_: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a < b) of each class with one class of its lists (hub, node, n) that is in another component."""
+    if labels is None:
+        lists = lists.withColumn("component", F.col("node"))
+    else:
+        lists = lists.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    one = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n", "component")).alias("one")
+    heads = lists.groupBy("hub").agg(one, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    heads = heads.select("hub", F.col("one.node").alias("head"), F.col("one.n").alias("size"), F.col("one.component").alias("other"))
+    a, b = threshold
+    close = (F.col("n") * b >= F.col("size") * a) & (F.col("size") * b >= F.col("n") * a)
+    pairs = lists.join(sized(heads), "hub").where((F.col("component") != F.col("other")) & close)
+    return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def similar_counts(sets: list[np.ndarray], own: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -498,7 +286,7 @@ def link_counts(labels: DataFrame, links: DataFrame, sets: DataFrame, threshold:
     open_ = labels.join(sized(sizes.where(~full).withColumn("blocks", blocks)), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = materialize(dealt.join(sets.groupBy("node").agg(F.first("n").alias("n")), "node"), "blocks")
+    dealt = materialize(dealt.join(sets.select("node", "n"), "node"), "blocks")
     total = dealt.agg(F.sum("n")).first()[0]
     if not total:
         return materialize(known, "link-counts")
@@ -515,7 +303,7 @@ def link_counts(labels: DataFrame, links: DataFrame, sets: DataFrame, threshold:
         for a, z in zip(ends[:-1], ends[1:], strict=True):
             some = at[a:z]
             if names[some[0], 1] == names[some[0], 2] or len(np.unique(own[some])) == 2:
-                counts[a:z] = similar_counts([_unpacked(packed[int(k)], int(n[k])) for k in some], own[some], threshold)
+                counts[a:z] = similar_counts([np.frombuffer(packed[int(k)].as_buffer(), np.uint64) for k in some], own[some], threshold)
         return pa.table({"node": node[at], "n_links": counts})
 
     joined = dealt.drop("n").join(sets.select("node", "n", "shingles"), "node").withColumn("group", F.pmod(F.xxhash64("component", "i", "j"), F.lit(groups)))
@@ -527,52 +315,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_shingles, class_id (least id with an equal set), component_id, n_verified.
 
     n_verified is the number of verified links of the row's class with other classes (those that were needed to join the
-    component, not all that there are). With all_links, n_links is the exact number of all of them. A text of fewer than five words is one shingle; empty and null texts have none
-    and are linked with nothing. Rows without an id take no part in links and have component_id null; rows that repeat
-    an id are told apart by their texts. Other columns are ignored; an empty docs gives no rows.
+    component, not all that there are). With all_links, n_links is the exact number of all of them. A text of fewer than
+    five words is one shingle; empty and null texts have none and are linked with nothing. Rows without an id take no
+    part in links and have component_id null; rows that repeat an id are told apart by their texts, and a repeated row
+    is linked as one. Ties need no rule: components don't depend on an order. Columns other than id_col and text_col
+    are ignored, whatever their names; an empty docs gives no rows. Very long texts are shingled in segments; a text's
+    set (8 bytes a shingle) is held whole.
     """
     arrow_batches(docs.sparkSession)
-    found = profile(docs, id_col, text_col)
-    rows = found.where("token is null").select("id", "n", "node", "key")
-    classes = materialize(rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.min("key").alias("k"), F.max("key").alias("z"), F.first("n").alias("n")), "classes")
-    if not classes.where("k <> z").isEmpty():
-        raise ValueError("two sets of shingles have the same name; change the seed of set_key")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    common = frequent(found)
-    copies = rows.join(sized(classes.where("rows > 1").select("node", "least")), "node").where("id <> least").select("id").distinct()
+    found = profile(docs, id_col, text_col, threshold)
+    rows = found.where("token is null").drop("token", "count")
+    names = renamed(rows)
+    if names:
+        new = [F.when((F.col("node") == node) & (F.col("check") == check), F.lit(name)) for (node, check), name in names.items()]
+        rows = rows.withColumn("node", F.coalesce(*new, "node"))
+    hubs = [f"hub{k}" for k in range(len(HUBS))]
+    taking = rows.where("n > 0 and id is not null")
+    classes = taking.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in hubs))
+    classes = materialize(classes, "classes")
+    source = _source(docs, id_col, text_col)
+    first = taking.select("id", "sig", "node")  # rows that may stand for their classes
+
+    def wanted(nodes: DataFrame) -> DataFrame:
+        """(id, sig) of the rows that stand for some classes."""
+        some = sized(materialize(classes.join(sized(nodes), "node", "left_semi").select("node", "least"), "some"))
+        return first.join(some, "node").where("id = least").select("id", "sig").distinct()
+
+    every = classes.select("node", "n", F.explode(F.array(*hubs)).alias("hub")).distinct()
+    shared = every.groupBy("hub").count().where("count > 1").select("hub")
+    lists = materialize(every.join(shared, "hub", "left_semi"), "hub-lists")
+    links = labels = sets = None
+    for k in range(ROUNDS):
+        near = candidates(materialize(hub_pairs(lists, labels, k, threshold), "hub-pairs"), taking, threshold, f"hub-{k}")
+        if sets is None:
+            sets = shingle_sets(source, wanted(ends(near)), names, "hub-sets")
+        fresh = intersect(near, sets, threshold, f"hub-{k}")  # a class without a set waits for the index
+        if k and fresh.isEmpty():
+            break
+        links = fresh if links is None else links.unionByName(fresh)
+        labels = materialize(components(links), "labels")
+
+    often = frequent(found)
+    copies = taking.join(sized(classes.where("rows > 1").select("node", "least")), "node").where("id <> least").select("id").distinct()
     copies = copies.join(classes.select("least"), F.col("id") == F.col("least"), "left_anti")
-    single = without_ids(docs, materialize(copies, "copies"), id_col)
-    buckets = max(1, -(-total // (4 * BUCKET)))
-    proposals = propose(index(single, id_col, text_col, buckets, common, threshold), threshold)
-    stored = proposals.where("bucket is not null")
-    pairs = materialize(proposals.where("a is not null").select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    rounds = 0 if stored.isEmpty() else ROUNDS + 1
-    if rounds:
-        nodes = nodes.unionByName(members(stored).select("node"))
-    wanted = materialize(nodes.distinct().join(classes, "node").select("least").distinct(), "wanted")
-    sets = materialize(shingle_sets(docs.join(sized(wanted), F.col(id_col) == F.col("least"), "left_semi"), id_col, text_col), "sets")
-    links = verify(pairs, sets, threshold, "0")
-    stored = with_parities(stored, sets) if rounds else stored
-    labels = components(links)
-    for k in range(rounds):
-        more = materialize(propose_between(stored, labels, k if k < ROUNDS else None, threshold).join(pairs, ["a", "b"], "left_anti"), f"pairs-{k + 1}")
-        if more.isEmpty():
-            continue
-        fresh = verify(more, sets, threshold, str(k + 1))
-        pairs = pairs.unionByName(more)
-        if fresh.isEmpty():
-            continue
+    named = wanted(labels.select("node")).join(first, ["id", "sig"]).join(sized(labels), "node").select("id", "sig", "component").distinct()
+    single = without_ids(source, materialize(copies, "copies"), "id").join(sized(materialize(named, "named")), ["id", "sig"], "left")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    pairs = propose(index(single, max(1, -(-total // (4 * BUCKET))), often, names, threshold), threshold)
+    near = candidates(pairs, taking, threshold, "index")
+    missing = materialize(ends(near).join(sized(sets.select("node")), "node", "left_anti"), "missing")
+    sets = sets.unionByName(shingle_sets(source, wanted(missing), names, "index-sets"))
+    one = F.min(F.struct(F.xxhash64("a", "b"), "a", "b")).alias("one")
+    for label in ("first", "rest"):  # one pair of each two components, then all pairs that are still between components
+        open_ = between(near, labels)
+        tried = open_.groupBy("low", "high").agg(one).select("one.a", "one.b") if label == "first" else open_
+        fresh = intersect(tried, sets, threshold, label)
         links = links.unionByName(fresh)
-        labels = components(labels.toDF("a", "b").unionByName(fresh))
+        labels = materialize(components(labels.toDF("a", "b").unionByName(fresh)), "labels")
+
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
-    named = labels.join(classes.select("node", "least"), "node")
-    lowest = named.groupBy("component").agg(F.min("least").alias("lowest"))
-    known = materialize(named.join(lowest, "component").join(counts, "node", "left").select("node", "lowest", "n_verified"), "named")
-    by_class = classes.select("node", "least").join(sized(known), "node", "left")
+    least = classes.join(sized(labels), "node").select("node", "least", "component")
+    lowest = least.groupBy("component").agg(F.min("least").alias("lowest"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = least.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    lowest = lowest.select("component", "lowest", salts)
+    known = dealt.join(sized(lowest), ["component", "salt"]).join(counts, "node", "left").select("node", "lowest", "n_verified")
+    by_class = classes.select("node", "least").join(sized(materialize(known, "components")), "node", "left")
     if all_links:
         by_class = by_class.join(sized(link_counts(labels, links, sets, threshold)), "node", "left")
-    out = rows.join(by_class, (rows["node"] == by_class["node"]) & (rows["n"] > 0) & rows["id"].isNotNull(), "left")
+    out = rows.drop(*hubs, "prefixes", "parity").join(by_class, (rows["node"] == by_class["node"]) & (rows["n"] > 0) & rows["id"].isNotNull(), "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -584,10 +395,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """docs with one row of each component: that of the least id. Rows without id, and empty texts, all stay."""
-    said = materialize(near_duplicates(docs, id_col, text_col, threshold).select(F.col(id_col).alias("__i"), "component_id"), "components")
-    out = without_ids(docs, said.where("__i <> component_id").select("__i").distinct(), id_col)
-    again = materialize(said.where("__i = component_id").groupBy("__i").count().where("count > 1").select("__i"), "repeated")
+    """docs with one row of each component: that of the least id. Rows without id, and empty texts, all stay.
+
+    Where the least id itself is repeated, one of its rows stays (any: they are in one component). Columns are those of
+    docs, whatever their names; an empty docs gives no rows.
+    """
+    said = near_duplicates(docs, id_col, text_col, threshold).toDF("__i", "__n", "__class", "__component", "__links")
+    said = materialize(said.select("__i", "__component"), "said")
+    out = without_ids(docs, said.where("__i <> __component").select("__i").distinct(), id_col)
+    again = materialize(said.where("__i = __component").groupBy("__i").count().where("count > 1").select("__i"), "repeated")
     if again.isEmpty():
         return out
     repeated = out.join(again, F.col(id_col) == F.col("__i"), "left_semi")

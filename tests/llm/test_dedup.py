@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from faultloom.llm import exact_dedup, jaccard
+from faultloom.llm import exact_dedup, jaccard, prefixes
 from faultloom.llm.shingles import Powers, hashes, shingle_set
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,10 +50,7 @@ def test_heavy_hitters_cover_a_hot_group(spark):
 
 
 def brute_components(corpus):
-    sets = {}
-    for i, t, *_ in corpus:
-        w = tokens(t)
-        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+    sets = brute_sets(corpus)
     root = {i: i for i in sets}
 
     def find(x):
@@ -70,9 +67,21 @@ def brute_components(corpus):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+def brute_sets(rows):
+    out = {}
+    for i, t, *_ in rows:
+        w = tokens(t)
+        out[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+    return out
+
+
+@pytest.mark.parametrize(("rounds", "hot", "bucket"), [(3, 500_000, 400_000), (1, 2, 1000)])
+def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, rounds, hot, bucket):
+    """Also with few hubs, hot shingles dealt over blocks, and many buckets."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "RARE", 2)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
     got = jaccard.near_duplicates(docs)
     want = brute_components(corpus)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want
@@ -80,6 +89,39 @@ def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, small):
     assert kept == {c for _, _, c in want}
 
 
+def test_classes_with_one_name_are_told_apart(docs, corpus, monkeypatch):
+    real = jaccard.halves
+    monkeypatch.setattr(jaccard, "halves", lambda key: (real(key)[0] % 2, real(key)[1]) if key[0] % 16 == 0 else real(key))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute_components(corpus)
+
+
+def test_a_list_of_many_unlinked_classes(spark):
+    """5000 texts of one frequent passage and a rest of their own, 200 of them near copies of another."""
+    import random
+
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(5000):
+        own = [f"o{i}x{k}" for k in range(24)]
+        rows.append((i, " ".join(passage + own)))
+        if i < 200:
+            rows.append((10_000 + i, " ".join([*passage, *own[:-1], "changed"])))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_a_large_group_of_near_copies(spark):
+    """3000 different texts that differ from one text in a word: one component, by far fewer pairs than it has."""
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join([*base[: i % 300], f"x{i}", *base[i % 300 + 1 :]])) for i in range(3000)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(r.n_verified for r in got) < 40 * len(rows)
+
+
 @pytest.mark.parametrize(("block", "cells"), [(2048, 8_000_000), (3, 100)])
 def test_every_link_is_counted(spark, docs, corpus, monkeypatch, block, cells):
     import random
@@ -90,15 +132,12 @@ def test_every_link_is_counted(spark, docs, corpus, monkeypatch, block, cells):
     base = [f"w{k}" for k in range(60)]
     many = [(1000 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(40)}" for w in base)) for i in range(40)]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string"))
-    sets = {}
-    for i, t in [(i, t) for i, t, *_ in corpus] + many:
-        w = tokens(t)
-        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+    sets = brute_sets([(i, t) for i, t, *_ in corpus] + many)
     classes = {s for s in sets.values() if s}
     want = {i: sum(s != o and 4 * len(s & o) >= 3 * len(s | o) for o in classes) if s else 0 for i, s in sets.items()}
     got = jaccard.near_duplicates(both, all_links=True)
     assert {r.doc_id: r.n_links for r in got.collect()} == want
-    assert max(want.values()) > jaccard.SMALL
+    assert max(want.values()) > 8
 
 
 def test_near_odd_rows(odd, none):
@@ -134,12 +173,26 @@ def test_prefix_orders_never_lose_a_similar_pair():
         if not y or 4 * len(x & y) < 3 * len(x | y):
             continue
         x, y = np.array(sorted(x), np.uint64), np.array(sorted(y), np.uint64)
-        least = jaccard.need(len(x), len(y), (3, 4))
-        order = jaccard.Order(101, x[:3], np.array([5, 4, 3]))
-        a, b = (order.first(s, jaccard.prefix_size(len(s), (3, 4))).tolist() for s in (x, y))
+        least = prefixes.need(len(x), len(y), (3, 4))
+        order = prefixes.Order(101, x[:3], np.array([5, 4, 3]))
+        a, b = (order.first(s, prefixes.prefix_size(len(s), (3, 4))).tolist() for s in (x, y))
         assert any(least <= min(len(x) - a.index(t), len(y) - b.index(t)) for t in a if t in b)
-        assert all(jaccard.meets(x, y, seed, len(x) - least + 1, len(y) - least + 1) for seed in jaccard.ORDERS)
-        assert jaccard.differing(*(np.frombuffer(jaccard.parity(s), np.uint8) for s in (x, y))) <= len(set(x.tolist()) ^ set(y.tolist()))
+        marks = (np.frombuffer(prefixes.fingerprints(s, (3, 4)), np.uint16) for s in (x, y))
+        assert prefixes.agree(*marks, len(x), len(y), (3, 4), np.zeros(1 << 16, bool))
+        assert prefixes.differing(*(np.frombuffer(prefixes.parity(s), np.uint8) for s in (x, y))) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_further_orders_refuse_pairs_that_share_little():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    seen, refused = np.zeros(1 << 16, bool), 0
+    for _ in range(100):
+        both, x, y = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (60, 340, 340))
+        marks = (np.frombuffer(prefixes.fingerprints(np.concatenate([both, s]), (3, 4)), np.uint16) for s in (x, y))
+        refused += not prefixes.agree(*marks, 400, 400, (3, 4), seen)
+        assert not seen.any()
+    assert refused >= 99
 
 
 def test_components_match_union_find(spark):
