@@ -20,9 +20,9 @@ def service(node: Column | str = "node") -> Column:
 
 
 def service_ranks(ranks: DataFrame) -> DataFrame:
-    """Ranks of services by their best node."""
+    """Ranks of services by their best node; services whose nodes share a rank (repeated rows) follow their names."""
     best = ranks.groupBy("case_id", service().alias("node")).agg(F.min("rank").alias("__r"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("__r"))).select("case_id", "node", "rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("__r", "node"))).select("case_id", "node", "rank")
 
 
 def metric_of_fault(fault: Column | str = "fault") -> Column:

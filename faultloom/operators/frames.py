@@ -22,6 +22,12 @@ def metric(node: Column | str = "node") -> Column:
     return F.split(F.col(node) if isinstance(node, str) else node, "_").getItem(1)
 
 
+def steady(score: Column | str) -> Column:
+    """A score to ten significant digits: what ranks and ties go by, so that they don't hang on the order of additions."""
+    x = F.col(score) if isinstance(score, str) else score
+    return F.when(x.isNotNull(), F.format_string("%.9e", x).cast("double"))
+
+
 def from_wide(df: DataFrame, time: str = "time", case: str | None = None) -> DataFrame:
     """Long frame of a wide one; without case all rows are of case "0". Columns keep their order in pos."""
     nodes = [c for c in df.columns if c not in (time, case)]

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import series
+from .frames import series, steady
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """Rank by score, larger first; ties keep the column order."""
-    order = Window.partitionBy("case_id").orderBy(F.desc("score"), "pos")
+    """Rank by score, larger first; scores that agree in ten significant digits are ties and keep the column order.
+
+    Null scores come last; an empty table has no ranks. The window holds one row a node.
+    """
+    order = Window.partitionBy("case_id").orderBy(steady("score").desc_nulls_last(), "pos", "node")
     return scores.withColumn("rank", F.row_number().over(order)).select("case_id", "node", "score", "rank")
 
 
@@ -178,8 +181,11 @@ def index_quantile(frame: DataFrame, q: float) -> DataFrame:
 
 
 def attention_gap(scores: DataFrame) -> DataFrame:
-    """Nodes above the largest gap between neighbours of the sorted scores."""
-    order = Window.partitionBy("case_id").orderBy(F.desc("score"), "node")
-    rows = scores.withColumn("k", F.row_number().over(order)).withColumn("gap", F.col("score") - F.lead("score").over(order))
+    """Nodes above the largest gap between neighbours of the sorted scores; scores and gaps count to ten digits.
+
+    Of equal gaps the first counts, of equal scores the lesser node comes first; a case of one node keeps it out of any gap.
+    """
+    order = Window.partitionBy("case_id").orderBy(steady("score").desc(), "node")
+    rows = scores.withColumn("k", F.row_number().over(order)).withColumn("gap", steady(F.col("score") - F.lead("score").over(order)))
     cut = rows.groupBy("case_id").agg(F.max(F.struct("gap", -F.col("k"))).alias("m")).select("case_id", (-F.col("m.col2")).alias("cut"))
     return rows.join(cut, "case_id").where(F.col("k") <= F.col("cut")).select("case_id", "node", "score")

@@ -314,7 +314,7 @@ def run(frame: DataFrame, cases: DataFrame, method: str | Kernel, seed: int = 0,
                 score = np.asarray(kernel(case, **settings), float)
             except (ValueError, ArithmeticError, np.linalg.LinAlgError, IndexError) as e:
                 status, nodes, score = f"{type(e).__name__}: {e}"[:200], names, -np.arange(len(names), dtype=float)
-        order = np.argsort(-score, kind="stable")
+        order = np.argsort([-float(f"{s:.9e}") for s in score], kind="stable")  # ties as in stats.ranked()
         return pd.DataFrame({"case_id": rows["case_id"].iloc[0], "node": [nodes[k] for k in order], "score": score[order], "rank": np.arange(1, len(order) + 1, dtype=np.int32), "status": status})
 
     return frame.join(given, "case_id").groupBy("case_id").applyInPandas(of_case, RANKS)

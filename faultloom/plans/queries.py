@@ -100,8 +100,16 @@ def marked(edges: DataFrame) -> DataFrame:
 
 # Scores and ranks (the flagship)
 
+
+def steady(x: str) -> str:
+    """What ranks go by: ten significant digits."""
+    return f"CAST(format('{{:.9e}}', {x}) AS DOUBLE)"
+
+
+steady_score = steady("score")
+
 _SCORED = """
-SELECT case_id, node, {score} AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY raw DESC, pos) AS INTEGER) AS rank FROM (
+SELECT case_id, node, {score} AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY CAST(format('{{:.9e}}', raw) AS DOUBLE) DESC, pos) AS INTEGER) AS rank FROM (
   SELECT case_id, node, pos, (max(value) FILTER (a) - {centre}) / CASE WHEN {spread} > 0 THEN {spread} ELSE 1 END AS raw
   FROM (SELECT *, t >= {inject} AS a FROM {frame}) GROUP BY case_id, node, pos
   HAVING min(value) FILTER (NOT a) <> max(value) FILTER (NOT a) AND min(value) FILTER (a) <> max(value) FILTER (a))
@@ -141,7 +149,7 @@ def median_shift(spark, sf):
     return rounded(stats.median_shift(tables.li(spark, sf), split.after(OLD), 0.001), "shift")
 
 
-@query(f"SELECT service AS node, case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rk) AS INTEGER) AS rank FROM (SELECT case_id, split_part(node, '_', 1) AS service, min(rank) AS rk FROM ({scored_sql('usr', USER, False)}) GROUP BY 1, 2)")
+@query(f"SELECT service AS node, case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rk, service) AS INTEGER) AS rank FROM (SELECT case_id, split_part(node, '_', 1) AS service, min(rank) AS rk FROM ({scored_sql('usr', USER, False)}) GROUP BY 1, 2)")
 def service_ranks_users(spark, sf):
     return evaluate.service_ranks(stats.n_sigma(tables.user(spark, sf), split.after(USER)))
 
@@ -470,7 +478,7 @@ def index_quantile(spark, sf):
     return rounded(stats.index_quantile(tables.li(spark, sf), 0.98), "quantile")
 
 
-@query(f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, node) AS k, score - lead(score) OVER (PARTITION BY case_id ORDER BY score DESC, node) AS gap FROM (SELECT case_id, node, avg(value) AS score FROM usr GROUP BY 1, 2)) SELECT case_id, node, {r('score')} AS score FROM s JOIN (SELECT case_id, arg_min(k, (-gap, k)) AS cut FROM s WHERE gap IS NOT NULL GROUP BY 1) USING (case_id) WHERE k <= cut")
+@query(f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY {steady('score')} DESC, node) AS k, {steady(f'score - lead(score) OVER (PARTITION BY case_id ORDER BY {steady_score} DESC, node)')} AS gap FROM (SELECT case_id, node, avg(value) AS score FROM usr GROUP BY 1, 2)) SELECT case_id, node, {r('score')} AS score FROM s JOIN (SELECT case_id, arg_min(k, (-gap, k)) AS cut FROM s WHERE gap IS NOT NULL GROUP BY 1) USING (case_id) WHERE k <= cut")
 def attention_gap(spark, sf):
     return rounded(stats.attention_gap(tables.user(spark, sf).groupBy("case_id", "node").agg(F.avg("value").alias("score"))), "score")
 
