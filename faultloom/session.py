@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side made of ids (some 16 bytes a row) is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a side is broadcast; above either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+#: Bytes of a value by type, as a hash relation holds it, and those of any other type (strings, binaries, arrays).
+_WIDTHS, _WIDE = {"tinyint": 8, "smallint": 8, "int": 8, "bigint": 8, "float": 8, "double": 8, "boolean": 8, "date": 8, "timestamp": 8}, 96
 
 
 def local_session(cpus: int | str = 8, app: str = "faultloom") -> SparkSession:
@@ -33,10 +37,13 @@ def local_session(cpus: int | str = 8, app: str = "faultloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir.
 
-    Where it is unset (single-machine tests) a temporary folder is set once for the session.
+    Where it is unset, a temporary folder is set once for a session in one process; on a cluster that is an error, as
+    every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="faultloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own
@@ -64,5 +71,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def sized(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most bound rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.count() <= bound else df
+    """df with a broadcast hint if it has at most bound rows and some BROADCAST_BYTES, else as it is (the join then shuffles).
+
+    The count runs df once: give it a materialised table, or a cheap plan.
+    """
+    row = 16 + sum(_WIDTHS.get(t, _WIDE) for _, t in df.dtypes)
+    return F.broadcast(df) if df.count() <= min(bound, BROADCAST_BYTES // row) else df
