@@ -1,12 +1,10 @@
 """Packing tokenised documents into sequences of WIDTH ids along a Hilbert curve.
 
-A document's ids (and the closing id) are cut, from its start, into pieces of WIDTH, then one piece of each of WIDTH/2,
-WIDTH/4 ... LEAST that its rest holds, and a tail of fewer than LEAST ids. Pieces of one size fill sequences without
-padding, and their cuts don't depend on other documents: the ids never leave the task that made them, only the
-pieces' bounds are sorted. The sort key is (size, Hilbert index of the document): its ids are hashed to HASH_DIMS signed
-counts, projected to AXES dimensions, and the curve joins neighbours there. Range-sorted partitions are packed from
-front to back. What remains at a partition's end is cut into sequences whose lengths are powers of two; tails go whole
-into the current sequence, or open the next.
+A document's ids (and the closing id) are hashed to HASH_DIMS signed counts and projected to AXES dimensions; its key is
+the Hilbert index of that point, so that documents with like vocabulary have neighbouring keys. Documents travel with
+their ids, are range-sorted by key, and each partition's stream of ids is cut at every WIDTH: a sequence holds neighbours
+of the curve, and a document is cut only where a sequence ends. The last, shorter sequence of a partition is cut into
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, per_worker, tidy
 
-WIDTH, LEAST, END_ID = 1024, 64, 0
+WIDTH, END_ID = 1024, 0
 HASH_DIMS, AXES, BITS = 256, 3, 10
 SEED = 7
 
@@ -31,10 +29,20 @@ SEED = 7
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Settings of a BPE model that the fast encoder doesn't know.
+_UNLIKE = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+
+
+def _plain(cut: dict | None) -> bool:
+    """Whether a pre-tokeniser is the byte-level one with PATTERN and without a leading blank."""
+    return bool(cut) and cut["type"] == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
 class Tokenizer:
     """Ids of a byte-level BPE file (tokenizers' JSON), through a faster encoder over the same ranks.
 
-    Texts that the fast encoder refuses go to the tokenizers library itself; both give the same ids.
+    Texts that the fast encoder refuses, and all texts where the file asks for anything else than byte-level BPE with the
+    usual pattern, go to the tokenizers library itself; both give the same ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,24 +51,35 @@ class Tokenizer:
         self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        added = told["added_tokens"]
+        usual = not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and all(x.get("special") for x in added)
+        model = told["model"]
+        self.same = model["type"] == "BPE" and usual and not told.get("normalizer") and _plain(told.get("pre_tokenizer")) and not any(model.get(k) for k in _UNLIKE)
+        if not self.same:
+            return
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        special = {x["content"]: x["id"] for x in told["added_tokens"] if x.get("special")}
-        ranks = {bytes(letters[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in special}
+        special = {x["content"]: x["id"] for x in added}
+        ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = set(special)
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.same:
+            return self.of_library(text)
         try:
             return self.fast.encode_to_numpy(text, allowed_special=self.special if any(s in text for s in self.special) else set(), disallowed_special=())
         except BaseException as e:  # a panic of the Rust code is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            if self.slow is None:
-                from tokenizers import Tokenizer as Slow
+            return self.of_library(text)
 
-                self.slow = Slow.from_file(self.path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def of_library(self, text: str) -> np.ndarray:
+        if self.slow is None:
+            from tokenizers import Tokenizer as Slow
+
+            self.slow = Slow.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -112,101 +131,110 @@ class Curve:
         return hilbert(np.clip(np.floor((1 << BITS) / (1 + np.exp(-2.0 * vectors))), 0, (1 << BITS) - 1).astype(np.int64))
 
 
-def cuts(total: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document with total ids."""
-    out = [(at, WIDTH) for at in range(0, total - WIDTH + 1, WIDTH)]
-    at, width = len(out) * WIDTH, WIDTH // 2
-    while width >= LEAST:
-        if total - at >= width:
-            out.append((at, width))
-            at += width
-        width //= 2
-    return out + [(at, total - at)] * (total > at)
-
+def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: key (Hilbert), id, serial (place in its task, tells repeated rows apart), doc_tokens, ids.
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every document: kind (its size, LEAST - 1 for tails), key, id, start, length, ids_crc32, doc_tokens."""
+    ids are packed in 2 bytes each where all are below 2^16, else in 4.
+    """
     arrow_batches(docs.sparkSession)
-    id_type = dict(docs.dtypes)[id_col]
-    names = ["kind", "key", "id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = ["key", "id", "serial", "doc_tokens", "ids"]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, curve = per_worker(("tokenizer", tokenizer_path), lambda: Tokenizer(tokenizer_path)), Curve()
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, curve, serial = per_worker(("tokenizer", tokenizer_path), lambda: Tokenizer(tokenizer_path)), Curve(), 0
         for b in batches:
-            vectors, own, rows = [], [], []
-            for n, text in enumerate(b.column("text")):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+            vectors, sizes, packed = [], [], []
+            for text in b.column("text"):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
                 vectors.append(curve.vector(ids))
-                blob = memoryview(ids.tobytes())
-                for start, length in cuts(len(ids)):
-                    own.append(n)
-                    rows.append((length if length >= LEAST else LEAST - 1, start, length, crc32(blob[4 * start : 4 * (start + length)]), len(ids)))
+                sizes.append(len(ids))
+                packed.append(ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
             keys = curve.keys(np.array(vectors).reshape(-1, AXES))
-            own = np.array(own, np.int64)
-            kind, start, length, crc, total = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys[own]), b.column("id").take(pa.array(own)), *(pa.array(x) for x in (start, length, crc, total))], names=names)
+            columns = [pa.array(keys, pa.int64()), b.column("id"), pa.array(np.arange(serial, serial + len(b))), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
+            serial += len(b)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(tidy(cut), f"kind long, key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(tidy(encoded), f"key long, id {dict(docs.dtypes)[id_col]}, serial long, doc_tokens long, ids binary")
 
 
-class Filler:
-    """Places pieces, which come ordered by size, into sequences; sequences count from 0."""
+class Stream:
+    """Cuts documents, in the order in which they come, into pieces of sequences; sequences count from first."""
 
-    def __init__(self) -> None:
-        self.sequence, self.offset = 0, 0
-
-    def place(self, kinds: np.ndarray, lengths: np.ndarray, last: bool) -> list[tuple[int, int]]:
-        """(sequence, offset) of the first pieces; those of an unfinished sequence at the end wait, unless it is the last call."""
-        out: list[tuple[int, int]] = []
-        bounds = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1], True]) if len(kinds) else np.zeros(1, np.int64)
-        for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            size, closed = int(kinds[at]), last or end < len(kinds)
-            if size < LEAST:
-                for length in lengths[at:end].tolist():
-                    if self.offset + length > WIDTH:
-                        self.sequence, self.offset = self.sequence + 1, 0
-                    out.append((self.sequence, self.offset))
-                    self.offset += length
-                continue
-            if self.offset:  # tails came before: their last sequence is closed
-                self.sequence, self.offset = self.sequence + 1, 0
-            per, left = WIDTH // size, end - at
-            while left:
-                while closed and per > left:
-                    per //= 2
-                if per > left:
-                    break
-                out += [(self.sequence, k * size) for k in range(per)]
-                self.sequence, left = self.sequence + 1, left - per
+    def __init__(self, first: int = 0) -> None:
+        self.sequence, self.offset = first, 0
+        self.open: list[tuple] = []  # (document, start, ids) of the unfinished sequence, less than WIDTH ids
+
+    def _closed(self, parts: list[tuple]) -> list[tuple]:
+        at, out = 0, []
+        for doc, start, ids in parts:
+            out.append((doc, start, len(ids), crc32(ids.tobytes()), self.sequence, at))
+            at += len(ids)
+        self.sequence += 1
+        return out
+
+    def add(self, doc, ids: np.ndarray) -> list[tuple]:
+        """Pieces (document, start, length, crc32, sequence, offset) of the sequences that a document's ids fill."""
+        out, at = [], 0
+        while at < len(ids):
+            some = ids[at : at + WIDTH - self.offset]
+            self.open.append((doc, at, some))
+            self.offset += len(some)
+            at += len(some)
+            if self.offset == WIDTH:
+                out += self._closed(self.open)
+                self.open, self.offset = [], 0
+        return out
+
+    def finish(self) -> list[tuple]:
+        """Pieces of the unfinished sequence, cut into sequences of powers of two."""
+        out, left = [], self.offset
+        while left:
+            width, parts = 1 << (left.bit_length() - 1), []
+            left -= width
+            while width:
+                doc, start, ids = self.open.pop(0)
+                if len(ids) > width:
+                    self.open.insert(0, (doc, start + width, ids[width:]))
+                    ids = ids[:width]
+                parts.append((doc, start, ids))
+                width -= len(ids)
+            out += self._closed(parts)
+        self.offset = 0
         return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, hilbert_key.
 
-    Null and empty texts give the closing id alone; rows repeated with one id are separate documents, each packed. Every
-    id lies in one piece, offsets in a sequence are gapless from 0, no sequence is longer than WIDTH. Other columns are
-    ignored; an empty df gives no rows. Sequences never cross partitions, so tasks can be repeated on their own.
+    Null and empty texts give the closing id alone; rows repeated with one id, and rows without one, are separate
+    documents, each packed; equal keys go by id, then by place. Every id lies in one piece, offsets in a sequence are
+    gapless from 0, no sequence is longer than WIDTH. Other columns are ignored; an empty docs gives no rows. A very
+    long text is one row of ids. Sequences never cross partitions, so tasks can be repeated on their own.
     """
-    cut = materialize(pieces(docs, tokenizer_path, id_col, text_col), "pieces")
-    ranged = cut.repartitionByRange("kind", "key", "id", "start").sortWithinPartitions("kind", "key", "id", "start", "ids_crc32")
+    documents = materialize(tokenised(docs, tokenizer_path, id_col, text_col), "tokenised")
+    ranged = documents.repartitionByRange("key", "id", "serial").sortWithinPartitions("key", "id", "serial")
     id_type = dict(docs.dtypes)[id_col]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filler, first, held = Filler(), TaskContext.get().partitionId() << 36, None
+        stream = Stream(TaskContext.get().partitionId() << 36)
+        kind = None
 
-        def placed_of(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
-            where = np.array(filler.place(table["kind"].to_numpy(), table["length"].to_numpy(), last), np.int64).reshape(-1, 2)
-            out = table.slice(0, len(where)).append_column("sequence_id", pa.array(where[:, 0] + first)).append_column("offset", pa.array(where[:, 1])).drop_columns(["kind"])
-            return out, table.slice(len(where))
+        def told(pieces: list[tuple]) -> pa.RecordBatch:
+            doc, start, length, crc, sequence, offset = zip(*pieces, strict=True)
+            key, ids, total = zip(*doc, strict=True)
+            columns = [key, pa.array(ids, kind), start, length, crc, total, sequence, offset]
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
 
+        names = ["key", "id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for b in batches:
-            now = pa.Table.from_batches([b])
-            out, held = placed_of(now if held is None else pa.concat_tables([held, now]).combine_chunks(), False)
-            yield from out.combine_chunks().to_batches()
-        if held is not None:
-            yield from placed_of(held, True)[0].combine_chunks().to_batches()
-
-    placed = ranged.mapInArrow(tidy(place), f"key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            kind, out = b.schema.field("id").type, []
+            for key, own, total, packed in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), b.column("doc_tokens").to_pylist(), b.column("ids"), strict=True):
+                raw = packed.as_buffer()
+                out += stream.add((key, own, total), np.frombuffer(raw, "<u2" if len(raw) == 2 * total else "<u4").astype("<u4"))
+            if out:
+                yield told(out)
+        if stream.offset:
+            yield told(stream.finish())
+
+    placed = ranged.select("key", "id", "doc_tokens", "ids").mapInArrow(tidy(place), f"key long, id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("key").alias("hilbert_key"))

@@ -1,9 +1,13 @@
+import json
 import re
 from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from faultloom.llm import mixing, packing
 from faultloom.llm.queries import tokenizer_file
@@ -95,16 +99,48 @@ def test_pack(spark, docs, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file())
-    share = checked(packing.pack(docs, tokenizer_file()).collect(), {i: t for i, t, *_ in corpus}, tokenizer)
-    assert share < 0.12  # few tokens: the last sequence of the tails weighs
+    rows = packing.pack(docs, tokenizer_file()).collect()
+    assert checked(rows, {i: t for i, t, *_ in corpus}, tokenizer) == 0
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.hilbert_key, r.doc_id))
+    ends = sorted((min(x), max(x)) for x in by.values())
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))  # sequences are stretches of the curve, in order
+    borders = len(by) - 1
+    assert len(rows) <= len(corpus) + borders
 
 
-def test_tokenizer_gives_the_librarys_ids():
+@pytest.fixture(scope="module")
+def encoders():
     from tokenizers import Tokenizer
 
-    slow, fast = Tokenizer.from_file(tokenizer_file()), packing.Tokenizer(tokenizer_file())
-    for text in ("", " ", "a<|endoftext|>b", "don't  stop\n\n", "ß​ü 12,5 ½\x00", "  x  \t y", "日本 語", "A" * 3000, " " * 500):
-        assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+    slow = Tokenizer.from_file(tokenizer_file())
+    return packing.Tokenizer(tokenizer_file()), lambda text: slow.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_gives_the_librarys_ids(encoders, sf_dir):
+    fast, slow = encoders
+    assert fast.same
+    table = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text in ("", " ", "a<|endoftext|>b", "don't  stop\n\n", "ß​ü 12,5 ½\x00", "  x  \t y", "日本 語", "A" * 3000, " " * 500, *(t for t in table if t)):
+        assert fast(text).tolist() == slow(text)
+
+
+@given(text=st.text(max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_tokenizer_gives_the_librarys_ids_of_any_text(encoders, text):
+    fast, slow = encoders
+    assert fast(text).tolist() == slow(text)
+
+
+def test_another_kind_of_file_goes_to_the_library(tmp_path):
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    lower = packing.Tokenizer(str(path))
+    assert not lower.same and lower("ABC dEf").tolist() == packing.Tokenizer(tokenizer_file())("abc def").tolist()
 
 
 def test_pack_odd_rows(odd, none):
@@ -123,14 +159,27 @@ def test_hilbert_steps_to_neighbours():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
-def test_cuts_and_fill():
-    for n in range(1, 3000, 7):
-        assert sum(x for _, x in packing.cuts(n)) == n
-    kinds = np.array([63, 63, 63, 256, 256, 256, 512, 512, 512, 1024])
-    lengths = np.array([60, 1000, 10, 256, 256, 256, 512, 512, 512, 1024])
-    want = [(0, 0), (1, 0), (1, 1000), (2, 0), (2, 256), (3, 0), (4, 0), (4, 512), (5, 0), (6, 0)]
-    assert packing.Filler().place(kinds, lengths, True) == want
-    for cut in range(len(kinds) + 1):  # any split of the input gives the same places
-        f = packing.Filler()
-        done = f.place(kinds[:cut], lengths[:cut], False)
-        assert done + f.place(kinds[len(done) :], lengths[len(done) :], True) == want
+def test_stream_cuts_at_every_width_and_ends_in_powers_of_two():
+    rng = np.random.default_rng(1)
+    for sizes in ([1], [1024], [3000], [5, 5, 5], [1023, 1, 1], rng.integers(1, 900, 40).tolist()):
+        stream, out, docs = packing.Stream(7), [], [rng.integers(0, 50_000, n).astype("<u4") for n in sizes]
+        for k, ids in enumerate(docs):
+            out += stream.add(k, ids)
+        out += stream.finish()
+        whole = np.concatenate(docs)
+        at, lengths = 0, defaultdict(int)
+        for doc, start, length, crc, sequence, offset in out:
+            ids = docs[doc][start : start + length]
+            assert (ids == whole[at : at + length]).all() and crc == crc32(ids.tobytes()) and offset == lengths[sequence]
+            at += length
+            lengths[sequence] += length
+        assert at == len(whole) and min(lengths) == 7
+        widths = list(lengths.values())
+        assert all(w == 1024 for w in widths[: at // 1024]) and sorted(widths[at // 1024 :]) == [1 << b for b in range(10) if at % 1024 >> b & 1]
+
+
+def test_pack_a_very_long_text(spark):
+    text = "".join(f"word{k} " for k in range(60_000))
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), tokenizer_file()).collect()
+    total = next(r.doc_tokens for r in rows if r.doc_id == 1)
+    assert sum(r.length for r in rows if r.doc_id == 1) == total > 100_000
