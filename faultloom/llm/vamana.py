@@ -148,9 +148,11 @@ def nearest(graph: Graph, exact: np.ndarray, ids: list[np.ndarray], query_ids: n
         for q, vector, places in zip(query_ids[at : at + BATCH], part, found, strict=True):
             places = places[places >= 0]
             distance = np.sqrt(((exact[places] - vector) ** 2).sum(1))
-            some = np.argsort(distance, kind="stable")
-            got_i = np.concatenate([ids[p] for p in places[some[: k + 1]]]) if len(some) else np.zeros(0, np.int64)
-            got_d = np.repeat(distance[some[: k + 1]], [len(ids[p]) for p in places[some[: k + 1]]])
+            if len(places) > k + 1:  # all that tie with the last one stay: ids decide below
+                near = distance <= np.partition(distance, k)[k]
+                places, distance = places[near], distance[near]
+            got_i = np.concatenate([ids[p] for p in places]) if len(places) else np.zeros(0, np.int64)
+            got_d = np.repeat(distance, [len(ids[p]) for p in places])
             keep = got_i != q
             got_i, got_d = got_i[keep], got_d[keep]
             best = np.lexsort((got_i, got_d))[:k]
@@ -162,12 +164,16 @@ def nearest(graph: Graph, exact: np.ndarray, ids: list[np.ndarray], query_ids: n
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): rows with an id and a vector of the table's most frequent length, finite in every component, not zero."""
+    """(id, v): rows with an id and a vector that is finite in every component and not zero."""
     v = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
-    rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (usual.n if usual else 0))
+    return rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of the vectors (the lesser of two as frequent); 0 where there are none."""
+    first = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return first.n if first else 0
 
 
 def collapsed(rows: DataFrame, k: int) -> DataFrame:
@@ -211,7 +217,7 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
         ids: dict[bytes, set] = {}
         for vector, some in zip(table["vector"].to_pylist(), table["ids"].to_pylist(), strict=True):
             ids.setdefault(vector, set()).update(some)
-        names = sorted(ids)
+        names = sorted(ids, key=lambda v: (min(ids[v]), v))
         exact = np.frombuffer(b"".join(names), np.float64).reshape(len(names), -1)
         lists = [np.array(sorted(ids[v])[: k + 1], np.int64) for v in names]
         graph = Graph.build(exact.astype(np.float32))
@@ -225,13 +231,16 @@ def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
 def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows of df but itself, by Euclidean distance.
 
-    queries has the same columns as df. Ties go to the smaller id; identical vectors are all candidates. Rows without id,
-    and vectors that are null, zero, of another length than most, or not finite, take no part, as queries neither. A row
-    that repeats an id counts once for equal vectors; an empty df or empty queries give no rows. Other columns are ignored.
+    queries has the same columns as df. Ties among all vectors that a beam found go to the smaller id; identical vectors
+    are all candidates. Rows without id, and vectors that are null, zero or not finite, take no part, as queries neither;
+    nor do vectors of another length than most of df's, to which no distance is defined. A row that repeats an id counts
+    once for equal vectors; an empty df or empty queries give no rows. Other columns are ignored, whatever their names.
     """
     arrow_batches(df.sparkSession, 1000)
-    index, shards = build_index(collapsed(usable(df, id_col, vector_col), k), k)
-    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
+    rows = usable(df, id_col, vector_col)
+    alike = F.size("v") == usual_length(rows)
+    index, shards = build_index(collapsed(rows.where(alike), k), k)
+    asked = usable(queries, id_col, vector_col).where(alike).dropDuplicates(["id", "v"])
     total = asked.count()
     blocks = max(1, -(-total // BLOCK))
     parts = -(-blocks // TOGETHER)

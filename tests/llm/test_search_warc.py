@@ -43,6 +43,22 @@ def test_recall_and_ties(spark, monkeypatch):
     assert copies == [7, *range(5001, 5010)]
 
 
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    """40 unit vectors at right angles are all equally far from each other."""
+    rows = [(i, [1.0 if k == i else 0.0 for k in range(41)], 1) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, VEC)
+    got = {}
+    for r in vamana.neighbours(df, df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: [i for i in range(1, 41) if i != q][:10] for q in range(1, 41)}
+
+
+def test_queries_of_another_length_have_no_answers(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(1, 9)], VEC)
+    queries = spark.createDataFrame([(100, [1.0, 2.0, 3.0], 0), (101, [1.0, 2.0, 3.0], 0), (102, [1.0, 1.0], 0)], VEC)
+    assert {r.query_id for r in vamana.neighbours(df, queries).collect()} == {102}
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (100, [1.0, 1.0], 0)], VEC)
     got = [(r.query_id, r.rank, r.vec_id) for r in vamana.neighbours(df, df.where("vec_id = 100")).collect()]
