@@ -1,10 +1,12 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, confirmed by comparison with templates.
 
-Every line of a text is a paragraph. Its words (letters, digits and bytes beyond ASCII, lower-cased) make 1- to 3-grams,
-hashed to DIMS slots. A softmax regression over the licence families and an unknown class, with small weights cut to zero,
-gives each paragraph a probability; it is calibrated by a temperature on held-out training rows. A paragraph whose most
-likely family reaches CERTAIN is confirmed if it shares LIKE or more of its word pairs with a template of that
-family (containment of the smaller in the larger). Everything else is unknown.
+A paragraph is a stretch of lines without a blank one, and each of its lines is looked at as a notice of its own too. Words
+(letters, digits and bytes beyond ASCII, lower-cased) make 1- to 3-grams, hashed to DIMS slots. A softmax regression over
+the licence families and an unknown class, with small weights cut to zero, gives each line and paragraph a probability.
+It is calibrated by a temperature on noisy copies of templates that the calibrated model hasn't seen; the model that is used
+is then fitted on all templates. What reaches CERTAIN is confirmed if it shares LIKE or more of its word pairs with a
+template of that family (containment of the smaller in the larger). Everything else is unknown. A paragraph is one find
+where it matches more of a template than any of its lines: a notice that is wrapped over lines counts once.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, tidy
 from .shingles import Powers, located, scramble
 
-DIMS, CERTAIN, LIKE, LEAST_PAIRS = 1 << 16, 0.8, 0.6, 2
+DIMS, CERTAIN, LIKE, LEAST_PAIRS = 1 << 16, 0.5, 0.6, 2
 COPIES, EPOCHS, RATE, CUT, SEED = 24, 30, 0.3, 0.02, 17
+
+#: One of HELD templates of a family is kept for calibration; a line where a family reaches HINT has its paragraph tried.
+HELD, HINT = 3, 0.05
 UNKNOWN = "unknown"
 
 #: Notices by family, one a line.
@@ -96,11 +101,16 @@ for _part in (range(48, 58), range(65, 91), range(97, 123), range(128, 256)):
 _ONE, _TWO = scramble(np.arange(2, dtype=np.uint64), 4242) | np.uint64(1)
 
 
-def paragraph_words(text: bytes | None, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a text, and the line (from 0) of each."""
+def paragraph_words(text: bytes | None, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a text, the line (from 0) of each, and its paragraph: the first line of it that has words.
+
+    Lines end at a line feed; a line without words ends a paragraph.
+    """
     found, starts = located(text, powers, _GAP)
     ends = np.flatnonzero(np.frombuffer(text or b"", np.uint8) == 10)
-    return found, np.searchsorted(ends, starts)
+    line = np.searchsorted(ends, starts)
+    first = np.r_[True, np.diff(line) > 1][: len(line)]
+    return found, line, line[np.maximum.accumulate(np.where(first, np.arange(len(line)), 0))]
 
 
 def grams(found: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,27 +134,50 @@ class Scanner:
         self.pairs: list[list[np.ndarray]] = [[] for _ in self.families]
         for family, text in rows:
             if family != UNKNOWN:
-                self.pairs[place[family]].append(np.unique(grams(*paragraph_words(text.encode(), powers))[2]))
+                self.pairs[place[family]].append(np.unique(grams(*paragraph_words(text.encode(), powers)[:2])[2]))
+        self.heat = 1.0
+        self._clear()
+        if rows:
+            held = self._unseen(rows)
+            if held:
+                kept = [r for r in rows if r not in held]
+                self._fit(self._copies(kept, rows, place), powers)
+                self.heat = self._temperature(self._copies(held, rows, place), powers)
+            self._fit(self._copies(rows, rows, place), powers)
+        self.active = np.abs(self.weights).max(1) > 0
+
+    def _clear(self) -> None:
+        self.weights, self.bias = np.zeros((DIMS, len(self.families))), np.zeros(len(self.families))
+
+    @staticmethod
+    def _unseen(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        """Every HELD-th template of a family, for calibration: those of families with fewer are always seen."""
+        by: dict[str, list[tuple[str, str]]] = {}
+        for row in rows:
+            by.setdefault(row[0], []).append(row)
+        return [r for some in by.values() for r in some[HELD - 1 :: HELD]]
+
+    @staticmethod
+    def _copies(rows: list[tuple[str, str]], every_row: list[tuple[str, str]], place: dict[str, int]) -> list[tuple[int, str]]:
+        """(class, text) of noisy copies of templates, and counter-examples made of their words."""
         rng = np.random.default_rng(SEED)
-        every = [w for _, t in rows for w in t.split()]
-        examples: list[tuple[int, str]] = []
+        every = [w for _, t in every_row for w in t.split()]
+        out: list[tuple[int, str]] = []
         for _ in range(COPIES):
             for family, text in rows:
                 words = text.split()
                 kept = [w for w in words if rng.random() > (0.08 if len(words) > 8 else 0.02)] or words
                 noise = lambda: [str(x) for x in rng.choice(every, rng.integers(0, 4))] if rng.random() < 0.3 else []
-                examples.append((place[family], " ".join([*noise(), *kept, *noise()])))
+                out.append((place[family], " ".join([*noise(), *kept, *noise()])))
                 if rng.random() < 0.5:
-                    examples.append((0, " ".join(str(x) for x in rng.permutation(words))) if len(words) > 6 else (0, " ".join(str(x) for x in rng.choice(every, 8))))
-        self.weights, self.bias, self.heat = np.zeros((DIMS, len(self.families))), np.zeros(len(self.families)), 1.0
-        if rows:
-            self._fit(examples, powers, rng)
-        self.active = np.abs(self.weights).max(1) > 0
+                    out.append((0, " ".join(str(x) for x in rng.permutation(words))) if len(words) > 6 else (0, " ".join(str(x) for x in rng.choice(every, 8))))
+        return out
 
-    def _fit(self, examples: list[tuple[int, str]], powers: Powers, rng: np.random.Generator) -> None:
-        encoded = [(k, grams(*paragraph_words(t.encode(), powers))[0]) for k, t in examples]
-        order = rng.permutation(len(encoded))
-        held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    def _fit(self, examples: list[tuple[int, str]], powers: Powers) -> None:
+        self._clear()
+        rng = np.random.default_rng(SEED)
+        encoded = [(k, grams(*paragraph_words(t.encode(), powers)[:2])[0]) for k, t in examples]
+        used = rng.permutation(len(encoded))
         total, first = np.full(self.weights.shape, 1e-6), np.full(self.bias.shape, 1e-6)
         for _ in range(EPOCHS):
             rng.shuffle(used)
@@ -163,40 +196,61 @@ class Scanner:
                 self.weights[rows] -= RATE * grad / np.sqrt(total[rows])
                 self.bias -= RATE * share.sum(0) / np.sqrt(first)
         self.weights[np.abs(self.weights) < CUT] = 0
-        margin = np.stack([self.weights[encoded[k][1]].sum(0) for k in held]) + self.bias
-        gold = np.array([encoded[k][0] for k in held])
+
+    def _temperature(self, examples: list[tuple[int, str]], powers: Powers) -> float:
+        """The temperature that makes examples which the weights haven't seen likeliest."""
+        margin = np.stack([self.weights[grams(*paragraph_words(t.encode(), powers)[:2])[0]].sum(0) for _, t in examples]) + self.bias
+        gold = np.array([k for k, _ in examples])
         loss = {heat: -np.log(self._share(margin / heat)[np.arange(len(gold)), gold] + 1e-12).mean() for heat in np.arange(0.5, 6.01, 0.25)}
-        self.heat = float(min(loss, key=loss.get))
+        return float(min(loss, key=loss.get))
 
     @staticmethod
     def _share(margin: np.ndarray) -> np.ndarray:
         e = np.exp(margin - margin.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def scan(self, text: bytes | None, powers: Powers) -> list[tuple[str, int, float, float]]:
-        """(family, line, probability, likeness) of each confirmed paragraph of a text."""
-        found, line = paragraph_words(text, powers)
-        if not len(found):
-            return []
-        slots, lines, two = grams(found, line)
+    def _finds(self, found: np.ndarray, part: np.ndarray, least: float) -> tuple[list[tuple[int, int, float, float, float]], np.ndarray]:
+        """(family, part, probability, likeness, pairs shared) of confirmed parts, and the parts where a family reaches least."""
+        slots, parts, two = grams(found, part)
         on = self.active[slots]
-        slots, lines = slots[on], lines[on]
-        if not len(slots):
-            return []
-        used, inverse = np.unique(lines, return_inverse=True)
+        slots, parts = slots[on], parts[on]
+        if not len(slots) or len(self.families) < 2:
+            return [], parts[:0]
+        used, inverse = np.unique(parts, return_inverse=True)
         margin = np.zeros((len(used), len(self.families)))
         np.add.at(margin, inverse, self.weights[slots])
         share = self._share((margin + self.bias) / self.heat)
-        best = share[:, 1:].argmax(1) + 1 if len(self.families) > 1 else np.zeros(len(used), np.int64)
-        out = []
-        for n in np.flatnonzero(share[np.arange(len(used)), best] >= CERTAIN):
-            if best[n] == 0:
-                continue
-            own = np.unique(two[(line[1:] == used[n]) & (two != 0)])
-            likeness = max((len(np.intersect1d(own, t, assume_unique=True)) / max(1, min(len(own), len(t))) for t in self.pairs[best[n]] if len(own) >= min(LEAST_PAIRS, len(t))), default=0.0)
+        best = share[:, 1:].argmax(1) + 1
+        top, out = share[np.arange(len(used)), best], []
+        for n in np.flatnonzero(top >= CERTAIN):
+            own = np.unique(two[(part[1:] == used[n]) & (two != 0)])
+            likeness = shared = 0.0
+            for t in self.pairs[best[n]]:
+                if len(own) >= min(LEAST_PAIRS, len(t)):
+                    both = len(np.intersect1d(own, t, assume_unique=True))
+                    likeness, shared = max((likeness, shared), (both / max(1, min(len(own), len(t))), both))
             if likeness >= LIKE:
-                out.append((self.families[best[n]], int(used[n]), float(share[n, best[n]]), likeness))
-        return out
+                out.append((int(best[n]), int(used[n]), float(top[n]), likeness, shared))
+        return out, used[top >= least]
+
+    def scan(self, text: bytes | None, powers: Powers) -> tuple[int, list[tuple[str, int, float, float]]]:
+        """Number of paragraphs, and (family, line, probability, likeness) of each confirmed line or paragraph (its first line)."""
+        found, line, paragraph = paragraph_words(text, powers)
+        if not len(found):
+            return 0, []
+        by_line, hints = self._finds(found, line, HINT)
+        owner = dict(zip(line.tolist(), paragraph.tolist(), strict=True))
+        inside = np.isin(paragraph, [owner[k] for k in hints.tolist()]) if len(hints) else np.zeros(0, bool)
+        wide = []
+        if inside.any():
+            lines = {p: len(np.unique(line[paragraph == p])) for p in np.unique(paragraph[inside]).tolist()}
+            inside &= np.isin(paragraph, [p for p, n in lines.items() if n > 1])
+            wide = self._finds(found[inside], paragraph[inside], 1.0)[0] if inside.any() else []
+        for family, place, probability, likeness, shared in wide:
+            own = [f for f in by_line if f[0] == family and owner[f[1]] == place]
+            if shared > max((f[4] for f in own), default=0):
+                by_line = [f for f in by_line if f not in own] + [(family, place, probability, likeness, shared)]
+        return int((np.diff(paragraph) > 0).sum()) + 1, [(self.families[f], n, p, s) for f, n, p, s, _ in sorted(by_line, key=lambda f: (f[1], f[0]))]
 
 
 def templates_table(spark: SparkSession) -> DataFrame:
@@ -212,9 +266,10 @@ def train(templates: DataFrame) -> Scanner:
 def find(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_paragraphs, n_licensed, families (sorted, comma-joined), found.
 
-    found lists family:line:probability:likeness of each confirmed paragraph, comma-joined, lines from 0. Null and empty
-    texts have no paragraph. Rows repeated with one id are each scanned. Other columns are ignored; an empty docs gives
-    no rows.
+    found lists family:line:probability:likeness of each confirmed line or paragraph (its first line), comma-joined,
+    lines from 0; of finds on one line the family's name decides. n_paragraphs counts the stretches of lines with words.
+    Null and empty texts have no paragraph. Rows repeated with one id, and rows without one, are each scanned. Other
+    columns are ignored; an empty docs gives no rows. A text of any length is scanned whole, as one array of words.
     """
     arrow_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
@@ -225,9 +280,9 @@ def find(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
         for b in batches:
             lines, found = [], []
             for raw in b.column("text"):
-                text = raw.as_py() or b""
-                lines.append(text.count(b"\n") + 1 if text else 0)
-                found.append(scanner.scan(text, powers))
+                paragraphs, finds = scanner.scan(raw.as_py(), powers)
+                lines.append(paragraphs)
+                found.append(finds)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(lines, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([",".join(sorted({f for f, *_ in x})) for x in found]), pa.array([",".join(f"{f}:{n}:{p:.3f}:{s:.3f}" for f, n, p, s in x) for x in found])],
                 names=["id", "n_paragraphs", "n_licensed", "families", "found"],

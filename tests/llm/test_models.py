@@ -198,4 +198,26 @@ def test_licenses(spark, docs, odd, none):
     assert got[1].found.startswith("MIT:1:") and got[6].n_paragraphs == 0
     assert sum(r.n_licensed for r in licenses.find(docs, scanner).collect()) == 0
     assert licenses.find(odd, scanner).count() == odd.count() and licenses.find(none, scanner).count() == 0
-    assert licenses.Scanner([]).scan(b"Released under the MIT License.", licenses.Powers()) == []
+    assert licenses.Scanner([]).scan(b"Released under the MIT License.", licenses.Powers()) == (1, [])
+    long = b"some prose of a text\n" * 50_000 + b"Released under the MIT License."
+    assert [f[:2] for f in scanner.scan(long, licenses.Powers())[1]] == [("MIT", 50_000)]
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in\ncompliance with the License.",
+}
+
+
+def test_wrapped_notices_are_one_find():
+    scanner = licenses.Scanner([tuple(x.split("|", 1)) for x in licenses.TEMPLATES.strip().split("\n")])
+    for family, notice in WRAPPED.items():
+        n, finds = scanner.scan(f"a first paragraph of plain prose\n\n{notice}\n\nand the last words".encode(), licenses.Powers())
+        assert n == 3 and [f[0] for f in finds] == [family] and finds[0][1] == 2
+
+
+def test_calibration_sees_no_template_of_the_fit():
+    rows = [tuple(x.split("|", 1)) for x in licenses.TEMPLATES.strip().split("\n")]
+    held = licenses.Scanner._unseen(rows)
+    assert len(held) > 8 and {f for f, _ in held} < {f for f, _ in rows}
