@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field for what is written around them.
 
 The patterns (base spans) find plain e-mail and IP addresses, card and phone numbers. The field reads the neighbourhood
-of every digit, @ and bracketed at/dot of a text as tokens (runs of letters, runs of digits, single marks) with
+of every digit, @, bracketed at/dot and word "dot" of a text as tokens (runs of letters, runs of digits, single marks) with
 features of their shapes and those of their neighbours, labels them B-kind, I-kind or O, and is decoded by Viterbi for
 many neighbourhoods at once; tokens elsewhere are O by rule. It is trained by gradient on a small table of marked
 lines. A decoded span is added if it overlaps no base span and stands a check of its digits.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH, DIMS = 48, 1 << 12
 COPIES, STEPS, RATE, DECAY, SEED = 12, 120, 0.15, 1e-4, 3
 
+#: Characters of a stretch that are decoded at once, those read beyond either end (spans are shorter), and tokens held.
+LONG, MARGIN, HELD = 16_384, 512, 50_000
+
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
-_SEEN = re.compile(rb"[0-9@]|[\[({<](?:at|dot)[\])}>]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[\[({<](?:at|dot)[\])}>]|\bdot\b", re.IGNORECASE)
+_SEEN = re.compile(rb"[0-9@]|[\[({<](?:at|dot)[\])}>]|\bdot\b", re.IGNORECASE)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]", re.UNICODE)
 
 #: The labelled table: lines with marked spans. Digits are drawn anew for every training copy.
@@ -44,6 +48,11 @@ mail <email>sales (at) shop.example.net</email> or come by
 reach me under <email>peter {at} site {dot} de</email> please
 my address is <email>info at example (dot) com</email>, thanks
 send it to <email>bob(at)example.com</email>.
+write to <email>jane at example dot org</email> today
+mail <email>m.keller at post dot example dot de</email> or call
+he put a dot at the end of line 4
+the dot on the map at noon
+a dot matrix printer at work and a dot product
 Kontakt: <email>maria.lopez [at] correo [dot] es</email>
 <email>a.b (AT) c.example (DOT) fr</email> is the address
 the meeting is at 10 (see room 4) and ends at 12
@@ -80,6 +89,7 @@ fax <phone>243.555.5526</phone> works too
 my number: <phone>1 (132) 555-1352</phone>, call me
 Telefon <phone>(0)30 555-9246</phone> im Amt
 mobile <phone>0171 / 555 2028</phone> any time
+tel <phone>01 42 68 53 00</phone> le matin
 text <phone>[377] 555-0271</phone> tonight
 on 2024-01-17 at 10:30 we met
 from 12-05-1999 until 31.12.2003
@@ -148,7 +158,8 @@ def stands(text: str, kind: int) -> bool:
         return len(numbers) == 4 and all(map(_small, numbers)) and bool(re.search(r"[\[({]", text) or " . " in text)
     if kind == 2:
         return 12 <= len(digits) <= 19 and all(len(n) >= 2 for n in numbers) and len(numbers) >= 3 and luhn(digits)
-    return 9 <= len(digits) <= 15 and 2 <= len(numbers) <= 5 and len(text) <= 24 and len(numbers[-1]) >= 3
+    twos = len(numbers) == 5 and all(len(n) == 2 for n in numbers) and numbers[0][0] == "0"
+    return 9 <= len(digits) <= 15 and 2 <= len(numbers) <= 5 and len(text) <= 24 and (len(numbers[-1]) >= 3 or twos)
 
 
 def neighbourhoods(text: str) -> list[tuple[int, int]]:
@@ -175,6 +186,12 @@ def neighbourhoods(text: str) -> list[tuple[int, int]]:
     return merged
 
 
+def windows(start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last) of what is read and (from, to) of where spans may begin, for pieces of LONG characters of a stretch."""
+    for at in range(start, end, LONG):
+        yield max(start, at - MARGIN), min(end, at + LONG + MARGIN), at, min(end, at + LONG)
+
+
 _CUES = frozenset("at dot com org net de fr es phone tel telefon call fax mobile card ip host server mail email e contact kontakt number".split())
 
 
@@ -241,6 +258,8 @@ class Field:
         for k, x in enumerate(labels):
             gold[k, : len(x)] = x
         n, rows, lengths = len(LABELS), np.arange(len(stretches)), mask.sum(1)
+        flat, gold_pairs = slots[mask].ravel(), np.zeros((n, n))
+        np.add.at(gold_pairs, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
         total_emit, total_move = np.full(self.emit.shape, 1e-8), np.full(self.move.shape, 1e-8)
         for _ in range(STEPS):
             score, move = self.emissions(slots), self.move + self.allowed
@@ -259,10 +278,8 @@ class Field:
                 beta[:, t] = np.where(on[:, None], _logsum(ahead, 2), 0)
             share = np.exp(alpha + beta - norm[:, None, None]) * mask[..., None]
             share[rows[:, None], np.arange(mask.shape[1]), gold] -= mask
-            grad = np.zeros_like(self.emit)
-            np.add.at(grad, slots[mask], np.repeat(share[mask][:, None, :], FEATURES, 1))
-            for a, b, on in zip(gold[:, :-1].ravel(), gold[:, 1:].ravel(), mask[:, 1:].ravel(), strict=True):
-                pairs[a, b] -= on
+            pairs -= gold_pairs
+            grad = np.stack([np.bincount(flat, np.repeat(x, FEATURES), DIMS) for x in share[mask].T], 1)
             grad, pairs = grad / lengths.sum() * 10 + DECAY * self.emit, pairs / lengths.sum() * 10 + DECAY * self.move
             total_emit += grad * grad
             total_move += pairs * pairs
@@ -296,6 +313,19 @@ class Field:
         return out
 
 
+def decoded(tokens: list[tuple[int, int, str]], labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of the labelled runs of a stretch."""
+    at = 0
+    while at < len(labels):
+        end = at + 1
+        if labels[at]:
+            kind = int(labels[at] - 1) // 2
+            while end < len(labels) and labels[end] == 2 * kind + 2:
+                end += 1
+            yield tokens[at][0], tokens[end - 1][1], kind
+        at = end
+
+
 def pad(stretches: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, stretches), default=0)
     slots, mask = np.zeros((len(stretches), longest, FEATURES), np.int64), np.zeros((len(stretches), longest), bool)
@@ -316,9 +346,16 @@ def labelled_table(spark: SparkSession) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> Field:
-    """Fit on marked lines (a small table; null lines are skipped), COPIES times with other digits."""
+    """Fit on marked lines (a small table; null lines are skipped), COPIES times with other digits.
+
+    Fields are kept by their lines: a session trains on the same table once.
+    """
+    return _trained(tuple(sorted(r[0] for r in labelled.select("marked").where("marked is not null").collect())))
+
+
+@cache
+def _trained(lines: tuple[str, ...]) -> Field:
     rng = np.random.default_rng(SEED)
-    lines = sorted(r[0] for r in labelled.select("marked").where("marked is not null").collect())
     stretches, labels = [], []
     for _ in range(COPIES):
         for line in lines:
@@ -357,7 +394,8 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     Spans are kind:start:end in code points, end exclusive, sorted by start and then by kind, comma-joined; base_sha256
     is of the base spans' string, spans has the added ones too. Null and empty texts have none. Rows repeated with one
-    id are each searched. Other columns are ignored; an empty docs gives no rows.
+    id, and rows without one, are each searched. Other columns are ignored, whatever their names; an empty docs gives no
+    rows. Patterns run over whole texts; the field decodes a stretch of more than LONG characters in pieces that overlap.
     """
     arrow_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
@@ -368,28 +406,28 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             base: list[list] = [[] for _ in range(len(batch))]
             added: list[list] = [[] for _ in range(len(batch))]
-            asked, stretches, texts = [], [], {}
+            asked: list[tuple] = []
+
+            def decode() -> None:
+                for (n, text, start, stop, tokens), labels in zip(asked, field.decode([features(x[4]) for x in asked]), strict=True):
+                    for a, b, kind in decoded(tokens, labels):
+                        if start <= a < stop and stands(text[a:b], kind) and not any(s < b and a < e for s, e, _ in base[n]):
+                            added[n].append((a, b, kind))
+                asked.clear()
+
+            held = 0
             for n, raw in enumerate(batch.column("text")):
                 if not raw.is_valid or not _SEEN.search(raw.as_buffer()):
                     continue
-                text = texts[n] = raw.as_py().decode("utf-8", "replace")
+                text = raw.as_py().decode("utf-8", "replace")
                 base[n] = base_spans(text)
-                for a, b in neighbourhoods(text):
-                    tokens = tokens_of(text, a, b)
-                    asked.append((n, tokens))
-                    stretches.append(features(tokens))
-            for (n, tokens), labels in zip(asked, field.decode(stretches), strict=True):
-                at = 0
-                while at < len(labels):
-                    end = at + 1
-                    if labels[at]:
-                        kind = (labels[at] - 1) // 2
-                        while end < len(labels) and labels[end] == 2 * kind + 2:
-                            end += 1
-                        start, stop = tokens[at][0], tokens[end - 1][1]
-                        if stands(texts[n][start:stop], kind) and not any(s < stop and start < e for s, e, _ in base[n]):
-                            added[n].append((start, stop, int(kind)))
-                    at = end
+                for first, last, start, stop in (w for a, b in neighbourhoods(text) for w in windows(a, b)):
+                    asked.append((n, text, start, stop, tokens_of(text, first, last)))
+                    held += len(asked[-1][4])
+                    if held >= HELD:
+                        decode()
+                        held = 0
+            decode()
             counts = [[sum(s[2] == k for s in spans) for spans in base] for k in range(len(KINDS))]
             every = [sorted(x + y, key=lambda s: (s[0], s[2], s[1])) for x, y in zip(base, added, strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -173,6 +173,57 @@ def test_field_adds_what_patterns_miss(spark):
     assert got[6].base_sha256 == hashlib.sha256(b"email:9:15").hexdigest() and got[8].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_base_spans_of_a_whole_table(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in pii.find(docs, pii.train(pii.labelled_table(spark))).collect():
+        want = brute_spans(texts[r.doc_id])
+        told = ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for _, k, _ in want) for n in range(4)]
+        assert set(told.split(",")) - {""} <= set(r.spans.split(",")) and len([x for x in r.spans.split(",") if x]) == len(want) + r.n_added
+
+
+UNSEEN = """
+please ask <email>tom.hill (at) uni (dot) edu</email> about it
+more from <email>lisa [at] haus [dot] de</email>
+see <email>office at school dot org</email> for the plan
+the router <ip>10(.)4(.)7(.)21</ip> fell silent
+scan of <ip>62[.]14[.]9[.]200</ip> began
+paid by <card>4929 3483/8514 6305</card> on monday
+dial <phone>(415) 555-0133</phone> for help
+our line is <phone>212.555.0172</phone> by day
+the phone <phone>303 555 0199</phone> was busy
+in 1984 there were 12 of 48 left at 10:30
+section 7.3.1 and figure 4 (b), see 2019-11-02
+lot 48213377 of 2016, page 12 (at the top)
+the dot in the middle of line 9 is at rest
+about 3 000 000 people in 12 towns
+"""
+
+
+def test_field_on_unseen_lines(spark, capsys):
+    field = pii.train(pii.labelled_table(spark))
+    lines = [pii.unmark(x) for x in UNSEEN.strip().split("\n")]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(lines)], "doc_id long, text string")
+    got = {(r.doc_id, x) for r in pii.find(docs, field).collect() for x in r.spans.split(",") if x}
+    want = {(k, f"{pii.KINDS[kind]}:{a}:{b}") for k, (_, spans) in enumerate(lines) for a, b, kind in spans}
+    precision, recall = len(got & want) / max(1, len(got)), len(got & want) / len(want)
+    with capsys.disabled():
+        print(f" added spans on unseen lines: precision {precision:.2f}, recall {recall:.2f}", want - got, got - want)
+    assert precision >= 0.85 and recall >= 0.7
+
+
+def test_a_long_column_of_numbers_is_decoded_in_pieces(spark):
+    field = pii.train(pii.labelled_table(spark))
+    text = "\n".join(f"{k % 97} {k % 89}" for k in range(40_000)) + "\ncall (212) 555-0187 now\n" + "5 7\n" * 4000
+    at = text.index("(212")
+    got = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first()
+    assert f"phone:{at}:{at + 14}" in got.spans.split(",")
+    pieces = list(pii.windows(10, 50_000))
+    assert [w[2] for w in pieces[1:]] == [w[3] for w in pieces[:-1]] and pieces[0][0] == 10 and pieces[-1][1] == 50_000
+
+
 def test_viterbi_is_the_best_path():
     field, rng = pii.Field(), np.random.default_rng(0)
     field.emit, field.move = rng.normal(size=field.emit.shape), rng.normal(size=field.move.shape)
