@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from faultloom.session import BROADCAST_ROWS, materialize, shared_path, sized
 
-__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "read_table", "release", "shared_path", "sized", "text_or_empty", "tidy", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WORD", "arrow_batches", "ascii_lower", "held_out", "materialize", "most_frequent", "per_worker", "plainly", "read_table", "release", "shared_path", "sized", "text_or_empty", "tidy", "without_ids"]
 
 T = TypeVar("T")
 
@@ -64,6 +64,15 @@ def per_worker(key: tuple, make: Callable[[], T]) -> T:
     return held[key]
 
 
+def plainly(df: DataFrame, f: Callable[..., DataFrame], **columns: str) -> DataFrame:
+    """f(df, ...) with df's columns renamed c0, c1 ... meanwhile, so that none has a name that f uses itself.
+
+    columns names f's arguments that are columns of df. f returns rows with df's columns, in their order.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return f(df.toDF(*names), **{k: names[df.columns.index(c)] for k, c in columns.items()}).toDF(*df.columns)
+
+
 def most_frequent(counts: DataFrame, key: str, count: str, most: int) -> tuple:
     """Keys (longs) and counts of the most frequent keys as arrays, at most most of them, most frequent first.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, text_or_empty, without_ids
+from .common import ascii_lower, materialize, plainly, text_or_empty, without_ids
 
 #: Counters of the summary, and how many of its heaviest digests are verified and broadcast (some 60 bytes each).
 TRACKED, CANDIDATES = 4096, 1024
@@ -67,8 +67,13 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of df that decide() keeps, with all their columns.
 
     The ids to drop are broadcast if they are few (BROADCAST_ROWS), else joined by a shuffle. Rows that share their id
-    with another row are settled by (id, digest), so a repeated row stays once.
+    with another row are settled by (id, digest), so a repeated row stays once. Null and empty texts are one group; an
+    empty df gives no rows. Columns may have any names.
     """
+    return plainly(df, _drop_copies, id_col=id_col, text_col=text_col)
+
+
+def _drop_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     said = materialize(decide(df, id_col, text_col).select(F.col(id_col).alias("__i"), "kept", F.unhex("text_sha256").alias("__d")), "decisions")
     by_id = said.groupBy("__i").agg(F.count("*").alias("__n"), F.max("kept").alias("__any"))
     out = without_ids(df, by_id.where("not __any or __n > 1").select("__i"), id_col)

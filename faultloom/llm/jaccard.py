@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_batches, materialize, most_frequent, sized, tidy, without_ids
+from .common import arrow_batches, materialize, most_frequent, plainly, sized, tidy, without_ids
 from .components import components
 from .prefixes import ORDERS, STORED, Chunk, Lists, Order, agree, common, differing, fingerprints, need, parity, prefix_size
 from .shingles import Powers, scramble, set_key, shingle_set
@@ -400,6 +400,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Where the least id itself is repeated, one of its rows stays (any: they are in one component). Columns are those of
     docs, whatever their names; an empty docs gives no rows.
     """
+    return plainly(docs, lambda df, id_col, text_col: _drop_near_copies(df, id_col, text_col, threshold), id_col=id_col, text_col=text_col)
+
+
+def _drop_near_copies(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> DataFrame:
     said = near_duplicates(docs, id_col, text_col, threshold).toDF("__i", "__n", "__class", "__component", "__links")
     said = materialize(said.select("__i", "__component"), "said")
     out = without_ids(docs, said.where("__i <> __component").select("__i").distinct(), id_col)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, sized, text_or_empty
+from .common import WORD, materialize, plainly, sized, text_or_empty
 
 BLOCK = 64
 SEED = 20241
@@ -135,8 +135,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """df with every row as often as mix() takes it, with all its columns.
 
-    Rows with the same id, source and size share their copies evenly, the first ones (by text) get the odd ones.
+    Rows with the same id, source and size share their copies evenly, the first ones (by text) get the odd ones. Null
+    texts have no words and are taken as mix() says; an empty df gives no rows. Columns may have any names.
     """
+    return plainly(df, _apply_mix, id_col=id_col, text_col=text_col, source_col=source_col)
+
+
+def _apply_mix(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     said = mix(df, id_col, text_col, source_col).select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
     keyed = materialize(said.groupBy("__id").agg(F.count("*").alias("__n"), F.sum("copies").alias("__c")), "copies")
     single = sized(keyed.where("__n = 1 and __c > 0").select("__id", "__c"))

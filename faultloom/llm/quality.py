@@ -145,8 +145,10 @@ def _projected(df: DataFrame, id_col: str, text_col: str, meta_col: str) -> list
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_col: str = "n_chars", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most rows labelled documents that are not held out (crc32 of the id modulo 4 is 2).
 
-    Rows without an id or a label are left out; of several labels of an id the largest counts. Without any labelled
-    document, or with one class only, the scores are near that class's share (0.5 without any).
+    Rows without an id or a label are left out; of several labels of an id the largest counts, of several texts of an id
+    that with the least hash: at most rows rows go to the driver, however often an id is repeated. Null texts count as
+    empty. Without any labelled document (an empty table too), or with one class only, the scores are near that class's
+    share (0.5 without any). Other columns are ignored, whatever their names.
     """
     picked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col, 4, 2))
@@ -155,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(rows)
     )
-    source = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), *_projected(docs, id_col, text_col, meta_col))
+    text, meta = _projected(docs, id_col, text_col, meta_col)
+    texts = docs.select(F.col(id_col).alias("__id"), text, meta).join(F.broadcast(picked), "__id")
+    one = texts.groupBy("__id", "__label").agg(F.min_by(F.struct("text", "meta"), F.xxhash64("text", "meta")).alias("one"))
+    source = one.select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), "one.text", "one.meta")
     schema = "id long, label int, slots binary, weights binary, stats array<double>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     table = source.mapInArrow(tidy(encode), schema).toArrow()
-    got = table.sort_by([("id", "ascending"), ("label", "ascending"), ("slots", "ascending")]).slice(0, 2 * rows).combine_chunks()
+    got = table.sort_by([("id", "ascending"), ("label", "ascending"), ("slots", "ascending")]).combine_chunks()
     stats = got["stats"].combine_chunks().flatten().to_numpy().reshape(-1, STATS)
     model = Model(np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(got) else np.zeros((STATS, BINS - 1)))
     encoded = [model.inputs(np.frombuffer(i.as_buffer(), "<u2").astype(np.int64), np.frombuffer(x.as_buffer(), "<f4").astype(np.float64), s) for i, x, s in zip(got["slots"], got["weights"], stats, strict=True)]
@@ -179,14 +184,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars", threshold: float = 0.7) -> DataFrame:
-    """All columns of docs and score (0 to 1) and predicted (1 if score >= threshold).
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars", threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs, then the score (0 to 1) and whether it reaches the threshold (1 or 0), under the given names.
 
     Whole texts are read. A null text scores as an empty one; a null or missing metadata column has a bin of its own.
-    Repeated rows get equal scores. docs should not have columns named score or predicted; such are replaced.
+    Repeated rows get equal scores; an empty docs gives no rows. A column of docs that has one of the names is an error:
+    give others.
     """
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs has a column {sorted(set(names) & set(docs.columns))}: give other names")
     arrow_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = docs.columns
     source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *_projected(docs, id_col, text_col, meta_col))
     types = dict(docs.dtypes)
     schema = ", ".join([f"k{i} {types[c]}" for i, c in enumerate(kept)] + ["score double"])
@@ -202,4 +210,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*(b.column(f"k{i}") for i in range(len(kept))), pa.array(scores)], names=[*(f"k{i}" for i in range(len(kept))), "score"])
 
     out = source.mapInArrow(tidy(apply), schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    told = F.col("score").alias(names[0]), (F.col("score") >= threshold).cast("int").alias(names[1])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *told)
+
+
+def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", meta_col: str = "n_chars", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with their columns unchanged, whatever the names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    args = [names[docs.columns.index(c)] if c in docs.columns else c for c in (id_col, text_col, meta_col)]
+    return score(docs.toDF(*names), model, *args, threshold).where("predicted = 1").select(*names).toDF(*docs.columns)

@@ -37,7 +37,7 @@ def docs(spark, corpus):
 def odd(spark):
     """Null ids, repeated rows, and extra columns whose names are those that operators use themselves."""
     rows = [(None, "some text of a few words here", 1, 2.0, "x"), (5, "some text of a few words here", 1, 2.0, "x"), (5, "some text of a few words here", 1, 2.0, "x"), (5, "another text under the same id", 1, None, None), (None, None, None, None, None), (7, "", 1, 1.0, "y"), (7, "", 1, 1.0, "y")]
-    return spark.createDataFrame(rows, "doc_id long, text string, id long, score double, source string").selectExpr("*", "id as key", "id as kept", "id as n", "id as node", "source as lang", "cast(null as long) as n_chars")
+    return spark.createDataFrame(rows, "doc_id long, text string, id long, score double, source string").selectExpr("*", *[f"id as {c}" for c in "key kept n node least predicted component own size copies __id __i __gone __digest __x __words c0 k0 meta label".split()], "source as lang", "cast(null as long) as n_chars")
 
 
 @pytest.fixture(scope="session")

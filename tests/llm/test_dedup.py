@@ -6,24 +6,13 @@ import pytest
 from faultloom.llm import exact_dedup, jaccard, prefixes
 from faultloom.llm.shingles import Powers, hashes, shingle_set
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def tokens(text):
-    out = [""]
-    for c in (text or "").translate(LOWER):
-        if c in BLANKS:
-            out.append("")
-        else:
-            out[-1] += c
-    return [w for w in out if w]
+from .brute import components, lower, shingle_sets
 
 
 def test_exact_groups_match_brute_force(docs, corpus):
     groups = defaultdict(list)
     for i, t, *_ in corpus:
-        groups[(t or "").translate(LOWER)].append(i)
+        groups[lower(t or "")].append(i)
     want = {(i, max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
     assert {tuple(r) for r in exact_dedup.decide(docs).collect()} == want
     assert {r.doc_id for r in exact_dedup.drop_copies(docs).collect()} == {max(g) for g in groups.values()}
@@ -49,32 +38,6 @@ def test_heavy_hitters_cover_a_hot_group(spark):
     assert hot.count() <= exact_dedup.CANDIDATES
 
 
-def brute_components(corpus):
-    sets = brute_sets(corpus)
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {(i, len(sets[i]), find(i)) for i in ids}
-
-
-def brute_sets(rows):
-    out = {}
-    for i, t, *_ in rows:
-        w = tokens(t)
-        out[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
-    return out
-
-
 @pytest.mark.parametrize(("rounds", "hot", "bucket"), [(3, 500_000, 400_000), (1, 2, 1000)])
 def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, rounds, hot, bucket):
     """Also with few hubs, hot shingles dealt over blocks, and many buckets."""
@@ -83,7 +46,7 @@ def test_near_duplicates_match_brute_force(docs, corpus, monkeypatch, rounds, ho
     monkeypatch.setattr(jaccard, "RARE", 2)
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
     got = jaccard.near_duplicates(docs)
-    want = brute_components(corpus)
+    want = components(corpus)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want
     kept = {r.doc_id for r in jaccard.drop_near_copies(docs).collect()}
     assert kept == {c for _, _, c in want}
@@ -93,7 +56,7 @@ def test_classes_with_one_name_are_told_apart(docs, corpus, monkeypatch):
     real = jaccard.halves
     monkeypatch.setattr(jaccard, "halves", lambda key: (real(key)[0] % 2, real(key)[1]) if key[0] % 16 == 0 else real(key))
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
-    assert got == brute_components(corpus)
+    assert got == components(corpus)
 
 
 def test_a_list_of_many_unlinked_classes(spark):
@@ -132,7 +95,7 @@ def test_every_link_is_counted(spark, docs, corpus, monkeypatch, block, cells):
     base = [f"w{k}" for k in range(60)]
     many = [(1000 + i, " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(40)}" for w in base)) for i in range(40)]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string"))
-    sets = brute_sets([(i, t) for i, t, *_ in corpus] + many)
+    sets = shingle_sets([(i, t) for i, t, *_ in corpus] + many)
     classes = {s for s in sets.values() if s}
     want = {i: sum(s != o and 4 * len(s & o) >= 3 * len(s | o) for o in classes) if s else 0 for i, s in sets.items()}
     got = jaccard.near_duplicates(both, all_links=True)
@@ -198,14 +161,14 @@ def test_further_orders_refuse_pairs_that_share_little():
 def test_components_match_union_find(spark):
     import random
 
-    from faultloom.llm.components import components
+    from faultloom.llm import components as stars
     from faultloom.llm.shingles import unions
 
     rng = random.Random(2)
     for links in ([(k, k + 1) for k in range(300)], [(0, k) for k in range(1, 400)], [(rng.randrange(500), rng.randrange(500)) for _ in range(300)], []):
         rng.shuffle(links)
         df = spark.createDataFrame(links, "a long, b long").repartition(7)
-        got = {r.node: r.component for r in components(df).collect()}
+        got = {r.node: r.component for r in stars.components(df).collect()}
         want = {x: r for x, r in unions(links).items()}
         joined = {x for a, b in links if a != b for x in (a, b)}
         assert got == {x: want[x] for x in joined}

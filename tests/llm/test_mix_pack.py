@@ -12,21 +12,7 @@ from hypothesis import strategies as st
 from faultloom.llm import mixing, packing
 from faultloom.llm.queries import tokenizer_file
 
-
-def brute_targets(sizes):
-    """Reshare the excess until no source is above three times its size."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: n % 3 + 1 for n, s in enumerate(order)}
-    left, full, out = sum(sizes.values()), set(), {}
-    while True:
-        rest = [s for s in order if s not in full]
-        share = {s: (left - sum(out[f] for f in full)) * weight[s] / sum(weight[x] for x in rest) for s in rest}
-        over = [s for s in rest if share[s] > 3 * sizes[s]]
-        if not over:
-            return out | share
-        for s in over:
-            full.add(s)
-            out[s] = 3.0 * sizes[s]
+from .brute import checked, targets
 
 
 def test_mix(docs, corpus):
@@ -34,7 +20,7 @@ def test_mix(docs, corpus):
     per = defaultdict(int)
     for i, _, _, s, _ in corpus:
         per[s] += size[i]
-    want = brute_targets(per)
+    want = targets(per)
     got = mixing.mix(docs).collect()
     assert {r.doc_id: r["size"] for r in got} == size
     taken, largest = defaultdict(int), defaultdict(int)
@@ -70,31 +56,6 @@ def test_mix_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0 and mixing.apply_mix(none).count() == 0
 
 
-def checked(rows, texts, tokenizer):
-    """Every id of every document in one piece; sequences gapless; returns padding share."""
-    pieces, sequences = defaultdict(list), defaultdict(list)
-    for r in rows:
-        pieces[r.doc_id].append(r)
-        sequences[r.sequence_id].append((r.offset, r.length))
-    for i, t in texts.items():
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        at = 0
-        for r in sorted(pieces[i], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == crc32(ids[at : at + r.length].tobytes())
-            at += r.length
-        assert at == len(ids)
-    total = padded = 0
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert 0 < at <= 1024
-        total += at
-        padded += 0 if at & (at - 1) == 0 else 1024 - at
-    return padded / (total + padded)
-
-
 def test_pack(spark, docs, corpus):
     from tokenizers import Tokenizer
 

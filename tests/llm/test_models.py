@@ -43,8 +43,21 @@ def test_quality_odd_rows(spark, docs, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (1, 1)], "doc_id long, quality int")
     model = quality.train(docs, labels)
     for df in (docs, odd, none):
-        got = quality.score(df, model)
-        assert got.count() == df.count() and all(0 <= r.score <= 1 for r in got.collect())
+        got = quality.score(df, model, names=("a_score", "a_predicted"))
+        assert got.columns[:-2] == df.columns and got.count() == df.count() and all(0 <= r.a_score <= 1 for r in got.collect())
+    with pytest.raises(ValueError, match="predicted"):
+        quality.score(odd, model)
+
+
+def test_a_repeated_labelled_id_counts_once(spark, docs):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    many = docs.where("doc_id = 1").crossJoin(spark.range(500)).select(docs.columns)
+    one, other = (quality.train(x, labels) for x in (docs, docs.unionByName(many)))
+    assert (one.w == other.w).all() and (one.v == other.v).all()
+
+
+def test_no_labels(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     empty = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs.limit(3), empty).collect()} and quality.train(none, labels) is not None
 
