@@ -16,23 +16,27 @@ from faultloom.llm.queries import tokenizer_file
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality model accepts. Null texts are scored as empty, repeated rows alike; of an empty table nothing is kept."""
+    return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (A-Z lower-cased; null is empty): the largest id, one row where that is repeated."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the least id. Empty and null texts, and rows without id, all stay."""
     return jaccard.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 3 times); a null source is one of its own, null texts have no words."""
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences; a repeated document is packed as often, a null text is its closing id alone."""
     return packing.pack(docs, tokenizer_file())
 
 
@@ -44,7 +48,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores and random rounding are beyond SQL; tests/llm compares the stages with brute force instead.
+#: Learned scores, random rounding and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force instead.
 ORACLE_SQL = None
 
 
