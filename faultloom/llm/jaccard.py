@@ -5,12 +5,14 @@ prefix shingles under every one of several global orders; only candidates have t
 
 1. Every text is shingled: size, 128-bit key, least shingles under HUBS orders, fingerprints of the prefixes under the
    further orders, and counts of the shingles that a task sees twice. Equal sets are one class and take part once.
-2. Hubs: all classes with the same least shingle are paired with one of them, round by round with another one. That
-   joins most classes of large groups of near copies into components by as many pairs as there are classes.
+2. Hubs: all classes with the same least shingle are paired with one of them. That joins most classes of large groups
+   of near copies into components by as many pairs as there are classes.
 3. Index: each class lists its prefix under the first order, in which frequent shingles come last, with its component.
    Lists that lie in one component propose nothing; others propose the pairs of different components whose sizes and
    ranks allow the threshold. A pair has its first common shingle in one list only.
-4. Proposed pairs must share prefix shingles under the further orders too, and are then intersected exactly.
+4. Proposed pairs must share prefix shingles under the further orders too: each bucket's pairs meet the fingerprints of
+   their classes there, one row a class. Each component's likeliest pair with another one is intersected, ROUNDS times,
+   and then all pairs that are still between components.
 
 No link between components is lost, and pairs within a component aren't counted out unless all links are asked for.
 """
@@ -27,14 +29,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_batches, materialize, most_frequent, plainly, sized, tidy, without_ids
 from .components import components
-from .prefixes import ORDERS, STORED, Chunk, Lists, Order, agree, common, differing, fingerprints, need, parity, prefix_size
+from .prefixes import ORDERS, STORED, Chunk, Lists, Order, agree, common, differing, fingerprints, need, parity, prefix_size, spare
 from .shingles import Powers, scramble, set_key, shingle_set
 
 #: Similarity threshold as a fraction.
 THRESHOLD = (3, 4)
 
-#: Seeds of the orders whose least shingles bring groups together, and rounds of pairs with one of each group.
-HUBS, ROUNDS = (11, 12, 13, 14), 3
+#: Seeds of the orders whose least shingles bring groups together.
+HUBS = (11, 12, 13, 14)
+
+#: Rounds of one pair for each component, before all pairs that are left between components.
+ROUNDS = 2
 
 #: At most FREQUENT shingles are known as frequent (12 bytes each, broadcast); those in fewer than RARE sets aren't.
 FREQUENT, RARE = 1 << 18, 16
@@ -109,14 +114,16 @@ def profile(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, i
     return materialize(_source(docs, id_col, text_col).mapInArrow(tidy(measure), schema), "profile")
 
 
-def renamed(rows: DataFrame) -> dict[tuple[int, int], int]:
+def renamed(rows: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
     """New names of classes whose first half-key another class has too: some n^2 / 2^65 of n classes."""
-    sizes = rows.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
-    clash = sizes.where("low <> high").select("node")
+    clash = classes.where("low <> high").select("node")
     out: dict[tuple[int, int], int] = {}
-    for node, check in rows.where("n > 0").join(F.broadcast(clash), "node", "left_semi").select("node", "check").distinct().toLocalIterator():
+    if clash.isEmpty():
+        return out
+    for node, check in rows.join(F.broadcast(clash), "node", "left_semi").select("node", "check").distinct().toLocalIterator():
         out[node, check] = int(scramble(np.array([check], np.int64).view(np.uint64), 23).view(np.int64)[0])
-    if out and not rows.join(F.broadcast(rows.sparkSession.createDataFrame([(v,) for v in out.values()], "node long")), "node", "left_semi").isEmpty():
+    new = rows.sparkSession.createDataFrame([(v,) for v in out.values()], "node long")
+    if len(set(out.values())) < len(out) or not classes.join(F.broadcast(new), "node", "left_semi").isEmpty():
         raise ValueError("a new name of a class is taken; change the seed of set_key")
     return out
 
@@ -152,14 +159,89 @@ def index(source: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray],
 
 
 def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (a < b) of classes of different components that the first order allows."""
+    """One row per bucket: its classes of proposed pairs (nodes, packed) and the pairs as places among them.
+
+    Pairs are of different components and distinct in a bucket; one that two buckets propose is intersected twice at most.
+    """
+
+    def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, pairs = Lists(table, threshold).proposed()
+        packed = {"nodes": nodes.tobytes(), "pairs": pairs.astype(np.uint32).tobytes()}
+        return pa.table({"bucket": [key[0].as_py()], **{k: pa.array([v], pa.binary()) for k, v in packed.items()}}).slice(0, int(len(pairs) > 0))
+
+    return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), "bucket long, nodes binary, pairs binary"), "proposals")
+
+
+def members(proposals: DataFrame) -> DataFrame:
+    """(bucket, node) of the classes in proposed pairs."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, nodes in zip(b.column("bucket").to_pylist(), b.column("nodes"), strict=True):
+                own = np.frombuffer(nodes.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket)), pa.array(own)], names=["bucket", "node"])
+
+    return materialize(proposals.select("bucket", "nodes").mapInArrow(explode, "bucket long, node long"), "members")
+
 
-    def of_bucket(table: pa.Table) -> pa.Table:
-        pairs = Lists(table, threshold).proposed()
-        return pa.table({"a": pa.array(pairs.min(1)), "b": pa.array(pairs.max(1))})
+def marks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, prefixes, parity) of some classes."""
+    some = rows.join(sized(nodes), "node", "left_semi")
+    return some.groupBy("node").agg(F.min("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("parity").alias("parity"))
 
-    group = lambda key, table: of_bucket(table)
-    return materialize(entries.groupBy("bucket").applyInArrow(tidy(group), "a long, b long").distinct(), "pairs")
+
+def filtered(proposals: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """One row per bucket: the proposed pairs whose parities allow the threshold and that agree under the further orders too.
+
+    As proposals, with the number of shingles more that a pair may differ in (slack).
+    """
+    inside = members(proposals)
+    known = inside.join(marks(rows, inside.select("node").distinct()), "node").select("bucket", "node", "n", "prefixes", "parity")
+
+    def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return left.append_column("slack", pa.array([], pa.binary()))
+        nodes = np.frombuffer(left["nodes"][0].as_buffer(), np.int64)
+        row = np.argsort(right["node"].to_numpy())
+        if not np.array_equal(right["node"].to_numpy()[row], nodes):
+            raise ValueError("a proposed class has no fingerprints")
+        sizes, seen = right["n"].to_numpy()[row], np.zeros(1 << 16, bool)
+        parities = [np.frombuffer(right["parity"][int(k)].as_buffer(), np.uint8) for k in row]
+        prefixes = [np.frombuffer(right["prefixes"][int(k)].as_buffer(), np.uint16) for k in row]
+        pairs = np.frombuffer(left["pairs"][0].as_buffer(), np.uint32).reshape(-1, 2).astype(np.int64)
+        slack = spare(sizes, parities, pairs, threshold)
+        own = sizes.tolist()
+        keep = [k for k in np.flatnonzero(slack >= 0).tolist() for a, b in (pairs[k].tolist(),) if agree(prefixes[a], prefixes[b], own[a], own[b], threshold, seen)]
+        used, places = np.unique(pairs[keep], return_inverse=True)
+        packed = {"nodes": nodes[used], "pairs": places.astype(np.uint32), "slack": slack[keep].astype(np.uint32)}
+        return pa.table({"bucket": left["bucket"], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()}}).slice(0, int(len(keep) > 0))
+
+    pairs = proposals.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), "bucket long, nodes binary, pairs binary, slack binary")
+    return materialize(pairs, "candidates")
+
+
+def between(near: DataFrame, inside: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    """Distinct pairs (a < b) of a table of filtered() that are in different components: all, or each component's likeliest in a bucket."""
+    known = inside.join(sized(labels), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+
+    def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
+        pairs, nodes = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        if len(left):
+            nodes = np.frombuffer(left["nodes"][0].as_buffer(), np.int64)
+            pairs, slack = (np.frombuffer(left[k][0].as_buffer(), np.uint32).astype(np.int64) for k in ("pairs", "slack"))
+            component = right["component"].to_numpy()[np.argsort(right["node"].to_numpy())]
+            pairs = pairs.reshape(-1, 2)
+            open_ = component[pairs[:, 0]] != component[pairs[:, 1]]
+            pairs, slack = pairs[open_], slack[open_]
+            if best:
+                side = component[pairs.T.reshape(-1)]
+                order = np.lexsort((np.tile(-slack, 2), side))
+                first = order[np.r_[True, side[order][1:] != side[order][:-1]][: len(order)]]
+                pairs = pairs[np.unique(first % max(len(pairs), 1))]
+        a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return near.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), "a long, b long").distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -182,19 +264,19 @@ def _chosen(batches: Iterator[pa.RecordBatch], columns: dict[str, type], passes:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def candidates(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int], label: str) -> DataFrame:
-    """The pairs (a, b) that share enough prefix shingles under the further orders too, and whose parities allow the threshold."""
+def allowed(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of hubs that agree under the further orders, and whose parities allow the threshold."""
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 16, bool)
 
         def passes(n: int, m: int, x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> bool:
-            return agree(x, y, n, m, threshold, seen) and differing(p, q) <= n + m - 2 * int(need(n, m, threshold))
+            return differing(p, q) <= n + m - 2 * int(need(n, m, threshold)) and agree(x, y, n, m, threshold, seen)
 
         yield from _chosen(batches, {"x": np.uint16, "p": np.uint8}, passes)
 
-    known = rows.join(sized(ends(pairs)), "node", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("parity").alias("parity"))
-    return materialize(joined(pairs, known, {"prefixes": "x", "parity": "p"}).mapInArrow(tidy(passing), "a long, b long"), f"candidates-{label}")
+    known = marks(rows, ends(pairs))
+    return materialize(joined(pairs, known, {"prefixes": "x", "parity": "p"}).mapInArrow(tidy(passing), "a long, b long"), "hub-candidates")
 
 
 def shingle_sets(source: DataFrame, wanted: DataFrame, names: dict, label: str) -> DataFrame:
@@ -221,26 +303,15 @@ def intersect(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int], lab
     return materialize(joined(pairs, sets, {"shingles": "x"}).mapInArrow(tidy(similar), "a long, b long"), f"links-{label}")
 
 
-def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, low, high) of classes that are in different components low < high."""
-    side = lambda c: sized(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"{c}_in": F.coalesce(f"{c}_in", c) for c in "ab"})
-    return both.where("a_in <> b_in").select("a", "b", F.least("a_in", "b_in").alias("low"), F.greatest("a_in", "b_in").alias("high"))
-
-
-def hub_pairs(lists: DataFrame, labels: DataFrame | None, round_: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a < b) of each class with one class of its lists (hub, node, n) that is in another component."""
-    if labels is None:
-        lists = lists.withColumn("component", F.col("node"))
-    else:
-        lists = lists.join(sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    one = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "node", "n", "component")).alias("one")
-    heads = lists.groupBy("hub").agg(one, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    heads = heads.select("hub", F.col("one.node").alias("head"), F.col("one.n").alias("size"), F.col("one.component").alias("other"))
+def hub_pairs(classes: DataFrame, hubs: list[str], threshold: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a < b) of each class with one class of each of its hubs, where their sizes allow the threshold."""
+    lists = classes.select("node", "n", F.explode(F.array(*hubs)).alias("hub"))
+    heads = lists.groupBy("hub").agg(F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("one"), F.count("*").alias("classes"))
+    heads = heads.where("classes > 1").select("hub", F.col("one.node").alias("head"), F.col("one.n").alias("size"))
     a, b = threshold
     close = (F.col("n") * b >= F.col("size") * a) & (F.col("size") * b >= F.col("n") * a)
-    pairs = lists.join(sized(heads), "hub").where((F.col("component") != F.col("other")) & close)
-    return pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    pairs = lists.join(heads, "hub").where((F.col("node") != F.col("head")) & close)
+    return materialize(pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "hub-pairs")
 
 
 def similar_counts(sets: list[np.ndarray], own: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -312,10 +383,9 @@ def link_counts(labels: DataFrame, links: DataFrame, sets: DataFrame, threshold:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, all_links: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_shingles, class_id (least id with an equal set), component_id, n_verified.
+    """One row per row of docs: id, n_shingles, class_id (least id with an equal set), component_id; with all_links n_links.
 
-    n_verified is the number of verified links of the row's class with other classes (those that were needed to join the
-    component, not all that there are). With all_links, n_links is the exact number of all of them. A text of fewer than
+    n_links is the exact number of links of the row's class with other classes. A text of fewer than
     five words is one shingle; empty and null texts have none and are linked with nothing. Rows without an id take no
     part in links and have component_id null; rows that repeat an id are told apart by their texts, and a repeated row
     is linked as one. Ties need no rule: components don't depend on an order. Columns other than id_col and text_col
@@ -323,63 +393,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set (8 bytes a shingle) is held whole.
     """
     arrow_batches(docs.sparkSession)
+    hubs = [f"hub{k}" for k in range(len(HUBS))]
     found = profile(docs, id_col, text_col, threshold)
     rows = found.where("token is null").drop("token", "count")
-    names = renamed(rows)
+
+    def classes_of(rows: DataFrame) -> DataFrame:
+        told = [F.min("id").alias("least"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")]
+        return materialize(rows.where("n > 0 and id is not null").groupBy("node").agg(*told, *(F.min(h).alias(h) for h in hubs)), "classes")
+
+    classes = classes_of(rows)
+    names = renamed(rows.where("n > 0"), classes)
     if names:
         new = [F.when((F.col("node") == node) & (F.col("check") == check), F.lit(name)) for (node, check), name in names.items()]
         rows = rows.withColumn("node", F.coalesce(*new, "node"))
-    hubs = [f"hub{k}" for k in range(len(HUBS))]
+        classes = classes_of(rows)
     taking = rows.where("n > 0 and id is not null")
-    classes = taking.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in hubs))
-    classes = materialize(classes, "classes")
     source = _source(docs, id_col, text_col)
-    first = taking.select("id", "sig", "node")  # rows that may stand for their classes
+    first = taking.select("id", "sig", "node")
 
     def wanted(nodes: DataFrame) -> DataFrame:
         """(id, sig) of the rows that stand for some classes."""
-        some = sized(materialize(classes.join(sized(nodes), "node", "left_semi").select("node", "least"), "some"))
-        return first.join(some, "node").where("id = least").select("id", "sig").distinct()
-
-    every = classes.select("node", "n", F.explode(F.array(*hubs)).alias("hub")).distinct()
-    shared = every.groupBy("hub").count().where("count > 1").select("hub")
-    lists = materialize(every.join(shared, "hub", "left_semi"), "hub-lists")
-    links = labels = sets = None
-    for k in range(ROUNDS):
-        near = candidates(materialize(hub_pairs(lists, labels, k, threshold), "hub-pairs"), taking, threshold, f"hub-{k}")
-        if sets is None:
-            sets = shingle_sets(source, wanted(ends(near)), names, "hub-sets")
-        fresh = intersect(near, sets, threshold, f"hub-{k}")  # a class without a set waits for the index
-        if k and fresh.isEmpty():
-            break
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = materialize(components(links), "labels")
+        some = materialize(classes.join(sized(nodes), "node", "left_semi").select("node", "least"), "some")
+        return first.join(sized(some), "node").where("id = least").select("id", "sig")
+
+    near = allowed(hub_pairs(classes, hubs, threshold), taking, threshold)
+    sets = shingle_sets(source, wanted(ends(near)), names, "hub-sets")
+    links = intersect(near, sets, threshold, "hubs")
+    labels = materialize(components(links), "labels")
 
     often = frequent(found)
-    copies = taking.join(sized(classes.where("rows > 1").select("node", "least")), "node").where("id <> least").select("id").distinct()
-    copies = copies.join(classes.select("least"), F.col("id") == F.col("least"), "left_anti")
-    named = wanted(labels.select("node")).join(first, ["id", "sig"]).join(sized(labels), "node").select("id", "sig", "component").distinct()
-    single = without_ids(source, materialize(copies, "copies"), "id").join(sized(materialize(named, "named")), ["id", "sig"], "left")
+    copies = materialize(first.join(sized(classes.where("rows > 1").select("node", "least")), "node").where("id <> least").select("id", "sig"), "copies")
+    named = materialize(first.join(sized(labels), "node").select("id", "sig", "component").distinct(), "named")
+    single = source.where("id is not null").join(sized(copies), ["id", "sig"], "left_anti").join(sized(named), ["id", "sig"], "left")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    pairs = propose(index(single, max(1, -(-total // (4 * BUCKET))), often, names, threshold), threshold)
-    near = candidates(pairs, taking, threshold, "index")
-    missing = materialize(ends(near).join(sized(sets.select("node")), "node", "left_anti"), "missing")
-    sets = sets.unionByName(shingle_sets(source, wanted(missing), names, "index-sets"))
-    one = F.min(F.struct(F.xxhash64("a", "b"), "a", "b")).alias("one")
-    for label in ("first", "rest"):  # one pair of each two components, then all pairs that are still between components
-        open_ = between(near, labels)
-        tried = open_.groupBy("low", "high").agg(one).select("one.a", "one.b") if label == "first" else open_
-        fresh = intersect(tried, sets, threshold, label)
+    proposals = propose(index(single, max(1, -(-total // (4 * BUCKET))), often, names, threshold), threshold)
+    near = filtered(proposals, taking, threshold)
+    inside = members(near)
+    missing = inside.select("node").distinct().join(sized(sets.select("node")), "node", "left_anti")
+    sets = sets.unionByName(shingle_sets(source, wanted(materialize(missing, "missing")), names, "index-sets"))
+    for k in range(ROUNDS + 1):
+        fresh = intersect(between(near, inside, labels, k < ROUNDS), sets, threshold, f"index-{k}")
         links = links.unionByName(fresh)
         labels = materialize(components(labels.toDF("a", "b").unionByName(fresh)), "labels")
 
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
     least = classes.join(sized(labels), "node").select("node", "least", "component")
     lowest = least.groupBy("component").agg(F.min("least").alias("lowest"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     dealt = least.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    lowest = lowest.select("component", "lowest", salts)
-    known = dealt.join(sized(lowest), ["component", "salt"]).join(counts, "node", "left").select("node", "lowest", "n_verified")
+    known = dealt.join(sized(materialize(lowest.select("component", "lowest", salts), "lowest")), ["component", "salt"]).select("node", "lowest")
     by_class = classes.select("node", "least").join(sized(materialize(known, "components")), "node", "left")
     if all_links:
         by_class = by_class.join(sized(link_counts(labels, links, sets, threshold)), "node", "left")
@@ -389,7 +450,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("n").alias("n_shingles"),
         F.coalesce("least", "id").alias("class_id"),
         F.coalesce("lowest", "least", "id").alias("component_id"),
-        F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"),
         *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if all_links else []),
     )
 
@@ -404,7 +464,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _drop_near_copies(docs: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> DataFrame:
-    said = near_duplicates(docs, id_col, text_col, threshold).toDF("__i", "__n", "__class", "__component", "__links")
+    said = near_duplicates(docs, id_col, text_col, threshold).toDF("__i", "__n", "__class", "__component")
     said = materialize(said.select("__i", "__component"), "said")
     out = without_ids(docs, said.where("__i <> __component").select("__i").distinct(), id_col)
     again = materialize(said.where("__i = __component").groupBy("__i").count().where("count > 1").select("__i"), "repeated")

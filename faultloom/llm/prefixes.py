@@ -115,6 +115,23 @@ def differing(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def spare(sizes: np.ndarray, parities: list[np.ndarray], pairs: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """How many shingles more each pair of places may differ in, by its parities: negative if it can't be similar."""
+    n, m = sizes[pairs[:, 0]], sizes[pairs[:, 1]]
+    out = n + m - 2 * need(n, m, threshold)
+    widths = np.array([len(p) for p in parities])
+    shorter = np.minimum(widths[pairs[:, 0]], widths[pairs[:, 1]])
+    for width in np.unique(shorter):
+        some = np.flatnonzero(widths >= width)
+        place = np.zeros(len(parities), np.int64)
+        place[some] = np.arange(len(some))
+        folded = np.stack([np.bitwise_xor.reduce(parities[k].reshape(-1, width), 0) for k in some]).view(np.uint64)
+        at = np.flatnonzero(shorter == width)
+        for part in np.array_split(at, -(-len(at) * int(width) // (64 << 20)) or 1):
+            out[part] -= np.bitwise_count(folded[place[pairs[part, 0]]] ^ folded[place[pairs[part, 1]]]).sum(1).astype(np.int64)
+    return out
+
+
 def common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     return int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
@@ -271,12 +288,10 @@ class Lists:
             yield left[once], right[once]
             start = stop
 
-    def proposed(self) -> np.ndarray:
-        """Distinct pairs of nodes (columns a < b) that may be similar."""
+    def proposed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes, sorted, and distinct pairs of places among them (columns a < b) that may be similar."""
         size, out, held = len(self.nodes), [np.zeros(0, np.int64)], 0
-        if not len(self.member):
-            return np.zeros((0, 2), np.int64)
-        for x, y in self.places():
+        for x, y in self.places() if len(self.member) else ():
             ok = self.possible(x, y)
             a, b = self.member[x[ok]], self.member[y[ok]]
             out.append(np.minimum(a, b) * size + np.maximum(a, b))
@@ -285,4 +300,6 @@ class Lists:
                 out = [np.unique(np.concatenate(out))]
                 held = len(out[0]) // 2
         every = np.unique(np.concatenate(out))
-        return self.nodes[np.stack([every // size, every % size], 1)]
+        pairs = np.stack([every // size, every % size], 1)
+        used, places = np.unique(pairs, return_inverse=True)
+        return self.nodes[used], places.reshape(-1, 2)
