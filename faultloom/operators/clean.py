@@ -106,12 +106,13 @@ def _first() -> Column:
 
 
 def drop_constant(frame: DataFrame, nulls: bool = True) -> DataFrame:
-    """Nodes whose every value equals the first one go; with nulls a gap counts as different (so all-gap nodes stay)."""
-    stats = frame.groupBy("case_id", "node").agg(F.min_by("value", "t").alias("__f"))
-    rows = frame.join(stats, ["case_id", "node"])
-    other = (F.col("value") != F.col("__f")) | ((F.col("value").isNull() | F.col("__f").isNull()) & F.lit(nulls))
-    kept = rows.groupBy("case_id", "node").agg(F.bool_or(F.coalesce(other, F.lit(False))).alias("__ok")).where("__ok")
-    return frame.join(kept, ["case_id", "node"], "left_semi")
+    """Nodes whose every value equals the first one go; with nulls a gap counts as different (so all-gap nodes stay).
+
+    One aggregate decides. NaN equals NaN; repeated rows and the order of equal times make no difference.
+    """
+    gap = F.bool_or(F.col("value").isNull())
+    differs = F.coalesce(F.min("value") != F.max("value"), F.lit(False))
+    return keep_nodes(frame, differs | gap if nulls else differs)
 
 
 def drop_single_valued(frame: DataFrame) -> DataFrame:

@@ -64,3 +64,19 @@ def full_grid(frame: DataFrame) -> DataFrame:
 def series() -> Window:
     """Window over a node's readings in time order."""
     return Window.partitionBy("case_id", "node").orderBy("t")
+
+
+def drop_time(frame: DataFrame, names: tuple[str, ...] = ("time", "time.1", "Time", "timestamp")) -> DataFrame:
+    """Nodes that are a time column go, whatever their case; null names stay. Repeated rows stay repeated."""
+    return frame.where(F.col("node").isNull() | ~F.lower("node").isin([n.lower() for n in names]))
+
+
+def column_numbers(frame: DataFrame) -> DataFrame:
+    """(case_id, node, number): places 0, 1, ... of each case's nodes by pos, then name; a repeated node counts once."""
+    nodes = frame.groupBy("case_id", "node").agg(F.min("pos").alias("pos"))
+    return nodes.select("case_id", "node", (F.row_number().over(Window.partitionBy("case_id").orderBy("pos", "node")) - 1).alias("number"))
+
+
+def running_time(times: DataFrame) -> DataFrame:
+    """Mean running time of the cases of each method in (method, case_id, seconds): method, cases, mean_seconds. Nulls don't count."""
+    return times.groupBy("method").agg(F.count("seconds").alias("cases"), F.avg("seconds").alias("mean_seconds"))

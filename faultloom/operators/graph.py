@@ -5,10 +5,15 @@ mark is the endpoint at b of the edge between a and b: -1 tail, 1 arrow, 2 circl
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rules of background knowledge that forbid() tries on every edge.
+RULES = 10_000
+
 
 def _both_ends(marks: DataFrame) -> DataFrame:
     """(case_id, a, b, at_a, at_b) of each edge, in both directions."""
@@ -51,17 +56,18 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, steps:
 
     Nodes without an edge out give their mass to all nodes by the teleport shares: even, or by the column weight of nodes.
     """
-    own = Window.partitionBy("case_id")
-    jump = F.col(weight) / F.sum(weight).over(own) if weight else 1 / F.count("*").over(own)
-    rank = nodes.select("case_id", "node", jump.alias("__j")).withColumn("score", F.col("__j"))
+    mass = F.sum(weight) if weight else F.count("*")
+    totals = nodes.groupBy("case_id").agg(mass.alias("__t"))
+    jump = F.col(weight) / F.col("__t") if weight else 1 / F.col("__t")
+    rank = nodes.join(totals, "case_id").select("case_id", "node", jump.alias("__j")).withColumn("score", F.col("__j"))
     shares = _cut(_shares(edges).select(F.col("case_id").alias("__k"), F.col("src").alias("__src"), F.col("dst").alias("__dst"), "__w"))
     sources = shares.select(F.col("__k").alias("case_id"), F.col("__src").alias("node")).distinct().withColumn("__out", F.lit(True))
     rank = _cut(rank.join(sources, ["case_id", "node"], "left"))
     for k in range(steps):
         sent = rank.join(shares, (F.col("case_id") == F.col("__k")) & (F.col("node") == F.col("__src"))).groupBy(F.col("__k").alias("case_id"), F.col("__dst").alias("node")).agg(F.sum(F.col("score") * F.col("__w")).alias("__in"))
-        loose = F.coalesce(F.sum(F.when(F.col("__out").isNull(), F.col("score"))).over(own), F.lit(0.0))
-        new = damping * (F.coalesce("__in", F.lit(0.0)) + F.col("__l") * F.col("__j")) + (1 - damping) * F.col("__j")
-        rank = rank.withColumn("__l", loose).join(sent, ["case_id", "node"], "left").withColumn("score", new).drop("__in", "__l")
+        loose = rank.where("__out is null").groupBy("case_id").agg(F.sum("score").alias("__l"))
+        new = damping * (F.coalesce("__in", F.lit(0.0)) + F.coalesce("__l", F.lit(0.0)) * F.col("__j")) + (1 - damping) * F.col("__j")
+        rank = rank.join(loose, "case_id", "left").join(sent, ["case_id", "node"], "left").withColumn("score", new).drop("__in", "__l")
         if k % 2 and k + 1 < steps:
             rank = _cut(rank)
     return rank.select("case_id", "node", "score")
@@ -178,10 +184,13 @@ def v_structures(edges: DataFrame) -> DataFrame:
     return both.join(skeleton(edges).select("case_id", F.col("src").alias("a"), F.col("dst").alias("b")), ["case_id", "a", "b"], "left_anti").select("case_id", "a", "k", "b")
 
 
-def hops(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
-    """Least number of edges from start (case_id, node) to each node that can be reached."""
-    found = start.select("case_id", "node", F.lit(0).alias("hops"))
-    for k in range(1, most + 1):
+def hops(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """Least number of edges from start (case_id, node) to each node that can be reached, or can in most steps.
+
+    Repeated edges and starts count once; a null node is reached by nothing. Without starts there are no rows.
+    """
+    found = start.where("node is not null").select("case_id", "node", F.lit(0).alias("hops")).distinct()
+    for k in itertools.count(1) if most is None else range(1, most + 1):
         front = found.where(F.col("hops") == k - 1).withColumnRenamed("node", "src").join(edges, ["case_id", "src"]).select("case_id", F.col("dst").alias("node")).distinct()
         front = front.join(found.select("case_id", "node"), ["case_id", "node"], "left_anti")
         found = _cut(found.unionByName(front.withColumn("hops", F.lit(k))))
@@ -190,11 +199,11 @@ def hops(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
     return found
 
 
-def layers(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Longest path from a source (0 for sources) of each node of acyclic graphs; nodes on or behind cycles are left out."""
     left, out, layer = nodes.select("case_id", "node"), None, 0
     edges = edges.select("case_id", "src", "dst")
-    while layer <= most:
+    while True:
         blocked = edges.join(left.withColumnRenamed("node", "src"), ["case_id", "src"], "left_semi").select("case_id", F.col("dst").alias("node")).distinct()
         free = _cut(left.join(blocked, ["case_id", "node"], "left_anti").withColumn("layer", F.lit(layer)))
         if free.isEmpty():
@@ -206,9 +215,15 @@ def layers(edges: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
 
 
 def forbid(edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """Edges without those that a rule (src_pattern, dst_pattern) forbids; rules is a small table of patterns."""
+    """Edges without those that a rule (src_pattern, dst_pattern) forbids.
+
+    Every rule is tried on every edge, so rules must be few: more than RULES are an error. Rules with a null forbid
+    nothing, repeated edges stay repeated, and without rules all edges stay.
+    """
+    if rules.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"more than {RULES} rules: join edges with them by name instead")
     hit = F.rlike("src", F.col("src_pattern")) & F.rlike("dst", F.col("dst_pattern"))
-    return edges.join(F.broadcast(rules.limit(10_000)), hit, "left_anti")
+    return edges.join(F.broadcast(rules), hit, "left_anti")
 
 
 def threshold_graph(corr: DataFrame, least: float) -> DataFrame:

@@ -116,11 +116,11 @@ SELECT case_id, node, {score} AS score, CAST(row_number() OVER (PARTITION BY cas
 """
 
 
-def scored_sql(frame: str, inject: int, robust: bool) -> str:
+def scored_sql(frame: str, inject: int, robust: bool, exact: bool = False) -> str:
     n = "FILTER (NOT a)"
     centre = f"median(value) {n}" if robust else f"avg(value) {n}"
     spread = f"(quantile_cont(value, 0.75) {n} - quantile_cont(value, 0.25) {n})" if robust else f"stddev_pop(value) {n}"
-    return _SCORED.format(score=r("raw"), centre=centre, spread=spread, inject=inject, frame=frame)
+    return _SCORED.format(score="raw" if exact else r("raw"), centre=centre, spread=spread, inject=inject, frame=frame)
 
 
 @query(scored_sql("ev", EV, True))
@@ -327,6 +327,32 @@ def p5_memory(spark, sf):
     return out.select("case_id", "t", "node", F.round("value", 10).alias("value"))
 
 
+@query("SELECT case_id, t, replace(node, 'total', 'mem') AS node, CASE WHEN node LIKE '%total' THEN CAST(trunc(value / 1000000) AS DOUBLE) ELSE value END AS value FROM ord")
+def p5b_memory_whole(spark, sf):
+    frame = tables.ord_(spark, sf).withColumn("node", F.replace("node", F.lit("total"), F.lit("mem")))
+    return clean.memory_in_mb(frame, whole=True).select("case_id", "t", "node", "value")
+
+
+@query("SELECT case_id, t, node, value FROM ord WHERE NOT ends_with(node, '_cnt')")
+def p3_drop_time(spark, sf):
+    """The counts under the names of time columns."""
+    named = F.when(F.col("node").startswith("1"), "time.1").otherwise("Time")
+    frame = tables.ord_(spark, sf).withColumn("node", F.when(F.col("node").endswith("_cnt"), named).otherwise(F.col("node")))
+    return frames.drop_time(frame).select("case_id", "t", "node", "value")
+
+
+@query("SELECT case_id, node, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY node) - 1 AS INTEGER) AS number FROM (SELECT DISTINCT case_id, node FROM usr)")
+def p15_column_numbers(spark, sf):
+    return frames.column_numbers(tables.user(spark, sf))
+
+
+@query(f"SELECT service AS method, count(*) AS cases, {r('avg(n)')} AS mean_seconds FROM (SELECT split_part(node, '_', 1) AS service, case_id, CAST(count(*) AS DOUBLE) AS n FROM usr GROUP BY 1, 2) GROUP BY 1")
+def running_time(spark, sf):
+    """Readings stand for seconds, entities for methods."""
+    times = tables.user(spark, sf).groupBy(frames.entity().alias("method"), "case_id").agg(F.count("*").cast("double").alias("seconds"))
+    return rounded(frames.running_time(times), "mean_seconds")
+
+
 @query("SELECT DISTINCT case_id, node FROM (SELECT case_id, replace(replace(node, '_sum', '_lat_90'), '_cnt', '_lat_50') AS node FROM usr) WHERE node LIKE '%lat\\_90' ESCAPE '\\'")
 def p8_latency(spark, sf):
     return nodes_out(clean.select_latency(tables.user(spark, sf).withColumn("node", F.replace(F.replace("node", F.lit("_sum"), F.lit("_lat_90")), F.lit("_cnt"), F.lit("_lat_50"))), 90))
@@ -368,6 +394,12 @@ def p17_one_hot(spark, sf):
     return hot.groupBy("node").agg(F.sum("value").cast("long").alias("ones"), F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT case_id, node FROM (SELECT case_id, replace(node, '_sum', '_lat_50') AS node FROM usr) WHERE NOT ends_with(node, '_lat_50') AND starts_with(node, 'p')")
+def p12_keep_prefix(spark, sf):
+    frame = tables.user(spark, sf).withColumn("node", F.replace("node", F.lit("_sum"), F.lit("_lat_50")))
+    return clean.suffix_filter(frame, keep_prefix="p").select("case_id", "node").distinct()
+
+
 @query("SELECT DISTINCT case_id, node FROM (SELECT case_id, replace(node, '_sum', '_lat_50') AS node FROM usr) WHERE NOT ends_with(node, '_lat_50')")
 def p12_suffixes(spark, sf):
     return nodes_out(clean.suffix_filter(tables.user(spark, sf).withColumn("node", F.replace("node", F.lit("_sum"), F.lit("_lat_50")))))
@@ -754,6 +786,12 @@ def _method(name: str) -> Query:
 for _name in methods.METHODS:
     QUERIES[f"rca_{_name}"] = _method(_name)
 
+#: Kernels of one case see its full grid, gaps filled forward.
+GRAPH_SQL["filled"] = "SELECT case_id, t, node, pos, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY case_id, node ORDER BY t), 0) AS value FROM grid"
+
+for _name, _robust in (("nsigma", False), ("baro", True)):
+    ORACLES[f"rca_{_name}"] = with_frames(f"SELECT *, 'ok' AS status FROM ({scored_sql('filled', EV, _robust, exact=True)})")
+
 
 def _graph(name: str) -> Query:
     return lambda spark, sf: methods.discover_graphs(tables.ord_(spark, sf), name)

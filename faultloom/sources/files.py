@@ -121,5 +121,10 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_report(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report of write_report(); without a schema the columns' types are inferred."""
+    return spark.read.schema(schema).csv(path, header=True) if schema else spark.read.csv(path, header=True, inferSchema=True)
+
+
 #: The public data sets this kind of file comes from, by their short names. Nothing is downloaded.
 DATASETS = ("online-boutique", "sock-shop-1", "sock-shop-2", "train-ticket", "circa10", "circa50", "rcd10", "rcd50", "causil10", "causil50")

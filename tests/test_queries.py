@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from faultloom.plans import file_queries  # noqa: F401  (registers its queries)
 from faultloom.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
