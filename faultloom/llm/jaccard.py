@@ -158,6 +158,23 @@ def index(source: DataFrame, buckets: int, often: tuple[np.ndarray, np.ndarray],
     return source.select("text", "component").mapInArrow(tidy(entries), "bucket long, " + ", ".join(f"{k} binary" for k in STORED))
 
 
+#: A bucket's classes, sorted, its pairs as places among them, and how many shingles more each pair may differ in.
+PACKED = "bucket long, nodes binary, pairs binary, slack binary"
+
+
+def packed(bucket: int, nodes: np.ndarray, pairs: np.ndarray, slack: np.ndarray) -> pa.Table:
+    """One row of PACKED, with the nodes that have a pair; none without pairs."""
+    used, places = np.unique(pairs, return_inverse=True)
+    arrays = {"nodes": nodes[used], "pairs": places.astype(np.uint32), "slack": slack.astype(np.uint32)}
+    return pa.table({"bucket": pa.array([bucket], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()}}).slice(0, int(len(pairs) > 0))
+
+
+def unpacked(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, pairs, slack) of a row of PACKED."""
+    nodes, pairs, slack = (np.frombuffer(row[k][0].as_buffer(), t) for k, t in (("nodes", np.int64), ("pairs", np.uint32), ("slack", np.uint32)))
+    return nodes, pairs.reshape(-1, 2).astype(np.int64), slack.astype(np.int64)
+
+
 def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """One row per bucket: its classes of proposed pairs (nodes, packed) and the pairs as places among them.
 
@@ -166,10 +183,9 @@ def propose(entries: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
     def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
         nodes, pairs = Lists(table, threshold).proposed()
-        packed = {"nodes": nodes.tobytes(), "pairs": pairs.astype(np.uint32).tobytes()}
-        return pa.table({"bucket": [key[0].as_py()], **{k: pa.array([v], pa.binary()) for k, v in packed.items()}}).slice(0, int(len(pairs) > 0))
+        return packed(key[0].as_py(), nodes, pairs, np.zeros(len(pairs)))
 
-    return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), "bucket long, nodes binary, pairs binary"), "proposals")
+    return materialize(entries.groupBy("bucket").applyInArrow(tidy(of_bucket), PACKED), "proposals")
 
 
 def members(proposals: DataFrame) -> DataFrame:
@@ -184,40 +200,45 @@ def members(proposals: DataFrame) -> DataFrame:
     return materialize(proposals.select("bucket", "nodes").mapInArrow(explode, "bucket long, node long"), "members")
 
 
-def marks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, prefixes, parity) of some classes."""
+def marks(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """(node, n, columns) of some classes."""
     some = rows.join(sized(nodes), "node", "left_semi")
-    return some.groupBy("node").agg(F.min("n").alias("n"), F.first("prefixes").alias("prefixes"), F.first("parity").alias("parity"))
-
+    return some.groupBy("node").agg(F.min("n").alias("n"), *(F.first(c).alias(c) for c in columns))
 
-def filtered(proposals: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """One row per bucket: the proposed pairs whose parities allow the threshold and that agree under the further orders too.
 
-    As proposals, with the number of shingles more that a pair may differ in (slack).
-    """
-    inside = members(proposals)
-    known = inside.join(marks(rows, inside.select("node").distinct()), "node").select("bucket", "node", "n", "prefixes", "parity")
+def narrowed(near: DataFrame, rows: DataFrame, column: str, passes: Callable, label: str) -> DataFrame:
+    """The pairs of a PACKED table that passes(sizes, values of the column, pairs, slack) leaves with a slack of 0 or more."""
+    inside = members(near)
+    known = inside.join(marks(rows, inside.select("node").distinct(), column), "node").select("bucket", "node", "n", column)
 
     def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return left.append_column("slack", pa.array([], pa.binary()))
-        nodes = np.frombuffer(left["nodes"][0].as_buffer(), np.int64)
+            return left
+        nodes, pairs, slack = unpacked(left)
         row = np.argsort(right["node"].to_numpy())
         if not np.array_equal(right["node"].to_numpy()[row], nodes):
-            raise ValueError("a proposed class has no fingerprints")
-        sizes, seen = right["n"].to_numpy()[row], np.zeros(1 << 16, bool)
-        parities = [np.frombuffer(right["parity"][int(k)].as_buffer(), np.uint8) for k in row]
-        prefixes = [np.frombuffer(right["prefixes"][int(k)].as_buffer(), np.uint16) for k in row]
-        pairs = np.frombuffer(left["pairs"][0].as_buffer(), np.uint32).reshape(-1, 2).astype(np.int64)
-        slack = spare(sizes, parities, pairs, threshold)
-        own = sizes.tolist()
-        keep = [k for k in np.flatnonzero(slack >= 0).tolist() for a, b in (pairs[k].tolist(),) if agree(prefixes[a], prefixes[b], own[a], own[b], threshold, seen)]
-        used, places = np.unique(pairs[keep], return_inverse=True)
-        packed = {"nodes": nodes[used], "pairs": places.astype(np.uint32), "slack": slack[keep].astype(np.uint32)}
-        return pa.table({"bucket": left["bucket"], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()}}).slice(0, int(len(keep) > 0))
-
-    pairs = proposals.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), "bucket long, nodes binary, pairs binary, slack binary")
-    return materialize(pairs, "candidates")
+            raise ValueError(f"a proposed class has no {column}")
+        slack = passes(right["n"].to_numpy()[row], [right[column][int(k)].as_buffer() for k in row], pairs, slack)
+        keep = slack >= 0
+        return packed(left["bucket"][0].as_py(), nodes, pairs[keep], slack[keep])
+
+    return materialize(near.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(tidy(of_bucket), PACKED), label)
+
+
+def filtered(proposals: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The proposed pairs whose parities allow the threshold, and that agree under the further orders too.
+
+    Parities are small, so they go to all proposals; prefixes only to those that are left.
+    """
+
+    def allowed_by_parity(sizes: np.ndarray, values: list, pairs: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        return spare(sizes, [np.frombuffer(v, np.uint8) for v in values], pairs, threshold)
+
+    def allowed_by_orders(sizes: np.ndarray, values: list, pairs: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        n, x, seen = sizes.tolist(), [np.frombuffer(v, np.uint16) for v in values], np.zeros(1 << 16, bool)
+        return np.where([agree(x[a], x[b], n[a], n[b], threshold, seen) for a, b in pairs.tolist()], slack, -1)
+
+    return narrowed(narrowed(proposals, rows, "parity", allowed_by_parity, "allowed"), rows, "prefixes", allowed_by_orders, "candidates")
 
 
 def between(near: DataFrame, inside: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
@@ -227,10 +248,8 @@ def between(near: DataFrame, inside: DataFrame, labels: DataFrame, best: bool) -
     def of_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs, nodes = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         if len(left):
-            nodes = np.frombuffer(left["nodes"][0].as_buffer(), np.int64)
-            pairs, slack = (np.frombuffer(left[k][0].as_buffer(), np.uint32).astype(np.int64) for k in ("pairs", "slack"))
+            nodes, pairs, slack = unpacked(left)
             component = right["component"].to_numpy()[np.argsort(right["node"].to_numpy())]
-            pairs = pairs.reshape(-1, 2)
             open_ = component[pairs[:, 0]] != component[pairs[:, 1]]
             pairs, slack = pairs[open_], slack[open_]
             if best:
@@ -275,7 +294,7 @@ def allowed(pairs: DataFrame, rows: DataFrame, threshold: tuple[int, int]) -> Da
 
         yield from _chosen(batches, {"x": np.uint16, "p": np.uint8}, passes)
 
-    known = marks(rows, ends(pairs))
+    known = marks(rows, ends(pairs), "prefixes", "parity")
     return materialize(joined(pairs, known, {"prefixes": "x", "parity": "p"}).mapInArrow(tidy(passing), "a long, b long"), "hub-candidates")
 
 
