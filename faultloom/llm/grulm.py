@@ -29,7 +29,10 @@ from .shingles import scramble
 HEAD, WIDTH, KINDS, UNITS, EMBED = 1024, 32, 16, 16, 16
 LOOKUP = 1 << 18
 GROUP_TOKENS = 1_000_000
-LANES, WINDOW = 64, 32
+WINDOW = 32
+
+#: Streams that a training step reads side by side, in the warm-up and after it, and at most when scoring.
+LANES, MORE_LANES, SCORED = 64, 256, 1024
 CHUNK, BUCKET_BYTES = 2_500_000, 64 << 20
 RATE, SEED = 0.006, 5
 
@@ -223,7 +226,6 @@ class Network:
         if grads is not None:
             e /= total[:, None]
             e[rows, own] -= 1
-            e /= len(items)
             grads["wc"] += states.T @ e
             grads["bc"] += e.sum(0)
             back = e @ w["wc"].T
@@ -243,10 +245,13 @@ class Network:
             if grads is not None:
                 f /= sums[:, None]
                 f[k, slot] -= 1
-                f /= len(items)
                 grads["wo"][c] += s.T @ f
                 grads["bo"][c] += f.sum(0)
                 back[at] += f @ w["wo"][c].T
+        if grads is not None:  # slopes of the mean
+            for k in ("wc", "bc", "wo", "bo"):
+                grads[k] /= len(items)
+            back /= len(items)
         return score, back
 
     def slopes(self, items: np.ndarray, targets: np.ndarray, fresh: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -273,12 +278,15 @@ class Network:
         flat, rows = gates.reshape(-1, 3 * n), items.reshape(-1)
         grads["bx"] += flat.sum(0)
         grads["wx"] += w["embed"][rows].T @ flat
-        np.add.at(grads["embed"], rows, flat @ w["wx"].T)
+        order = np.argsort(rows, kind="stable")
+        sorted_rows = rows[order]
+        starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+        grads["embed"][sorted_rows[starts]] += np.add.reduceat((flat @ w["wx"].T)[order], starts, 0)
         return grads, last
 
-    def fit(self, texts: list[np.ndarray], epochs: int, rate: float) -> None:
-        """Adam over windows of LANES streams into which the texts (arrays of items) are dealt; the rate falls to a tenth."""
-        lanes = deal(texts, self.heads + KINDS, LANES)
+    def fit(self, texts: list[np.ndarray], epochs: int, rate: float, streams: int = LANES) -> None:
+        """Adam over windows of streams into which the texts (arrays of items) are dealt; the rate falls to a tenth."""
+        lanes = deal(texts, self.heads + KINDS, streams)
         length = max((len(x[0]) for x in lanes), default=0)
         if not length:
             return
@@ -307,7 +315,7 @@ class Network:
         """Natural log probability of each text's classes and head tokens."""
         total = np.zeros(len(texts))
         size = sum(map(len, texts))
-        lanes = sorted(deal(texts, self.heads + KINDS, int(np.clip(size // 2500, 1, 1024))), key=lambda x: -len(x[0]))
+        lanes = sorted(deal(texts, self.heads + KINDS, int(np.clip(size // 2500, 1, SCORED))), key=lambda x: -len(x[0]))
         lengths = np.array([len(x[0]) for x in lanes])
         state = np.zeros((len(lanes), UNITS), np.float32)
         for at in range(0, int(lengths.max(initial=0)), WINDOW):
@@ -380,11 +388,11 @@ def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
         if texts:
             yield packed()
 
-    def learner(blob: bytes, rate: float):
+    def learner(blob: bytes, rate: float, streams: int):
         def learn(key: tuple, table: pa.Table) -> pa.Table:
             texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in table["items"]]
             network = Network(vocabulary, _unpack(blob, base.w))
-            network.fit(texts, 1, rate)
+            network.fit(texts, 1, rate, streams)
             return pa.table({"group": [key[0].as_py()], "tokens": pa.array([float(sum(map(len, texts)))]), "weights": pa.array([_pack(network.w)], pa.binary())})
 
         return tidy(learn)
@@ -395,12 +403,12 @@ def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
         return pa.table({"group": [key[0].as_py()], "tokens": [float(tokens.sum())], "weights": pa.array([mean.tobytes()], pa.binary())})
 
     schema = "group long, tokens double, weights binary"
-    learned = lambda docs, rate: docs.mapInArrow(tidy(encode), "group long, items binary").groupBy("group").applyInArrow(learner(blob, rate), schema)
-    warm = learned(grouped.where("group = 0"), RATE).collect()
+    learned = lambda docs, rate, streams: docs.mapInArrow(tidy(encode), "group long, items binary").groupBy("group").applyInArrow(learner(blob, rate, streams), schema)
+    warm = learned(grouped.where("group = 0"), RATE, LANES).collect()
     if warm:
         blob = bytes(warm[0].weights)
     if groups > 1:
-        parts = materialize(learned(grouped.where("group > 0"), RATE / 3), "weights")
+        parts = materialize(learned(grouped.where("group > 0"), RATE / 3, MORE_LANES), "weights")
         halves = parts.withColumn("group", F.col("group") % 64).groupBy("group").applyInArrow(average, schema)
         ends = halves.withColumn("group", F.floor(F.col("group") / 64)).groupBy("group").applyInArrow(average, schema).collect()
         if ends:
