@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 from urllib.parse import quote
 
@@ -29,7 +30,9 @@ LEVEL = 1
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = 31
-DATE = "2000-01-01T00:00:00Z"
+
+#: Rows and bytes of payload that a reader holds before it passes them on.
+HELD_ROWS, HELD_BYTES = 500, 16 << 20
 
 
 def filesystem(path: str) -> tuple:
@@ -43,14 +46,21 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, whole: bool) -> bytes:
-    """A response with its payload, or a revisit with the HTTP header alone (its Content-Length is the full payload's)."""
-    name = f"<urn:faultloom:page:{'none' if page_id is None else page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>"
-    headers = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~-._")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+def record_id(page_id: int | None, digest: str, more: str = "") -> str:
+    return f"<urn:faultloom:page:{'none' if page_id is None else page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}{more}')}>"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, whole: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A response with its payload, or a revisit with the HTTP header alone (its Content-Length is the full payload's).
+
+    A response is named by its page and digest, so that revisits can refer to it; a row that repeats both has its name.
+    """
+    name = record_id(page_id, digest, "" if whole else f" {url}")
+    headers = [("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Target-URI", quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~-._")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if page_id is not None:
         headers.append(("WARC-Page-ID", str(page_id)))
     if not whole:
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page-ID", str(refers_to))]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Date", date), ("WARC-Refers-To-Page-ID", str(refers_to))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     return record("response" if whole else "revisit", headers, http + payload if whole else http)
 
@@ -130,8 +140,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Write a record per row into monolithic archives; returns their table (path, records), materialised.
 
     Of equal payloads of LEAST_SHARED bytes or more, the row with the least id is stored whole and the others refer to
-    it; rows that repeat that least id are each stored whole, and so are all rows if no such row has an id.
+    it; rows that repeat that least id are each stored whole, and so are all rows if no such row has an id. Null html is
+    an empty payload; other columns are ignored; an empty table makes no archive. All records bear the time of the call.
     """
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     arrow_batches(pages.sparkSession, 500)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload")).withColumn("__digest", F.sha2("__payload", 256))
@@ -156,8 +168,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, packer, raw, count = to.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), 0, 1
-                    out.write(packer.compress(record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"software: faultloom\r\n")))
-                one = page_record(page_id, url.as_py(), body.as_py(), digest.as_py(), first, first is None or page_id == first)
+                    out.write(packer.compress(record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: faultloom\r\n")))
+                one = page_record(page_id, url.as_py(), body.as_py(), digest.as_py(), first, first is None or page_id == first, date)
                 out.write(packer.compress(one))
                 raw, count = raw + len(one), count + 1
                 if raw >= ARCHIVE_BYTES:
@@ -171,7 +183,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def normalise(archives: DataFrame) -> DataFrame:
-    """Normalised copies of the archives in a table (path ...): (path, index, records), materialised."""
+    """Normalised copies of the archives in a table (path ...): (path, index, records), materialised; none for an empty table."""
     folder = shared_path(archives.sparkSession, "normalised")
     target, root = filesystem(folder)
     target.create_dir(root, recursive=True)
@@ -188,10 +200,11 @@ def normalise(archives: DataFrame) -> DataFrame:
     return materialize(spread.select("path").mapInArrow(rewrite, "path string, index string, records long"), "normalised-table")
 
 
-def read_archives(normalised: DataFrame) -> DataFrame:
+def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per page record, each read at its offset: page_id, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    The payload of a response is hashed again and must have the digest that the record names; a revisit has no payload.
+    The payload of a response is hashed again and must have the digest that the record names; a revisit has no payload,
+    and without payloads no row has one. An empty table gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +214,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                 with store.open_input_stream(filesystem(index)[1], compression=None) as f:
                     entries = [x.split(b"\t") for x in f.read().splitlines()]
                 with store.open_input_file(at) as f:
-                    rows = []
+                    rows, held = [], 0
                     for offset, size, kind, _ in entries:
                         if kind == b"warcinfo":
                             continue
@@ -213,10 +226,11 @@ def read_archives(normalised: DataFrame) -> DataFrame:
                         if whole and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError(f"a record of {path} at {int(offset)} does not have its digest")
                         number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-                        rows.append((number("warc-page-id"), length, digest, kind.decode(), number("warc-refers-to-page-id"), payload if whole else None))
-                        if len(rows) >= 500:
+                        rows.append((number("warc-page-id"), length, digest, kind.decode(), number("warc-refers-to-page-id"), payload if whole and payloads else None))
+                        held += len(payload) if payloads else 0
+                        if len(rows) >= HELD_ROWS or held >= HELD_BYTES:
                             yield _rows(rows)
-                            rows = []
+                            rows, held = [], 0
                     yield _rows(rows)
 
     spread = normalised.repartition(max(1, normalised.count()))
@@ -241,7 +255,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if one:
         store, path = filesystem(one[0].rpartition("/")[0])
         store.delete_dir(path)
-    return read_archives(normalised).drop("payload")
+    return read_archives(normalised, payloads=False).drop("payload")
 
 
 ORACLE = """
