@@ -204,24 +204,31 @@ def score_ratio(score: Score, estimated: np.ndarray, true: np.ndarray) -> float:
     return graph_score(score, parents_of(estimated)) / graph_score(score, parents_of(true))
 
 
-def caim_cuts(column: np.ndarray, classes: np.ndarray, most: int = 50) -> np.ndarray:
-    """Cut points by greedy growth of the CAIM score, at least one fewer than there are classes."""
-    values = np.unique(column)
-    middle = (values[1:] + values[:-1]) / 2
-    if len(middle) > most:
-        middle = np.quantile(middle, np.linspace(0, 1, most))
+def caim_cuts(column: np.ndarray, classes: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Cut points by greedy growth of the CAIM score, at least one fewer than there are classes.
+
+    Every midpoint of neighbouring values may be a cut; with most, only so many quantiles of them. Of equal scores the
+    least midpoint is taken.
+    """
+    values, place = np.unique(column, return_inverse=True)
     kinds, own = np.unique(classes, return_inverse=True)
-    cuts: list[float] = []
+    table = np.zeros((len(kinds), len(values) + 1))
+    np.add.at(table, (own, place + 1), 1)
+    below = table.cumsum(1)  # counts by class of the first k values
+    free = list(range(1, len(values)))  # a cut after k values
+    if most is not None and len(free) > most:
+        free = sorted({int(x) for x in np.quantile(free, np.linspace(0, 1, most))})
+    cuts: list[int] = []
     best = -math.inf
 
-    def value(c: list[float]) -> float:
-        table = np.zeros((len(kinds), len(c) + 1))
-        np.add.at(table, (own, np.searchsorted(np.sort(c), column, side="right")), 1)
-        return discretisation_scores(table)["caim"]
+    def value(c: list[int]) -> float:
+        return discretisation_scores(np.diff(below[:, [0, *sorted(c), len(values)]], axis=1))["caim"]
 
-    while len(cuts) < len(middle):
-        top, cut = max((value([*cuts, m]), -m) for m in middle if m not in cuts)
+    while free:
+        top, cut = max((value([*cuts, k]), -k) for k in free)
         if top <= best and len(cuts) >= len(kinds) - 1:
             break
         cuts, best = [*cuts, -cut], max(best, top)
-    return np.sort(cuts)
+        free.remove(-cut)
+    cuts.sort()
+    return np.array([(values[k - 1] + values[k]) / 2 for k in cuts])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import COLUMNS, series
+from .frames import COLUMNS, drop_time, series
 
 #: Prefixes of nodes that are not services, and the infix of an external one.
 EXTRA_PREFIXES = ("main_", "PassthroughCluster_", "redis_", "rabbitmq", "queue", "session", "istio-proxy")
@@ -200,6 +200,12 @@ def sock_shop(frame: DataFrame) -> DataFrame:
     return suffix_filter(memory_in_mb(drop_near_constant(drop_constant(frame))), ("lat_50", "lat_99"))
 
 
+def latency_sock_shop(frame: DataFrame, anomalous: Column, percentile: int = 90, useful: bool = False) -> DataFrame:
+    """Whole memory in millions, one latency percentile, nodes that vary on both sides; useful selects among them."""
+    out = varying_on_both_sides(select_latency(memory_in_mb(drop_time(frame), whole=True), percentile), anomalous)
+    return select_useful(out) if useful else out
+
+
 def infer_types(frame: DataFrame, most: int = 20) -> DataFrame:
     """Kind (cont or disc) and number of values of each node: more than most distinct values are continuous."""
     out = frame.groupBy("case_id", "node", "pos").agg(F.count_distinct("value").alias("n_values"))

@@ -3,6 +3,12 @@
 Columns: case_id STRING, t BIGINT, node STRING ("entity_metric"), pos INT (place of the column in the wide form; breaks
 ties of ranks), value DOUBLE. A missing reading is a missing row or a null. A frame travels in long form: operators on
 columns are then row filters on a per-node aggregate, and cases of any number and width share one job.
+
+What all operators on frames do, unless they say otherwise. A null or missing value is a gap: aggregates leave it out, fills
+fill it. A null case_id is a case of its own. A reading is named by (case_id, t, node); where rows repeat it, aggregates
+count each, pairs of nodes are made of each, and kernels take the last: once() makes readings unique. Empty frames give
+empty results. Columns beyond COLUMNS are ignored or passed on, but for names that begin with two underscores, which
+operators use themselves.
 """
 
 from __future__ import annotations
@@ -80,3 +86,9 @@ def column_numbers(frame: DataFrame) -> DataFrame:
 def running_time(times: DataFrame) -> DataFrame:
     """Mean running time of the cases of each method in (method, case_id, seconds): method, cases, mean_seconds. Nulls don't count."""
     return times.groupBy("method").agg(F.count("seconds").alias("cases"), F.avg("seconds").alias("mean_seconds"))
+
+
+def once(frame: DataFrame) -> DataFrame:
+    """The frame with one row a reading: of repeated ones the largest value, and its place pos; gaps only where all are null."""
+    best = frame.groupBy("case_id", "t", "node").agg(F.min("pos").alias("pos"), F.max("value").alias("value"))
+    return best.select(*COLUMNS)

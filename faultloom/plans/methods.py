@@ -45,6 +45,7 @@ class Case:
         return (np.arange(len(self.values)) >= self.split).astype(float)
 
 
+#: From a case to a score of each node, or rows of keys by which ties of the first, the score, are settled.
 Kernel = Callable[..., np.ndarray]
 METHODS: dict[str, Kernel] = {}
 
@@ -92,20 +93,25 @@ def e_diagnosis(case: Case, alpha: float = 0.01) -> np.ndarray:
     return out
 
 
-def residual_z(case: Case, a: np.ndarray, train: int | None = None, test: int | None = None) -> np.ndarray:
-    """Largest |z| of each node's test residuals on its parents, by the training residuals' mean and deviation."""
-    x = case.normal[-train:] if train else case.normal
-    y = case.anomalous[-test:] if test else case.anomalous
+def residual_z(case: Case, a: np.ndarray, train: int | None = None, test: int | None = None, lags: int = 0) -> np.ndarray:
+    """Largest |z| of each node's test residuals on its parents, by the training residuals' mean and deviation.
+
+    Parents are taken at lags 0 to lags. The training rows are the last train before the split that have all lags, the test
+    rows the first test after it (all, if None); a node without parents stands for itself.
+    """
+    first, stop = case.split - (train or case.split), min(len(case.values), case.split + (test or len(case.values)))
+    rows, cut = np.arange(max(first, lags), stop), case.split - max(first, lags)
     out = np.zeros(len(case.names))
     for j in range(len(out)):
         s = np.flatnonzero(a[:, j])
-        if len(s) and len(x) > len(s) + 1:
-            design = lambda m: np.c_[m[:, s], np.ones(len(m))]  # noqa: B023, E731
-            beta = np.linalg.lstsq(design(x), x[:, j], rcond=None)[0]
-            r, q = x[:, j] - design(x) @ beta, y[:, j] - design(y) @ beta
-        else:
-            r, q = x[:, j], y[:, j]
-        out[j] = np.abs((q - r.mean()) / (r.std() if r.std() > 1e-12 else 1.0)).max(initial=0)
+        target = case.values[rows, j]
+        rest = target
+        if len(s) and cut > len(s) * (lags + 1) + 1:
+            design = np.hstack([*(case.values[rows - k][:, s] for k in range(lags + 1)), np.ones((len(rows), 1))])
+            rest = target - design @ np.linalg.lstsq(design[:cut], target[:cut], rcond=None)[0]
+        r, q = rest[: max(cut, 0)], rest[max(cut, 0) :]
+        if len(r):
+            out[j] = np.abs((q - r.mean()) / (r.std() if r.std() > 1e-12 else 1.0)).max(initial=0)
     return out
 
 
@@ -136,6 +142,21 @@ def circa(case: Case, alpha: float = 0.05, adjust: bool = False) -> np.ndarray:
     return descendant_adjusted(z, a) if adjust else z
 
 
+@register_method("rht")
+def windowed_residuals(case: Case, alpha: float = 0.05, lookup: int = 120, detect: int = 10, lags: int = 0, threshold: float = 3.0, confident: bool = False) -> np.ndarray:
+    """Adjusted residual scores over the lookup rows before the split and detect rows after it.
+
+    Ranks go by score, then by the layer of the graph (causes first), then by the residual's own z. With confident, scores
+    are confidences of z, and the threshold is one too.
+    """
+    a = graphs.directed_edges(discover.pc(case.normal, alpha=alpha))
+    z = residual_z(case, a, lookup, detect, lags)
+    layer = np.zeros(len(z))
+    for k, nodes in enumerate(graphs.condensed_layers(a)):
+        layer[list(nodes)] = k
+    return np.c_[descendant_adjusted(confidence(z) if confident else z, a, threshold), -layer, z]
+
+
 @register_method("ht")
 def hypothesis_test(case: Case, graph: str = "pc", alpha: float = 0.05, penalty: float = 2.0) -> np.ndarray:
     a = graphs.directed_edges(discover.pc(case.normal, alpha=alpha)) if graph == "pc" else graphs.extension(*discover.ges(case.normal, penalty=penalty))
@@ -311,10 +332,13 @@ def run(frame: DataFrame, cases: DataFrame, method: str | Kernel, seed: int = 0,
             status, nodes, score = "empty", names, -np.arange(len(names), dtype=float)
         else:
             try:
-                score = np.asarray(kernel(case, **settings), float)
+                keys = np.asarray(kernel(case, **settings), float)
+                score, keys = (keys, None) if keys.ndim == 1 else (keys[:, 0], keys[:, 1:])
             except (ValueError, ArithmeticError, np.linalg.LinAlgError, IndexError) as e:
                 status, nodes, score = f"{type(e).__name__}: {e}"[:200], names, -np.arange(len(names), dtype=float)
-        order = np.argsort([-float(f"{s:.9e}") for s in score], kind="stable")  # ties as in stats.ranked()
+        steady = lambda x: [-float(f"{v:.9e}") for v in x]  # noqa: E731  (ties as in stats.ranked())
+        more = [] if status != "ok" or keys is None else [steady(k) for k in keys.T[::-1]]
+        order = np.lexsort([*more, steady(score)])
         return pd.DataFrame({"case_id": rows["case_id"].iloc[0], "node": [nodes[k] for k in order], "score": score[order], "rank": np.arange(1, len(order) + 1, dtype=np.int32), "status": status})
 
     return frame.join(given, "case_id").groupBy("case_id").applyInPandas(of_case, RANKS)

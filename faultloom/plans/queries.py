@@ -346,6 +346,16 @@ def p15_column_numbers(spark, sf):
     return frames.column_numbers(tables.user(spark, sf))
 
 
+_BOTH = f"min(value) FILTER (t >= {USER}) <> max(value) FILTER (t >= {USER}) AND min(value) FILTER (t < {USER}) <> max(value) FILTER (t < {USER})"
+
+
+@query(nodes_sql(_BOTH, "(SELECT case_id, t, replace(node, '_sum', '_lat_90') AS node, value FROM usr WHERE NOT (node LIKE 'v%_cnt'))"))
+def p7_latency_sock_shop(spark, sf):
+    """Sums as the latency percentile that stays, counts of v... as one that goes."""
+    name = F.when(F.col("node").rlike("^v.*_cnt$"), F.replace("node", F.lit("_cnt"), F.lit("_lat_50"))).otherwise(F.replace("node", F.lit("_sum"), F.lit("_lat_90")))
+    return nodes_out(clean.latency_sock_shop(tables.user(spark, sf).withColumn("node", name), split.after(USER)))
+
+
 @query(f"SELECT service AS method, count(*) AS cases, {r('avg(n)')} AS mean_seconds FROM (SELECT split_part(node, '_', 1) AS service, case_id, CAST(count(*) AS DOUBLE) AS n FROM usr GROUP BY 1, 2) GROUP BY 1")
 def running_time(spark, sf):
     """Readings stand for seconds, entities for methods."""
@@ -789,8 +799,16 @@ for _name in methods.METHODS:
 #: Kernels of one case see its full grid, gaps filled forward.
 GRAPH_SQL["filled"] = "SELECT case_id, t, node, pos, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY case_id, node ORDER BY t), 0) AS value FROM grid"
 
-for _name, _robust in (("nsigma", False), ("baro", True)):
-    ORACLES[f"rca_{_name}"] = with_frames(f"SELECT *, 'ok' AS status FROM ({scored_sql('filled', EV, _robust, exact=True)})")
+GRAPH_SQL["usr_filled"] = "SELECT case_id, t, node, pos, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY case_id, node ORDER BY t), 0) AS value FROM (SELECT t.case_id, t.t, n.node, n.pos, e.value FROM (SELECT DISTINCT case_id, t FROM usr) t JOIN (SELECT DISTINCT case_id, node, pos FROM usr) n USING (case_id) LEFT JOIN usr e USING (case_id, t, node, pos))"
+
+#: A case in which no node varies on both sides has all nodes in column order, and says so.
+_EMPTY = """
+UNION ALL SELECT case_id, node, -CAST(row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY case_id ORDER BY pos) AS INTEGER) AS rank, 'empty' AS status
+FROM (SELECT DISTINCT case_id, node, pos FROM {0}) WHERE case_id NOT IN (SELECT case_id FROM s)
+"""
+
+for _name, _frame, _inject, _robust in (("nsigma", "filled", EV, False), ("baro", "filled", EV, True), ("nsigma_users", "usr_filled", USER, False), ("baro_users", "usr_filled", USER, True)):
+    ORACLES[f"rca_{_name}"] = with_frames(f"WITH s AS ({scored_sql(_frame, _inject, _robust, exact=True)}) SELECT *, 'ok' AS status FROM s {_EMPTY.format(_frame)}")
 
 
 def _graph(name: str) -> Query:
@@ -801,6 +819,26 @@ for _name in methods.GRAPHS:
     QUERIES[f"graph_{_name}"] = _graph(_name)
 
 
+def _users(name: str) -> Query:
+    """A method over all users' cases in one job."""
+
+    def f(spark, sf):
+        frame = tables.user(spark, sf)
+        return methods.run(frame, _cases(frame, USER, "view_cnt"), name)
+
+    return f
+
+
+for _name in ("nsigma", "baro", "rcd", "circa", "pc_pagerank"):
+    QUERIES[f"rca_{_name}_users"] = _users(_name)
+
+
+@query()
+def graph_pc_users(spark, sf):
+    """A graph for each user, in one job."""
+    return methods.discover_graphs(tables.user(spark, sf), "pc")
+
+
 def _detector(name: str) -> Query:
     return lambda spark, sf: spot.detect(tables.ord_(spark, sf), name)
 

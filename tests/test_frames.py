@@ -197,3 +197,27 @@ def test_resample_interpolates(spark):
     got = [r.value for r in clean.resample(f, 0, 10, 2).orderBy("t").collect()]
     assert got == [pytest.approx(v) for v in (2, 3.5, 5, 6.5, 8, 8)]
     assert not any(math.isnan(v) for v in got)
+
+
+def test_repeated_readings_and_times_as_nodes(spark):
+    rows = [("a", 1, "x_cnt", 0, 1.0), ("a", 1, "x_cnt", 0, 3.0), ("a", 2, "x_cnt", 0, None), ("a", 1, "Time", 1, 9.0), (None, 1, "x_cnt", 0, 2.0)]
+    frame = spark.createDataFrame(rows, "case_id string, t long, node string, pos int, value double")
+    assert sorted(map(str, frames.once(frames.drop_time(frame)).collect())) == sorted(map(str, spark.createDataFrame([("a", 1, "x_cnt", 0, 3.0), ("a", 2, "x_cnt", 0, None), (None, 1, "x_cnt", 0, 2.0)], frame.schema).collect()))
+    assert {(r.node, r.number) for r in frames.column_numbers(frame.where("case_id = 'a'")).collect()} == {("x_cnt", 0), ("Time", 1)}
+    assert frames.once(frame.limit(0)).count() == 0
+
+
+def test_long_paths_have_all_their_hops_and_layers(spark):
+    edges = spark.createDataFrame([("a", f"n{k}", f"n{k + 1}") for k in range(34)], "case_id string, src string, dst string")
+    start = spark.createDataFrame([("a", "n0")], "case_id string, node string")
+    found = {r.node: r.hops for r in graph.hops(edges, start).collect()}
+    assert found == {f"n{k}": k for k in range(35)}
+
+
+def test_more_rules_than_allowed_are_an_error(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "x", "y"), ("a", "y", "x")], "case_id string, src string, dst string")
+    rules = spark.createDataFrame([("^x$", ".*"), ("^q", ".*"), (None, "z")], "src_pattern string, dst_pattern string")
+    assert [(r.src, r.dst) for r in graph.forbid(edges, rules).collect()] == [("y", "x")]
+    monkeypatch.setattr(graph, "RULES", 2)
+    with pytest.raises(ValueError, match="rules"):
+        graph.forbid(edges, rules)

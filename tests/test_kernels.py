@@ -262,3 +262,32 @@ def test_class_distance_score_ratio_and_cuts():
     column = np.r_[np.linspace(0, 1, 30), np.linspace(3, 4, 30), np.linspace(6, 7, 30)]
     cuts = scores.caim_cuts(column, np.repeat([0, 1, 2], 30))
     assert len(cuts) == 2 and 1 < cuts[0] < 3 and 4 < cuts[1] < 6
+
+
+def test_every_midpoint_may_be_a_cut():
+    """More values than the old cap of 50 midpoints, and the best cut beside a single value."""
+    column = np.r_[np.arange(200.0), 1000 + np.arange(3.0)]
+    classes = np.r_[np.zeros(199), np.ones(4)]
+    cuts = scores.caim_cuts(column, classes)
+    assert cuts.tolist() == [198.5]
+
+
+def test_lagged_residuals_find_a_delayed_cause():
+    """b follows a with a delay of two; with lags its residuals are small before and after the split, without they aren't."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400)
+    a[300:] += 20
+    b = np.r_[0, 0, 3 * a[:-2]] + 0.01 * rng.normal(size=400)
+    case = methods.Case(np.c_[a, b], ["a_cpu", "b_cpu"], 300, 1)
+    edges = np.array([[0, 1], [0, 0]])
+    without, with_lags = methods.residual_z(case, edges, 120, 10), methods.residual_z(case, edges, 120, 10, lags=2)
+    assert with_lags[1] < 5 < without[1] and with_lags[0] > 5
+
+
+def test_keys_settle_ties_of_the_score(spark):
+    rows = [("x", t, n, p, float((t * (p + 3)) % 7)) for p, n in enumerate(("a_cpu", "b_cpu", "c_cpu")) for t in range(40)]
+    frame = spark.createDataFrame(rows, "case_id string, t long, node string, pos int, value double")
+    cases = spark.createDataFrame([("x", 20, "a_cpu")], "case_id string, inject long, sli string")
+    kernel = lambda case: np.array([[1.0, 0.0], [1.0, 5.0], [2.0, 0.0]])
+    got = {r.node: (r.rank, r.score, r.status) for r in methods.run(frame, cases, kernel).collect()}
+    assert got == {"c_cpu": (1, 2.0, "ok"), "b_cpu": (2, 1.0, "ok"), "a_cpu": (3, 1.0, "ok")}
