@@ -3,7 +3,7 @@
 Distinct vectors are dealt to shards of some SHARD vectors by hash. A shard's graph grows in batches: beam searches from
 the medoid propose neighbours for a batch's points, and robust pruning keeps at most DEGREE of them: nearest first, each
 one rules out those that are SLACK times closer to it than to the point, so that edges stay diverse. Kept edges are added
-in reverse too, and nodes with too many are pruned anew. Queries search every shard with a beam of QUERY_BEAM vectors, in blocks; their
+in reverse too, and nodes with too many are pruned anew; in the end every node is made reachable. Queries search every shard with a beam of QUERY_BEAM vectors, in blocks; their
 best are measured again in double precision.
 """
 
@@ -32,7 +32,7 @@ def squared(points: np.ndarray, places: np.ndarray, centre: np.ndarray) -> np.nd
 
 
 class Graph:
-    """points (n x dimensions), edges (n x DEGREE, -1 where there is none), and the entry point."""
+    """points (n x dimensions), edges (n x DEGREE, -1 where there is none; one column more once built), and the entry point."""
 
     def __init__(self, points: np.ndarray, edges: np.ndarray | None = None, entry: int = 0) -> None:
         self.points, self.entry = points, entry
@@ -136,8 +136,31 @@ class Graph:
                 found = np.concatenate([found, graph.edges[own].astype(np.int64)], 1) if again else found
                 graph.link(own, graph.prune(own, found))
                 at += len(own)
+        graph.reach_all()
         return graph
 
+    def reached(self, start: int, seen: np.ndarray) -> None:
+        """Mark in seen all nodes that can be reached from start."""
+        front = np.array([start])
+        seen[front] = True
+        while len(front):
+            ahead = np.unique(self.edges[front])
+            front = ahead[(ahead >= 0) & ~seen[ahead]]
+            seen[front] = True
+
+    def reach_all(self) -> None:
+        """One more edge a node: each node that searches can't reach hangs on the nearest one that they can and that has none yet."""
+        if not len(self.points):
+            return
+        self.edges = np.concatenate([self.edges, np.full((len(self.points), 1), -1, np.int32)], 1)
+        seen = np.zeros(len(self.points), bool)
+        self.reached(self.entry, seen)
+        while not seen.all():
+            node = int(np.flatnonzero(~seen)[0])
+            free = np.flatnonzero(seen & (self.edges[:, -1] < 0))
+            self.edges[free[((self.points[free] - self.points[node]) ** 2).sum(1).argmin()], -1] = node
+            self.reached(node, seen)
+
 
 def nearest(graph: Graph, exact: np.ndarray, ids: list[np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, distance) of each query's k nearest of a shard: beams, then distances in double precision."""
@@ -258,7 +281,7 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         if len(left) and len(right):
             row = left.to_pylist()[0]
             exact = np.frombuffer(row["exact"], np.float64).reshape(row["n"], -1)
-            graph = Graph(exact.astype(np.float32), np.frombuffer(row["edges"], np.int32).reshape(row["n"], DEGREE), row["entry"])
+            graph = Graph(exact.astype(np.float32), np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1), row["entry"])
             ids = np.split(np.frombuffer(row["ids"], np.int64), np.cumsum(np.frombuffer(row["counts"], np.int64))[:-1])
             for query_ids, vectors in zip(right["query_ids"].to_pylist(), right["queries"].to_pylist(), strict=True):
                 query_ids = np.frombuffer(query_ids, np.int64)
