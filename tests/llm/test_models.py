@@ -91,10 +91,10 @@ def test_network_is_fitted_on_every_training_document(spark, docs, monkeypatch):
     read = spark.sparkContext.accumulator(0)
     fit = grulm.Network.fit
 
-    def counted(self, texts, epochs, rate):
+    def counted(self, texts, epochs, rate, streams):
         assert epochs == 1
         read.add(sum(map(len, texts)))
-        fit(self, texts, epochs, rate)
+        fit(self, texts, epochs, rate, streams)
 
     monkeypatch.setattr(grulm.Network, "fit", counted)
     got = grulm.scores(docs.where("doc_id < 340")).collect()
