@@ -162,15 +162,29 @@ def decide_parent_z(frame: DataFrame, edges: DataFrame, test: Column) -> DataFra
 
 
 def discretise(frame: DataFrame, bins: int = 5, how: str = "quantile") -> DataFrame:
-    """Codes by equal widths or by exact quantiles (uniform, quantile)."""
+    """Codes by equal widths or by exact quantiles (uniform, quantile).
+
+    Cuts are of the very readings that are coded: a second evaluation of the frame may add up its sums in another order.
+    They are interpolated with one rounding less (fma), as DuckDB does, which decides between neighbouring doubles. With
+    quantiles, a gap's code is null, and rows without case or node have none.
+    """
     own = Window.partitionBy("case_id", "node")
     if how == "uniform":
         low, high = F.min("value").over(own), F.max("value").over(own)
         code = F.when(low == high, 0).otherwise(F.least(F.floor((F.col("value") - low) / (high - low) * bins), F.lit(bins - 1)))
         return frame.withColumn("code", code.cast("int"))
-    cuts = frame.groupBy("case_id", "node").agg(F.percentile("value", F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("__q"))
-    code = F.expr("size(filter(__q, q -> value > q))")
-    return frame.join(cuts, ["case_id", "node"]).withColumn("code", code.cast("int")).drop("__q")
+    kept = frame.columns
+    rows = frame.where("case_id is not null and node is not null")
+    rows = rows.withColumn("__k", F.row_number().over(own.orderBy(F.col("value").asc_nulls_last())) - 1).withColumn("__n", F.count("value").over(own))
+    code = F.when(F.col("value").isNotNull(), 0)
+    for j in range(1, bins):
+        place = (F.col("__n") - 1) * F.lit(j / bins)
+        low, high = (F.max(F.when(F.col("__k") == f(place), F.col("value"))).over(own) for f in (F.floor, F.ceil))
+        rows = rows.withColumns({f"__low{j}": low, f"__high{j}": high, f"__part{j}": place - F.floor(place)})
+        low, high, part = (F.col(f"__{x}{j}") for x in ("low", "high", "part"))
+        between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+        code += (F.col("value") > F.when(low < high, between).otherwise(low)).cast("int")
+    return rows.withColumn("code", code).select(*kept, "code")
 
 
 def index_quantile(frame: DataFrame, q: float) -> DataFrame:

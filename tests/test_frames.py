@@ -1,11 +1,12 @@
 import inspect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultloom.operators import clean, evaluate, frames, graph, split, stats
-from faultloom.plans import methods
+from faultloom.plans import methods, queries
 from faultloom.sources import files
 from faultloom.streaming import spot
 
@@ -223,3 +224,21 @@ def test_more_rules_than_allowed_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(graph, "RULES", 2)
     with pytest.raises(ValueError, match="rules"):
         graph.forbid(edges, rules)
+
+
+def test_quantile_codes_of_neighbouring_doubles(spark):
+    """Cuts between doubles that differ in the last bits, and gaps, count as in SQL."""
+    import duckdb
+
+    rng, rows = random.Random(1), []
+    for k in range(120):
+        base = rng.choice([0.05, 0.1, 7.3, 1e9 / 3, 1e-5, -0.07])
+        rows += [("0", t, f"n{k}", k, base + rng.randrange(4) * math.ulp(base)) for t in range(rng.randint(1, 14))]
+    rows += [("0", t, "gap", 120, None if t % 3 else float(t)) for t in range(9)] + [("0", 0, "none", 121, None)]
+    got = stats.discretise(spark.createDataFrame(rows, "case_id string, t long, node string, pos int, value double"), 4, "quantile")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE li (case_id VARCHAR, t BIGINT, node VARCHAR, pos INTEGER, value DOUBLE)")
+    duck.executemany("INSERT INTO li VALUES (?, ?, ?, ?, ?)", rows)
+    sql = queries.ORACLES["c29_quantile_bins"]
+    want = duck.execute(sql[sql.rindex("SELECT case_id, t, node, CAST(") :]).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("case_id", "t", "node", "code").collect())
