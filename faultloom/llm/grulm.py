@@ -9,7 +9,8 @@ Counts: each chunk's counts go to buckets by token hash; a bucket adds them up.
 travel to every task; occurrences of all others are sent to their bucket, which returns sums by document. Weights: truncated
 backpropagation (WINDOW steps) warms up on one group of documents, then every other group goes on from there by itself and
 the weights are averaged. Groups hold some GROUP_TOKENS tokens; every training document is in one of them and is passed
-once, whatever the size of the corpus.
+once, whatever the size of the corpus. A group's documents, one after another, are cut into streams of equal length; a stream
+that begins within a document starts from the state after the WINDOW tokens before it.
 """
 
 from __future__ import annotations
@@ -200,104 +201,116 @@ class Network:
             self.inputs = self.w["embed"] @ self.w["wx"] + self.w["bx"]
         gates, wh, n = self.inputs[items], self.w["wh"], UNITS
         out = np.empty((*items.shape, n), np.float32)
-        held = []
+        held = tuple(np.empty((*items.shape, k), np.float32) for k in (n, 2 * n, n, n)) if keep else ()
+        going = np.where(fresh, np.float32(0), np.float32(1))[:, :, None]
         for t in range(len(items)):
-            state = np.where(fresh[t][:, None], np.float32(0), state)
+            state = state * going[t]
             hidden = state @ wh
             zr = _sigmoid(gates[t, :, : 2 * n] + hidden[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * hidden[:, 2 * n :])
+            z, r, inner = zr[:, :n], zr[:, n:], hidden[:, 2 * n :]
+            new = np.tanh(gates[t, :, 2 * n :] + r * inner)
             if keep:
-                held.append((state, z, r, new, hidden[:, 2 * n :]))
-            state = new + z * (state - new)
-            out[t] = state
+                for x, value in zip(held, (state, zr, new, inner), strict=True):
+                    x[t] = value
+            state = np.add(new, z * (state - new), out=out[t])
         return out, state, held
 
     def output(self, states: np.ndarray, items: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of items (rows of states); with grads, also the loss's slopes by state."""
-        w, rows = self.w, np.arange(len(items))
+        w, every = self.w, np.arange(len(items))
         own = self.class_of(items)
-        logits = states @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        score = logits[rows, own] - np.log(total)
-        back = None
+        order = np.argsort(own.astype(np.uint16), kind="stable")
+        s, own, items = states[order], own[order], items[order]
+        # a column for each item: sums over classes then run along memory
+        e = w["wc"].T @ s.T
+        e += w["bc"][:, None]
+        e -= e.max(0)
+        score = e[own, every]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        score -= np.log(total)
+        slope = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, own] -= 1
-            grads["wc"] += states.T @ e
-            grads["bc"] += e.sum(0)
-            back = e @ w["wc"].T
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(self.classes + 1))
+            e /= total
+            e[own, every] -= 1
+            grads["wc"] += (e @ s).T
+            grads["bc"] += e.sum(1)
+            slope = (w["wc"] @ e).T
+        bounds = np.searchsorted(own, np.arange(self.classes + 1))
         for c in range(self.classes):
-            at = order[bounds[c] : bounds[c + 1]]
-            if not len(at):
+            at = slice(bounds[c], bounds[c + 1])
+            if at.start == at.stop:
                 continue
-            s, slot = states[at], items[at] - c * WIDTH
-            inner = s @ w["wo"][c] + w["bo"][c]
-            inner -= inner.max(1, keepdims=True)
-            f = np.exp(inner)
-            sums = f.sum(1)
-            k = np.arange(len(at))
-            score[at] += inner[k, slot] - np.log(sums)
+            f = w["wo"][c].T @ s[at].T
+            f += w["bo"][c][:, None]
+            f -= f.max(0)
+            slot, k = items[at] - c * WIDTH, every[: at.stop - at.start]
+            score[at] += f[slot, k]
+            np.exp(f, out=f)
+            sums = f.sum(0)
+            score[at] -= np.log(sums)
             if grads is not None:
-                f /= sums[:, None]
-                f[k, slot] -= 1
-                grads["wo"][c] += s.T @ f
-                grads["bo"][c] += f.sum(0)
-                back[at] += f @ w["wo"][c].T
+                f /= sums
+                f[slot, k] -= 1
+                grads["wo"][c] += (f @ s[at]).T
+                grads["bo"][c] += f.sum(1)
+                slope[at] += (w["wo"][c] @ f).T
+        found, back = np.empty_like(score), None
+        found[order] = score
         if grads is not None:  # slopes of the mean
             for k in ("wc", "bc", "wo", "bo"):
                 grads[k] /= len(items)
-            back /= len(items)
-        return score, back
+            back = np.empty_like(slope)
+            back[order] = slope / len(items)
+        return found, back
 
     def slopes(self, items: np.ndarray, targets: np.ndarray, fresh: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over a window by backpropagation within it, and the state it ends in."""
         w, n = self.w, UNITS
         grads = {k: np.zeros_like(v) for k, v in w.items()}
-        out, last, held = self.steps(items, fresh, state, keep=True)
+        out, last, (before, zr, new, inner) = self.steps(items, fresh, state, keep=True)
         use = np.flatnonzero(mask.reshape(-1))
         back = np.zeros((mask.size, n), np.float32)
         _, back[use] = self.output(out.reshape(-1, n)[use], targets.reshape(-1)[use], grads)
         back = back.reshape(out.shape)
-        gates = np.empty((*items.shape, 3 * n), np.float32)
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
+        going = np.where(fresh, np.float32(0), np.float32(1))[:, :, None]
+        gates, hidden = (np.empty((*items.shape, 3 * n), np.float32) for _ in range(2))
         carry = np.zeros_like(state)
         for t in range(len(items) - 1, -1, -1):
-            before, z, r, new, inner = held[t]
             d = back[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            gates[t] = np.concatenate([dz, dr, dn], 1)
-            hidden = np.concatenate([dz, dr, dn * r], 1)
-            grads["wh"] += before.T @ hidden
-            carry = np.where(fresh[t][:, None], np.float32(0), d * z + hidden @ w["wh"].T)
+            dn = d * by_new[t]
+            hidden[t, :, :n] = d * by_z[t]
+            hidden[t, :, n : 2 * n] = dn * by_r[t]
+            hidden[t, :, 2 * n :] = dn * r[t]
+            gates[t, :, 2 * n :] = dn
+            carry = (d * z[t] + hidden[t] @ w["wh"].T) * going[t]
+        gates[:, :, : 2 * n] = hidden[:, :, : 2 * n]
+        grads["wh"] += before.reshape(-1, n).T @ hidden.reshape(-1, 3 * n)
         flat, rows = gates.reshape(-1, 3 * n), items.reshape(-1)
         grads["bx"] += flat.sum(0)
         grads["wx"] += w["embed"][rows].T @ flat
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
         sorted_rows = rows[order]
         starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
         grads["embed"][sorted_rows[starts]] += np.add.reduceat((flat @ w["wx"].T)[order], starts, 0)
         return grads, last
 
     def fit(self, texts: list[np.ndarray], epochs: int, rate: float, streams: int = LANES) -> None:
-        """Adam over windows of streams into which the texts (arrays of items) are dealt; the rate falls to a tenth."""
-        lanes = deal(texts, self.heads + KINDS, streams)
-        length = max((len(x[0]) for x in lanes), default=0)
+        """Adam over windows of streams into which the texts (arrays of items) are cut; the rate falls to a tenth."""
+        items, targets, fresh, mask = cut(texts, self.heads + KINDS, streams)
+        length, lanes = items.shape
         if not length:
             return
-        items, targets, fresh, mask = (np.zeros((length, len(lanes)), t) for t in (np.int64, np.int64, bool, bool))
-        for k, (i, o, f, _) in enumerate(lanes):
-            items[: len(i), k], targets[: len(i), k], fresh[: len(i), k], mask[: len(i), k] = i, o, f, True
+        # a stream that goes on within a text has the state after the window before it
+        starts = np.maximum(np.arange(lanes) * length + np.arange(-WINDOW, 0)[:, None], 0)
+        before = tuple(x.T.reshape(-1)[starts] for x in (items, fresh))
         first, second, step = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2)), None, 0
         first, second = first
         updates = epochs * -(-length // WINDOW)
         for _ in range(epochs):
-            state = np.zeros((len(lanes), UNITS), np.float32)
+            state = self.steps(*before, np.zeros((lanes, UNITS), np.float32), keep=True)[1]
             for at in range(0, length, WINDOW):
                 part = slice(at, at + WINDOW)
                 grads, state = self.slopes(items[part], targets[part], fresh[part], mask[part], state)
@@ -316,23 +329,43 @@ class Network:
         total = np.zeros(len(texts))
         size = sum(map(len, texts))
         lanes = sorted(deal(texts, self.heads + KINDS, int(np.clip(size // 2500, 1, SCORED))), key=lambda x: -len(x[0]))
+        if not lanes:
+            return total
         lengths = np.array([len(x[0]) for x in lanes])
-        state = np.zeros((len(lanes), UNITS), np.float32)
-        for at in range(0, int(lengths.max(initial=0)), WINDOW):
+        begins = np.cumsum(lengths) - lengths
+        items, targets, fresh, own = (np.concatenate(x) for x in zip(*lanes, strict=True))
+        del lanes
+        state, at = np.zeros((len(lengths), UNITS), np.float32), 0
+        while at < lengths[0]:
             on = int((lengths > at).sum())
-            steps = min(WINDOW, int(lengths[0]) - at)
-            items, targets, own = np.zeros((steps, on), np.int64), np.zeros((steps, on), np.int64), np.full((steps, on), -1)
-            fresh = np.zeros((steps, on), bool)
-            for k in range(on):
-                i, o, f, d = (x[at : at + WINDOW] for x in lanes[k])
-                items[: len(i), k], targets[: len(i), k], fresh[: len(i), k], own[: len(i), k] = i, o, f, d
-            states, state, _ = self.steps(items, fresh, state[:on])
-            use = np.flatnonzero(own.reshape(-1) >= 0)
-            found, _ = self.output(states.reshape(-1, UNITS)[use], targets.reshape(-1)[use])
-            total += np.bincount(own.reshape(-1)[use], found.astype(np.float64), len(texts))
+            # where few streams are left, windows are longer
+            steps = min(max(WINDOW, SCORED * WINDOW // 4 // on), int(lengths[0]) - at)
+            place = at + np.arange(steps)[:, None]
+            use = np.flatnonzero(place < lengths[:on])
+            place = np.minimum(begins[:on] + place, size - 1)
+            states, state, _ = self.steps(items[place], fresh[place], state[:on])
+            place = place.reshape(-1)[use]
+            found, _ = self.output(states.reshape(-1, UNITS)[use], targets[place].astype(np.int64))
+            total += np.bincount(own[place], found.astype(np.float64), len(texts))
+            at += steps
         return total
 
 
+def cut(texts: list[np.ndarray], start: int, lanes: int) -> tuple[np.ndarray, ...]:
+    """All texts, one after another, in up to so many streams of equal length, a window at least: inputs, targets, whether
+    a text begins, whether there is a token (steps x streams of each)."""
+    targets = np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64)
+    size = len(targets)
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    inputs, fresh = np.r_[0, targets[:-1]][:size], np.zeros(size, bool)
+    begins = begins[begins < size]
+    inputs[begins], fresh[begins] = start, True
+    lanes = int(np.clip(size // WINDOW, 1, lanes))
+    length = -(-size // lanes)
+    laid = lambda x: np.ascontiguousarray(np.pad(x, (0, lanes * length - size)).reshape(lanes, length).T)
+    return laid(inputs), laid(targets), laid(fresh), laid(np.ones(size, bool))
+
+
 def deal(texts: list[np.ndarray], start: int, lanes: int) -> list[tuple]:
     """Deal texts to lanes of about equal length: (inputs, targets, whether a text begins, number of the text) of each."""
     heap, own = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
@@ -343,11 +376,11 @@ def deal(texts: list[np.ndarray], start: int, lanes: int) -> list[tuple]:
     out = []
     for numbers in own:
         if numbers:
-            targets = np.concatenate([texts[n] for n in numbers]).astype(np.int64)
+            targets = np.concatenate([texts[n] for n in numbers]).astype(np.uint16)
             begins = np.cumsum([0, *(len(texts[n]) for n in numbers)])[:-1]
-            inputs, fresh = np.r_[0, targets[:-1]], np.zeros(len(targets), bool)
+            inputs, fresh = np.roll(targets, 1), np.zeros(len(targets), bool)
             inputs[begins], fresh[begins] = start, True
-            out.append((inputs, targets, fresh, np.repeat(numbers, [len(texts[n]) for n in numbers])))
+            out.append((inputs, targets, fresh, np.repeat(np.array(numbers, np.int32), [len(texts[n]) for n in numbers])))
     return out
 
 

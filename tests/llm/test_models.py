@@ -285,3 +285,31 @@ def test_calibration_sees_no_template_of_the_fit():
     rows = [tuple(x.split("|", 1)) for x in licenses.TEMPLATES.strip().split("\n")]
     held = licenses.Scanner._unseen(rows)
     assert len(held) > 8 and {f for f, _ in held} < {f for f, _ in rows}
+
+
+def test_a_long_text_costs_no_more_than_its_tokens(monkeypatch):
+    """Streams are equally long, whatever the lengths of the texts; every token is learned from once."""
+    net = grulm.Network(Counts(40))
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 40, n) for n in (9000, *[25] * 300, 1, 2)]
+    size, cells, learned, slopes = sum(map(len, texts)), [], [], grulm.Network.slopes
+
+    def counted(self, items, targets, fresh, mask, state):
+        cells.append(items.size)
+        learned.extend(targets[mask])
+        return slopes(self, items, targets, fresh, mask, state)
+
+    monkeypatch.setattr(grulm.Network, "slopes", counted)
+    net.fit(texts, 1, 0.01, 64)
+    assert sum(cells) < size + 64 and Counter(learned) == Counter(np.concatenate(texts))
+    want = [net.score([t])[0] for t in texts]
+    assert net.score(texts) == pytest.approx(want, rel=1e-4)
+
+
+@pytest.mark.parametrize("lengths", [(), (1,), (70, 1, 5), (10, 400, 3, 3)])
+def test_streams_hold_every_token_after_the_one_before_it(lengths):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 40, n) for n in lengths]
+    items, targets, fresh, mask = (x.T.reshape(-1) for x in grulm.cut(texts, 99, 4))
+    assert targets[mask].tolist() == [x for t in texts for x in t]
+    assert items[mask].tolist() == [x for t in texts for x in (99, *t[:-1])] and (fresh[mask] == (items[mask] == 99)).all()
