@@ -396,31 +396,15 @@ def _unpack(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
+def groups_of(vocabulary: Vocabulary) -> int:
+    return max(1, round(vocabulary.total / GROUP_TOKENS))
+
+
 def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
-    """Weights from one pass over all training documents (columns id, text), as the module says."""
+    """Weights from one pass over all training documents (columns group, items), as the module says."""
     base = Network(vocabulary)
-    groups = max(1, round(vocabulary.total / GROUP_TOKENS))
-    grouped = train.select(F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(groups)).alias("group"), "text")
     blob = _pack(base.w)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local, texts, group, held = Local(), [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            items = vocabulary.items(np.array(local.ids, np.uint64)).astype(np.uint16)
-            return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array([items[x].tobytes() for x in texts], pa.binary())], names=["group", "items"])
-
-        for b in batches:
-            for g, text in zip(b.column("group").to_pylist(), b.column("text"), strict=True):
-                texts.append(local.tokens(text.as_py()))
-                group.append(g)
-                held += len(texts[-1])
-                if held >= CHUNK:
-                    yield packed()
-                    local, texts, group, held = Local(), [], [], 0
-        if texts:
-            yield packed()
-
     def learner(blob: bytes, rate: float, streams: int):
         def learn(key: tuple, table: pa.Table) -> pa.Table:
             texts = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64) for x in table["items"]]
@@ -436,12 +420,12 @@ def fit_network(train: DataFrame, vocabulary: Vocabulary) -> Network:
         return pa.table({"group": [key[0].as_py()], "tokens": [float(tokens.sum())], "weights": pa.array([mean.tobytes()], pa.binary())})
 
     schema = "group long, tokens double, weights binary"
-    learned = lambda docs, rate, streams: docs.mapInArrow(tidy(encode), "group long, items binary").groupBy("group").applyInArrow(learner(blob, rate, streams), schema)
-    warm = learned(grouped.where("group = 0"), RATE, LANES).collect()
+    learned = lambda docs, rate, streams: docs.groupBy("group").applyInArrow(learner(blob, rate, streams), schema)
+    warm = learned(train.where("group = 0"), RATE, LANES).collect()
     if warm:
         blob = bytes(warm[0].weights)
-    if groups > 1:
-        parts = materialize(learned(grouped.where("group > 0"), RATE / 3, MORE_LANES), "weights")
+    if groups_of(vocabulary) > 1:
+        parts = materialize(learned(train.where("group > 0"), RATE / 3, MORE_LANES), "weights")
         halves = parts.withColumn("group", F.col("group") % 64).groupBy("group").applyInArrow(average, schema)
         ends = halves.withColumn("group", F.floor(F.col("group") / 64)).groupBy("group").applyInArrow(average, schema).collect()
         if ends:
@@ -462,8 +446,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     train = rows.where("not held")
     counted = count_tokens(train.select("text"), buckets)
     vocabulary = Vocabulary(counted)
-    network = fit_network(train.select("id", "text"), vocabulary)
     known_counts = vocabulary
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(groups_of(vocabulary))))
     kind = docs.schema[id_col].dataType
     id_type = dict(docs.dtypes)[id_col]
     ratio = np.log10(vocabulary.total + 0.5 * (vocabulary.distinct + 1))
@@ -473,10 +457,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow_id, part = to_arrow_type(kind), TaskContext.get().partitionId()
-        names = ["chunk", "place", "id", "held", "n_tokens", "n_known", "base", "score", "bucket", "ids", "places"]
-        local, texts, ids, held, size, number = Local(), [], [], [], 0, 0
+        names = ["chunk", "place", "id", "held", "group", "n_tokens", "n_known", "base", "tail", "items", "bucket", "ids", "places"]
+        local, texts, ids, held, group, size, number = Local(), [], [], [], [], 0, 0
 
-        def scored() -> Iterator[pa.RecordBatch]:
+        def encoded() -> Iterator[pa.RecordBatch]:
             chunk, token = (part << 24) + number, np.array(local.ids, np.uint64)
             items, count = known_counts.items(token), known_counts.known(token)
             # log10 of c + 0.5 where known here; the tail factor's denominator belongs to the kind
@@ -486,11 +470,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
             lengths = np.array([len(x) for x in texts])
             flat, own = np.concatenate(texts), np.repeat(np.arange(len(texts)), lengths)
             by_text = lambda x: np.bincount(own, x[flat], len(texts))
-            model = network.score([items[x] for x in texts]) / np.log(10) + by_text(part_tail)
-            n = len(texts)
+            n, short = len(texts), items.astype(np.uint16)
             none = lambda k, t: pa.nulls(k, t)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(ids, arrow_id), pa.array(held, pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(by_text((count > 0).astype(float)).astype(np.int64)), pa.array(by_text(part_base) - lengths * ratio), pa.array(model), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())],
+                [pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(ids, arrow_id), pa.array(held, pa.bool_()), pa.array(group, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(by_text((count > 0).astype(float)).astype(np.int64)), pa.array(by_text(part_base) - lengths * ratio), pa.array(by_text(part_tail)), pa.array([short[x].tobytes() for x in texts], pa.binary()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())],
                 names=names,
             )
             open_ = np.flatnonzero((count < 0)[flat])
@@ -503,24 +486,51 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
                 cut = [slice(a, z) for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True)]
                 m = len(cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, chunk)), none(m, pa.int64()), none(m, arrow_id), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(bucket[starts]), pa.array([asked[c].tobytes() for c in cut], pa.binary()), pa.array([place[c].tobytes() for c in cut], pa.binary())],
+                    [pa.array(np.full(m, chunk)), none(m, pa.int64()), none(m, arrow_id), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), none(m, pa.binary()), pa.array(bucket[starts]), pa.array([asked[c].tobytes() for c in cut], pa.binary()), pa.array([place[c].tobytes() for c in cut], pa.binary())],
                     names=names,
                 )
 
         for b in batches:
-            for i, text, h in zip(b.column("id").to_pylist(), b.column("text"), b.column("held").to_pylist(), strict=True):
+            for i, text, h, g in zip(b.column("id").to_pylist(), b.column("text"), b.column("held").to_pylist(), b.column("group").to_pylist(), strict=True):
                 texts.append(local.tokens(text.as_py()))
                 ids.append(i)
                 held.append(h)
+                group.append(g)
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    yield from encoded()
+                    local, texts, ids, held, group, size, number = Local(), [], [], [], [], 0, number + 1
+        if texts:
+            yield from encoded()
+
+    schema = f"chunk long, place long, id {id_type}, held boolean, group long, n_tokens long, n_known long, base double, tail double, items binary, bucket long, ids binary, places binary"
+    first = materialize(rows.mapInArrow(tidy(chunks), schema), "encoded-chunks")
+    network = fit_network(first.where("place is not null and not held").select("group", "items"), vocabulary)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, texts, size = [], [], 0
+
+        def judged() -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
+            score = network.score(texts) / np.log(10) + table["tail"].to_numpy()
+            return table.drop_columns(["tail", "items"]).append_column("score", pa.array(score)).combine_chunks().to_batches()[0]
+
+        for b in batches:
+            begin = 0
+            for n, x in enumerate(b.column("items"), 1):
+                texts.append(np.frombuffer(x.as_buffer(), np.uint16))
                 size += len(texts[-1])
                 if size >= CHUNK:
-                    yield from scored()
-                    local, texts, ids, held, size, number = Local(), [], [], [], 0, number + 1
+                    parts.append(b.slice(begin, n - begin))
+                    yield judged()
+                    parts, texts, size, begin = [], [], 0, n
+            if begin < len(b):
+                parts.append(b.slice(begin))
         if texts:
-            yield from scored()
+            yield judged()
 
-    schema = f"chunk long, place long, id {id_type}, held boolean, n_tokens long, n_known long, base double, score double, bucket long, ids binary, places binary"
-    first = materialize(rows.mapInArrow(tidy(chunks), schema), "scored-chunks")
+    left = first.where("place is not null").select("chunk", "place", "id", "held", "n_tokens", "n_known", "base", "tail", "items")
+    texts = materialize(left.mapInArrow(tidy(judge), f"chunk long, place long, id {id_type}, held boolean, n_tokens long, n_known long, base double, score double"), "scored")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10(c + 0.5) and numbers of known tokens by chunk and place, for a bucket's open occurrences."""
@@ -558,6 +568,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
         out = out.append_column("n_known", pa.array(left["n_known"].to_numpy() + known.astype(np.int64)))
         return out.append_column("base", pa.array(left["base"].to_numpy() + more)).append_column("score", pa.array(left["score"].to_numpy() + more))
 
-    texts = first.where("place is not null").select("chunk", "place", "id", "held", "n_tokens", "n_known", "base", "score")
     out = texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(tidy(complete), f"id {id_type}, held boolean, n_tokens long, n_known long, base double, score double")
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -313,3 +313,17 @@ def test_streams_hold_every_token_after_the_one_before_it(lengths):
     items, targets, fresh, mask = (x.T.reshape(-1) for x in grulm.cut(texts, 99, 4))
     assert targets[mask].tolist() == [x for t in texts for x in t]
     assert items[mask].tolist() == [x for t in texts for x in (99, *t[:-1])] and (fresh[mask] == (items[mask] == 99)).all()
+
+
+def test_texts_are_split_into_words_twice_at_most(spark, docs, monkeypatch):
+    """Once to count training texts, once to encode all; network and scores read the encoded ones."""
+    read, tokens = spark.sparkContext.accumulator(0), grulm.Local.tokens
+
+    def counted(self, text):
+        read.add(1)
+        return tokens(self, text)
+
+    monkeypatch.setattr(grulm.Local, "tokens", counted)
+    monkeypatch.setattr(grulm, "CHUNK", 3000)
+    got = grulm.scores(docs).collect()
+    assert len(got) == docs.count() and read.value == len(got) + sum(not r.held_out for r in got)
