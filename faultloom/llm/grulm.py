@@ -298,8 +298,12 @@ class Network:
         return grads, last
 
     def fit(self, texts: list[np.ndarray], epochs: int, rate: float, streams: int = LANES) -> None:
-        """Adam over windows of streams into which the texts (arrays of items) are cut; the rate falls to a tenth."""
-        items, targets, fresh, mask = cut(texts, self.heads + KINDS, streams)
+        """Adam over windows of streams into which the texts (arrays of items) are cut; the rate falls to a tenth.
+
+        Fewer tokens than GROUP_TOKENS make fewer streams, not shorter ones, so that they move the weights as often.
+        """
+        size = sum(map(len, texts))
+        items, targets, fresh, mask = cut(texts, self.heads + KINDS, min(streams, max(1, size * streams // GROUP_TOKENS)))
         length, lanes = items.shape
         if not length:
             return

@@ -300,12 +300,28 @@ def test_a_long_text_costs_no_more_than_its_tokens(monkeypatch):
         return slopes(self, items, targets, fresh, mask, state)
 
     monkeypatch.setattr(grulm.Network, "slopes", counted)
+    monkeypatch.setattr(grulm, "GROUP_TOKENS", size)
     net.fit(texts, 1, 0.01, 64)
     assert sum(cells) < size + 64 and Counter(learned) == Counter(np.concatenate(texts))
     want = [net.score([t])[0] for t in texts]
     assert net.score(texts) == pytest.approx(want, rel=1e-4)
 
 
+def test_few_tokens_make_as_many_updates(monkeypatch):
+    rng, calls, slopes = np.random.default_rng(5), [0], grulm.Network.slopes
+
+    def counted(self, *window):
+        calls[-1] += 1
+        return slopes(self, *window)
+
+    monkeypatch.setattr(grulm.Network, "slopes", counted)
+    monkeypatch.setattr(grulm, "GROUP_TOKENS", 64_000)
+    for size in (64_000, 6_400):
+        grulm.Network(Counts(40)).fit([rng.integers(0, 40, 20) for _ in range(size // 20)], 1, 0.01, 20)
+        calls.append(0)
+    assert calls[0] == calls[1] == 100
+
+
 @pytest.mark.parametrize("lengths", [(), (1,), (70, 1, 5), (10, 400, 3, 3)])
 def test_streams_hold_every_token_after_the_one_before_it(lengths):
     rng = np.random.default_rng(6)
